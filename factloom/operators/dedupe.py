@@ -58,14 +58,13 @@ def _grams(span: Column, sizes: list[int]) -> Column:
 
     def of(chars: Column) -> Column:
         n = F.size(chars)
-        parts = [
-            F.when(n >= size, F.transform(
-                F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))),
-                lambda i, size=size: F.array_join(F.slice(chars, i, size), ""),
-            )).otherwise(F.expr("cast(array() as array<string>)"))
-            for size in sizes
-        ]
-        return F.array_distinct(F.concat(*parts))
+
+        def runs(size: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
+            found = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, size), ""))
+            return F.when(n >= size, found).otherwise(F.expr("cast(array() as array<string>)"))
+
+        return F.array_distinct(F.concat(*[runs(size) for size in sizes]))
 
     return let(F.split(span, ""), of)
 
