@@ -45,13 +45,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
 
 
+def sets_similar(a: Column, b: Column) -> Column:
+    """Jaccard of at least 4/5; sets of too different size are told apart without comparing them."""
+    n, m = F.size(a), F.size(b)
+    shared = F.size(F.array_intersect(a, b))
+    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (shared * 5 >= (n + m - shared) * 4)
+
+
 def spans_overlap(span_a: Column, tokens_a: Column, span_b: Column, tokens_b: Column) -> Column:
-    """Near-duplicate test: Jaccard of at least 4/5, or one span inside the other."""
-    shared = F.size(F.array_intersect(tokens_a, tokens_b))
-    union = F.size(tokens_a) + F.size(tokens_b) - shared
-    return (
-        F.contains(span_a, span_b) | F.contains(span_b, span_a) | (shared * 5 >= union * 4)
-    )
+    """Near-duplicate test: similar token sets, or one span inside the other."""
+    inside = F.contains(span_a, span_b) | F.contains(span_b, span_a)
+    return inside | sets_similar(tokens_a, tokens_b)
 
 
 def is_grounded(chunk_text: Column, evidence: Column, *, allow_blank: bool = False) -> Column:

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.functions.text import let, normal_span, spans_overlap, strip, token_set
+from factloom.functions.text import let, normal_span, sets_similar, spans_overlap, strip, token_set
 from factloom.session import materialize
 
 BLOCK = ["doc_id", "subject_key"]
 BLOCK_LIMIT = 256
 BLOCK_CHARS = 1 << 20
-GRAM = 6
+GRAM = 3
+LONG_TOKEN = 4096
 
 
 def _fold_block(spans: Column) -> Column:
@@ -53,33 +54,59 @@ def _small_blocks(spans: DataFrame) -> DataFrame:
     )
 
 
-def _grams(span: Column, sizes: list[int]) -> Column:
+def _grams(token: Column, sizes: list[int]) -> Column:
     """Distinct character grams of the given sizes."""
+    empty = F.expr("cast(array() as array<string>)")
 
     def of(chars: Column) -> Column:
-        n = F.size(chars)
+        n = F.length(token)
 
         def runs(size: int) -> Column:
             starts = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
-            found = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, size), ""))
-            return F.when(n >= size, found).otherwise(F.expr("cast(array() as array<string>)"))
+            direct = F.transform(starts, lambda i: F.substring(token, i, F.lit(size)))
+            # Seeking in a string takes time linear in the position, in an array it does not.
+            cut = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, size), ""))
+            return F.when(n < size, empty).when(n <= LONG_TOKEN, direct).otherwise(cut)
 
         return F.array_distinct(F.concat(*[runs(size) for size in sizes]))
 
-    return let(F.split(span, ""), of)
+    return let(F.when(F.length(token) > LONG_TOKEN, F.split(token, "")), of)
+
+
+def _tokens_holding(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(block, part, key): the tokens of the block's vocabulary that contain the part.
+
+    Joined on the part's rarest gram; only the distinct tokens are cut into grams, not the spans.
+    """
+    full = F.least(F.length("part"), F.lit(GRAM))
+    sizes = sorted(row.n for row in parts.select(full.alias("n")).distinct().collect())
+    if not sizes:
+        return parts.withColumn("key", F.lit(""))
+    grams = vocabulary.join(parts.select(*BLOCK).distinct(), BLOCK, "left_semi").select(
+        *BLOCK, "key", F.explode(_grams(F.col("key"), sizes)).alias("gram")
+    )
+    counts = grams.groupBy(*BLOCK, "gram").agg(F.count("*").alias("n"))
+    rarest = (
+        parts.select(*BLOCK, "part", F.explode(_grams(F.col("part"), sizes)).alias("gram"))
+        .where(F.length("gram") == full)
+        .join(counts, [*BLOCK, "gram"])
+        .groupBy(*BLOCK, "part")
+        .agg(F.min(F.struct("n", "gram")).alias("r"))
+        .select(*BLOCK, "part", F.col("r.gram").alias("gram"))
+    )
+    return rarest.join(grams, [*BLOCK, "gram"]).where(F.contains("key", "part")).select(*BLOCK, "part", "key")
 
 
 def _signatures(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signature rows (left, right) such that overlapping spans always share a key.
 
     Jaccard >= 4/5: both sets share a token among the rarest ``n - ceil(4n/5) + 1`` of each (prefix
-    filter). Containment: the rarest gram of the inner span occurs in the outer one. Rare means
-    rare within the block, so a common token or gram is not a key unless a span has nothing else.
+    filter). Containment: the inner words of the inner span are words of the outer one, so its
+    rarest inner word is a key; a span of one or two words takes the words that contain its longer
+    word. Rare means rare within the block: a common word is no key unless there is nothing else.
     """
-    lengths = spans.select(F.least(F.length("span"), F.lit(GRAM)).alias("n")).distinct().collect()
-    sizes = sorted(row.n for row in lengths if row.n > 0)
     tokens = spans.select(*BLOCK, "seq", F.explode("tokens").alias("key"))
-    counts = tokens.groupBy(*BLOCK, "key").agg(F.count("*").alias("n"))
+    counts = materialize(tokens.groupBy(*BLOCK, "key").agg(F.count("*").alias("n")), "counts")
     by_rarity = F.array_sort(F.collect_list(F.struct("n", "key")))
     take = (F.size("t") - F.ceil(F.size("t") * 4 / 5) + 1).cast("int")
     prefixes = (
@@ -89,22 +116,22 @@ def _signatures(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select(*BLOCK, "seq", F.explode(F.slice("t", F.lit(1), take)).alias("t"))
         .select(*BLOCK, "seq", F.concat(F.lit("t"), F.col("t.key")).alias("key"))
     )
-    grams = materialize(
-        spans.where(F.length("span") > 0).select(*BLOCK, "seq", F.explode(_grams(F.col("span"), sizes)).alias("key")),
-        "grams",
+    worded = spans.select(*BLOCK, "seq", F.split("span", " ").alias("words"))
+    inner = worded.where(F.size("words") > 2).select(
+        *BLOCK, "seq", F.explode(F.expr("slice(words, 2, size(words) - 2)")).alias("key")
     )
-    gram_counts = grams.groupBy(*BLOCK, "key").agg(F.count("*").alias("n"))
-    full = F.least(F.length("span"), F.lit(GRAM))
-    probes = (
-        grams.join(spans.select(*BLOCK, "seq", full.alias("size")), [*BLOCK, "seq"])
-        .where(F.length("key") == F.col("size"))
-        .join(gram_counts, [*BLOCK, "key"])
+    long_probes = (
+        inner.join(counts, [*BLOCK, "key"])
         .groupBy(*BLOCK, "seq")
-        .agg(F.min(F.struct("n", "key")).alias("rarest"))
-        .select(*BLOCK, "seq", F.col("rarest.key").alias("key"))
+        .agg(F.min(F.struct("n", "key")).alias("r"))
+        .select(*BLOCK, "seq", F.col("r.key").alias("key"))
     )
-    wanted = probes.select(*BLOCK, "key").distinct()
-    inside = grams.join(wanted, [*BLOCK, "key"], "left_semi")
+    longer = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    short = worded.where(F.size("words") <= 2).select(*BLOCK, "seq", longer.w.alias("part"))
+    holding = _tokens_holding(short.select(*BLOCK, "part").distinct(), counts.select(*BLOCK, "key"))
+    short_probes = short.join(holding, [*BLOCK, "part"]).select(*BLOCK, "seq", "key")
+    probes = materialize(long_probes.unionByName(short_probes), "probes")
+    inside = tokens.join(probes.select(*BLOCK, "key").distinct(), [*BLOCK, "key"], "left_semi")
 
     def tagged(rows: DataFrame, tag: str) -> DataFrame:
         return rows.select(*BLOCK, "seq", F.concat(F.lit(tag), F.col("key")).alias("key"))
@@ -118,14 +145,22 @@ def _signatures(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Rows of ``left`` against earlier overlapping rows of ``right`` (the test is in the join)."""
+    """Rows of ``left`` against earlier overlapping rows of ``right`` (the test is in the join).
+
+    Token keys stand for the Jaccard test, which needs sets of similar size; the other keys for
+    containment in their direction.
+    """
     r = right.select(
         *[F.col(c).alias("r_" + c) for c in [*BLOCK, "key", "seq", "span", "tokens"]]
     )
-    same = [left[c] == r["r_" + c] for c in [*BLOCK, "key"]]
-    test = (r.r_seq < left.seq) & spans_overlap(left.span, left.tokens, r.r_span, r.r_tokens)
-    condition = same[0] & same[1] & same[2] & test
-    return left.join(r, condition, how)
+    keys = [left[c] == r["r_" + c] for c in [*BLOCK, "key"]]
+    similar = sets_similar(left.tokens, r.r_tokens)
+    test = (
+        F.when(left.key.startswith("t"), similar)
+        .when(left.key.startswith("p"), F.contains(r.r_span, left.span))
+        .otherwise(F.contains(left.span, r.r_span))
+    )
+    return left.join(r, keys[0] & keys[1] & keys[2] & (r.r_seq < left.seq) & test, how)
 
 
 def _large_blocks(spans: DataFrame) -> DataFrame:
