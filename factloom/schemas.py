@@ -1,14 +1,12 @@
-"""Table schemas of the fact layer."""
+"""Table schemas of the fact layer, as DDL strings."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-BLOCKS = T.StructType.fromDDL(
+BLOCKS = (
     "doc_id string, page int, block_no int, text string, char_start long, char_end long, kind string"
 )
 
-CHUNKS = T.StructType.fromDDL(
+CHUNKS = (
     "doc_id string, page int, chunk_no int, text string, char_start long, char_end long,"
     " section_hint string"
 )
@@ -58,17 +56,17 @@ EDGE_FIELDS = [
     "confidence",
 ]
 
-FACTS = T.StructType.fromDDL(
+FACTS = (
     "id string, doc_id string, subject string, attribute string, value string, unit string,"
     " temporal_context string, scope_qualifiers array<string>, evidence_span string, page int,"
     " claim_text string, fact_kind string, confidence double, normalized_value double,"
     " normalized_unit string, period_start string, period_end string, canonical_subject string"
 )
-EDGES = T.StructType.fromDDL(
+EDGES = (
     "id string, fact_a_id string, fact_b_id string, relation string, reasoning string,"
     " reconciling_dimension string, confidence double"
 )
-DOCUMENTS = T.StructType.fromDDL(
+DOCUMENTS = (
     "id string, filename string, content_hash string, num_pages int, status string, created_at string"
 )
 
