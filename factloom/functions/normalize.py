@@ -72,6 +72,11 @@ SUBJECT_PUNCTUATION = "!\"#$%&'()*+,./:;<=>?@[\\]^_`{|}~"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+_PERIOD = r"(?i)^(?:(?:Q([1-4]))?FY(\d{2,4})|(?:CY)?(\d{4})|as\s+of\s+(.+))$"
+_MONTH_FIRST = r"^(\d{2})/(\d{2})/(\d{4})"
+_YEAR_FIRST = r"^(\d{4})/(\d{2})/(\d{2})"
+
+
 def _literal_map(table: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
 
@@ -136,42 +141,35 @@ def parse_period(text: Column) -> Column:
     ``2024``, and ``as of`` a date. Slash dates are read month first when the year is last, and
     are not checked against the calendar.
     """
-    bare = strip(text)
-
-    def group(pattern: str, index: int) -> Column:
-        return F.regexp_extract(bare, pattern, index)
-
-    quarter_pattern = r"(?i)^Q([1-4])FY(\d{2,4})$"
-    fiscal_pattern = r"(?i)^(?:Q[1-4])?FY(\d{2,4})$"
-    calendar_pattern = r"(?i)^(?:CY)?(\d{4})$"
-    as_of_pattern = r"(?i)^as\s+of\s+(.+)$"
-    month_first = r"^(\d{2})/(\d{2})/(\d{4})"
-    year_first = r"^(\d{4})/(\d{2})/(\d{2})"
-
-    written = group(fiscal_pattern, 1).try_cast("int")
-    fiscal_end = F.when(written < 100, written + 2000).otherwise(written)
-    quarter = group(quarter_pattern, 1)
-    year = group(calendar_pattern, 1).try_cast("int")
-    date = strip(group(as_of_pattern, 1))
 
     def point(column: Column) -> Column:
         return _dates(column, column)
 
-    def parts(pattern: str, order: tuple[int, int, int]) -> Column:
-        return F.concat_ws("-", *[F.regexp_extract(date, pattern, i) for i in order])
-
-    return (
-        F.when(quarter == "1", _dates(_day(fiscal_end - 1, "-04-01"), _day(fiscal_end - 1, "-06-30")))
-        .when(quarter == "2", _dates(_day(fiscal_end - 1, "-07-01"), _day(fiscal_end - 1, "-09-30")))
-        .when(quarter == "3", _dates(_day(fiscal_end - 1, "-10-01"), _day(fiscal_end - 1, "-12-31")))
-        .when(quarter == "4", _dates(_day(fiscal_end, "-01-01"), _day(fiscal_end, "-03-31")))
-        .when(written.isNotNull(), _dates(_day(fiscal_end - 1, "-04-01"), _day(fiscal_end, "-03-31")))
-        .when(year.isNotNull(), _dates(_day(year, "-01-01"), _day(year, "-12-31")))
-        .when(date.rlike(r"^\d{4}-\d{2}-\d{2}$"), point(date))
-        .when(date.rlike(month_first), point(parts(month_first, (3, 1, 2))))
-        .when(date.rlike(year_first), point(parts(year_first, (1, 2, 3))))
-        .otherwise(_dates(F.lit(None).cast("string"), F.lit(None).cast("string")))
-    )
+    def by_parts(parts: Column) -> Column:
+        quarter, date = parts[0], strip(parts[3])
+        written, year = parts[1].try_cast("int"), parts[2].try_cast("int")
+        end = F.when(written < 100, written + 2000).otherwise(written)
+
+        def rearranged(pattern: str, order: str) -> Column:
+            return F.regexp_replace(date, pattern + ".*$", order)
+
+        return (
+            F.when(quarter == "1", _dates(_day(end - 1, "-04-01"), _day(end - 1, "-06-30")))
+            .when(quarter == "2", _dates(_day(end - 1, "-07-01"), _day(end - 1, "-09-30")))
+            .when(quarter == "3", _dates(_day(end - 1, "-10-01"), _day(end - 1, "-12-31")))
+            .when(quarter == "4", _dates(_day(end, "-01-01"), _day(end, "-03-31")))
+            .when(written.isNotNull(), _dates(_day(end - 1, "-04-01"), _day(end, "-03-31")))
+            .when(year.isNotNull(), _dates(_day(year, "-01-01"), _day(year, "-12-31")))
+            .when(date.rlike(r"^\d{4}-\d{2}-\d{2}$"), point(date))
+            .when(date.rlike(_MONTH_FIRST), point(rearranged(_MONTH_FIRST, "$3-$1-$2")))
+            .when(date.rlike(_YEAR_FIRST), point(rearranged(_YEAR_FIRST, "$1-$2-$3")))
+            .otherwise(point(F.lit(None).cast("string")))
+        )
+
+    # Matched once: quarter, fiscal year, calendar year, date; other texts have no parts.
+    bare = strip(text)
+    coded = F.when(bare.rlike(_PERIOD), F.regexp_replace(bare, _PERIOD, "$1\1$2\1$3\1$4"))
+    return let(F.split(F.coalesce(coded, F.lit("\1\1\1")), "\1"), by_parts)
 
 
 def normalize_facts(facts: DataFrame) -> DataFrame:

@@ -231,12 +231,12 @@ def leader_clusters(
 
 
 def survivors(clustered: DataFrame) -> DataFrame:
-    """The most confident fact of each cluster, the earliest on ties."""
+    """``doc_id, seq`` of the most confident fact of each cluster, the earliest on ties."""
     best = F.max_by(F.col("seq"), F.struct(F.col("confidence"), (-F.col("seq")).alias("early")))
-    kept = clustered.groupBy(*BLOCK, "leader").agg(best.alias("seq")).select("doc_id", "seq")
-    return clustered.join(kept, ["doc_id", "seq"], "left_semi")
+    return clustered.groupBy(*BLOCK, "leader").agg(best.alias("seq")).select("doc_id", "seq")
 
 
 def dedupe_facts(facts: DataFrame, **limits) -> DataFrame:
     """Facts without near-duplicates; order by ``seq`` gives the input order."""
-    return survivors(leader_clusters(facts, **limits)).select(*facts.columns)
+    narrow = facts.select("doc_id", "seq", "subject", "evidence_span", "confidence")
+    return facts.join(survivors(leader_clusters(narrow, **limits)), ["doc_id", "seq"], "left_semi")

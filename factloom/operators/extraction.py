@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.responses import json_rows, response_claims
 from factloom.functions.text import is_grounded, strip
@@ -45,35 +45,42 @@ def pattern_claims(chunks: DataFrame) -> DataFrame:
     which holds it whole when lines are no longer than the overlap. The whole stage is a projection.
     """
     lines = F.split("text", "\n")
-    kept = F.when(F.col("chunk_no") == 0, lines).otherwise(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))
-    stated = F.filter(F.transform(kept, strip), lambda x: x.rlike(_NUMERIC) | x.rlike(_STATEMENT))
-    rows = chunks.select(
-        "doc_id", "page", "char_start", F.col("text").alias("chunk_text"), F.posexplode(stated).alias("row_pos", "line")
+    kept = F.when(F.col("chunk_no") == 0, lines).otherwise(
+        F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
     )
-    numeric = F.col("line").rlike(_NUMERIC)
+    # Each line is matched once and turned into its parts: kind, line, then the groups in order.
+    numeric = "\1".join(["n", "$0", "$1", "$2", "$3", "$4", "$5$6", "$7$8", "$9"])
+    statement = "\1".join(["s", "$0", "$1", "$2", "", "$3", "", "$4$5", "$6"])
 
-    def part(in_numeric: int, in_statement: int | None):
-        other = F.regexp_extract("line", _STATEMENT, in_statement) if in_statement else F.lit("")
-        return F.when(numeric, F.regexp_extract("line", _NUMERIC, in_numeric)).otherwise(other)
+    def parts_of(line: Column) -> Column:
+        coded = F.when(line.rlike(_NUMERIC), F.regexp_replace(line, _NUMERIC, numeric)).when(
+            line.rlike(_STATEMENT), F.regexp_replace(line, _STATEMENT, statement)
+        )
+        return F.split(coded, "\1")
 
-    hedge = part(3, None)
-    unit = F.concat(part(5, None), part(6, None))
-    period = F.concat(part(7, 4), part(8, 5))
-    scope = F.filter(F.split(part(9, 6), ", *"), lambda q: q != "")
+    stated = F.filter(F.transform(kept, lambda x: parts_of(strip(x))), lambda p: p.isNotNull())
+    rows = chunks.select(
+        "doc_id", "page", "char_start", F.col("text").alias("chunk_text"), F.posexplode(stated).alias("row_pos", "p")
+    )
+    kind, line, subject, attribute, hedge, value, unit, period, scope = [F.col("p")[i] for i in range(9)]
     confidence = (
-        F.when(~numeric, 0.75).when(hedge != "", 0.7).when((unit != "") & (period != ""), 0.95).otherwise(0.8)
+        F.when(kind == "s", 0.75).when(hedge != "", 0.7).when((unit != "") & (period != ""), 0.95).otherwise(0.8)
     )
     claims = rows.select(
-        "doc_id", "page", "char_start", "chunk_text", "row_pos",
-        part(1, 1).alias("subject"),
-        part(2, 2).alias("attribute"),
-        part(4, 3).alias("value"),
+        "doc_id",
+        "page",
+        "char_start",
+        "chunk_text",
+        "row_pos",
+        subject.alias("subject"),
+        attribute.alias("attribute"),
+        value.alias("value"),
         unit.alias("unit"),
         period.alias("temporal_context"),
-        scope.alias("scope_qualifiers"),
-        F.col("line").alias("evidence_span"),
-        F.col("line").alias("claim_text"),
-        F.when(numeric, "numerical").otherwise("semantic").alias("fact_kind"),
+        F.filter(F.split(scope, ", *"), lambda q: q != "").alias("scope_qualifiers"),
+        line.alias("evidence_span"),
+        line.alias("claim_text"),
+        F.when(kind == "n", "numerical").otherwise("semantic").alias("fact_kind"),
         confidence.alias("confidence"),
     )
     grounded = claims.where(is_grounded(F.col("chunk_text"), F.col("evidence_span")))

@@ -30,15 +30,12 @@ DISTANCE_DIGITS = 9
 _TOLERANCE = 1e-6
 
 
-def _prepare(rows: DataFrame, key: str, vector: str, match: list[str], differ, earlier, spare: tuple) -> DataFrame:
-    """id, unit vector (two spare places keep zero vectors at distance 1), and the filter columns."""
-    unit = unit_vector(F.col(vector))
-    zero = F.forall(unit, lambda x: x == 0)
-    places = F.when(zero, F.array(*map(F.lit, spare))).otherwise(F.array(F.lit(0.0), F.lit(0.0)))
+def _prepare(rows: DataFrame, key: str, vector: str, match: list[str], differ, earlier) -> DataFrame:
+    """id, unit vector and the filter columns; a zero vector stays zero, at distance 1 from all."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in match]
     return rows.where(F.col(vector).isNotNull()).select(
         F.col(key).alias("id"),
-        F.concat(unit, places).alias("vec"),
+        unit_vector(F.col(vector)).alias("vec"),
         F.concat_ws("\1", *parts).alias("match") if parts else F.lit("").alias("match"),
         (F.col(differ).cast("string") if differ else F.lit("")).alias("differ"),
         (F.col(earlier).cast("long") if earlier else F.lit(0).cast("long")).alias("earlier"),
@@ -302,11 +299,13 @@ def nearest_join(
     """
     match = match or []
     flags = (bool(match), bool(differ), bool(earlier))
-    q = _prepare(queries, query_id, vector, match, differ, earlier, (1.0, 0.0))
-    b = _prepare(base, base_id, vector, match, differ, earlier, (0.0, 1.0))
-    if match:
-        b = b.join(q.select("match").distinct(), "match", "left_semi").select(*b.columns)
-    q = materialize(q, "queries")
+    q = materialize(_prepare(queries, query_id, vector, match, differ, earlier), "queries")
+    if queries is base and query_id == base_id:
+        b = q
+    else:
+        b = _prepare(base, base_id, vector, match, differ, earlier)
+        if match:
+            b = b.join(q.select("match").distinct(), "match", "left_semi").select(*b.columns)
     b = materialize(_fold_copies(b, k, differ), "base")
     n = b.count()
     if match:
@@ -323,7 +322,13 @@ def nearest_join(
 
     import numpy as np
 
-    sample = b.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").collect()
+    directed = b.where(F.exists("vec", lambda x: x != 0))
+    sample = directed.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").collect()
+    if not sample:
+        return nearest_join(
+            queries, base, k, query_id=query_id, base_id=base_id, vector=vector, differ=differ,
+            earlier=earlier, cells=1, rows_per_task=rows_per_task,
+        )
     pivots = np.array([row.vec for row in sample])
     b = materialize(
         _near_pivots(b, pivots, 1).withColumn("cell", F.col("cells")[0]).drop("cells"), "cells"

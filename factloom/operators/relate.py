@@ -161,7 +161,7 @@ def describe_fact(fact: Column, title: str) -> Column:
         F.concat(F.lit("value: "), joined(fact.value, fact.unit)),
         F.when(
             fact.normalized_value.isNotNull(),
-            F.concat(F.lit("normalised: "), joined(F.format_number(fact.normalized_value, "0.######"), fact.normalized_unit)),
+            F.concat(F.lit("normalised: "), joined(F.call_function("format_number", fact.normalized_value, F.lit("0.######")), fact.normalized_unit)),
         ),
         F.concat(F.lit("time: "), when_known),
         F.when(fact.period_start.isNotNull() | fact.period_end.isNotNull(), F.concat(F.lit("period: "), period)),

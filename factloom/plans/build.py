@@ -19,6 +19,7 @@ from factloom.operators.relate import (
     informative,
 )
 from factloom.schemas import FACT_FIELDS
+from factloom.session import materialize
 
 # Facts can only be related within these columns, so candidates are sought there.
 MATCH = ["canonical_subject", "attribute_key"]
@@ -32,7 +33,9 @@ def build_facts(
 ) -> DataFrame:
     """Facts of ``doc_id, text, ingest_seq`` rows: chunk, extract, ground, normalise, de-duplicate."""
     chunks = chunk_documents(documents, max_chars, overlap)
-    facts = dedupe_facts(normalize_facts(extract(chunks)))
+    # Written once: the duplicate search reads the claims several times.
+    claims = materialize(normalize_facts(extract(chunks)), "claims")
+    facts = dedupe_facts(claims)
     order = documents.select("doc_id", "ingest_seq")
     return facts.join(order, "doc_id").select(*FACT_FIELDS, "seq", "ingest_seq")
 
@@ -56,8 +59,7 @@ def build_edges(
     ``known`` are the facts to search in (default: the facts themselves); ``match=[]`` searches
     across subjects as well.
     """
-    base = facts if known is None else known
-    pairs = candidate_pairs(
-        searchable(facts), searchable(base), top_k, match=MATCH if match is None else match, **options
-    )
-    return informative(judge(pairs, base if known is None else base.unionByName(facts).dropDuplicates(["id"])))
+    base = None if known is None else searchable(known)
+    pairs = candidate_pairs(searchable(facts), base, top_k, match=MATCH if match is None else match, **options)
+    involved = facts if known is None else facts.unionByName(known).dropDuplicates(["id"])
+    return informative(judge(pairs, involved))

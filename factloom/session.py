@@ -19,6 +19,9 @@ def build_session(master: str = "local[8]", app_name: str = "factloom", **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Small local tables: many small splits, as the stages are bound by CPU and not by I/O.
+        .config("spark.sql.files.openCostInBytes", "65536")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
