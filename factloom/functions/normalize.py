@@ -83,7 +83,7 @@ def _literal_map(table: dict) -> Column:
 
 def parse_number(text: Column) -> Column:
     """``'8,142'`` to 8142.0; null when the rest is not a plain decimal number."""
-    digits = F.regexp_replace(strip(text), "[, ]", "")
+    digits = F.translate(strip(text), ", ", "")
     return F.when(digits.rlike(_NUMBER), digits.try_cast("double"))
 
 

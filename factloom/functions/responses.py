@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.functions.text import is_grounded, let, strip
+from factloom.functions.text import let, normal_span, span_grounded, strip
 from factloom.schemas import CLAIM_FIELDS, DIMENSIONS, RELATIONS
 
 
@@ -77,14 +77,15 @@ def claim_fields(row: Column) -> dict[str, Column]:
 
 def response_claims(responses: DataFrame, keep: list[str], *, allow_blank: bool = False) -> DataFrame:
     """Grounded claims of ``response`` rows against ``chunk_text``; ``row_pos`` is the array place."""
-    rows = responses.select(
-        *keep, "chunk_text", F.posexplode(valid_rows(json_rows(F.col("response")))).alias("row_pos", "_row")
+    spans = responses.withColumn("chunk_span", normal_span(F.col("chunk_text")))
+    rows = spans.select(
+        *keep, "chunk_span", F.posexplode(valid_rows(json_rows(F.col("response")))).alias("row_pos", "_row")
     )
     claims = rows.select(
-        *keep, "chunk_text", "row_pos", *[c.alias(n) for n, c in claim_fields(F.col("_row")).items()]
+        *keep, "chunk_span", "row_pos", *[c.alias(n) for n, c in claim_fields(F.col("_row")).items()]
     )
-    grounded = is_grounded(F.col("chunk_text"), F.col("evidence_span"), allow_blank=allow_blank)
-    return claims.where(grounded).drop("chunk_text")
+    grounded = span_grounded(F.col("chunk_span"), F.col("evidence_span"), allow_blank=allow_blank)
+    return claims.where(grounded).drop("chunk_span")
 
 
 def json_object(text: Column) -> Column:

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# Unicode white space, plus the four ASCII separators that Python also strips.
-_SPACE = r"[\s\x1c-\x1f]"
-_RUN = rf"(?U){_SPACE}+"
-_ENDS = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+# The characters Python counts as white space.
+WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_RUN = r"(?U)[\s\x1c-\x1f]+"  # the same characters
 
 HEADING_MAX = 60
 HEADING_ENDINGS = r"[.,;:?!]$"
@@ -21,7 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _ENDS, "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def collapse(text: Column) -> Column:
@@ -64,9 +67,13 @@ def is_grounded(chunk_text: Column, evidence: Column, *, allow_blank: bool = Fal
     Blank evidence is rejected; with ``allow_blank`` evidence made only of white space passes,
     the empty string never does.
     """
-    found = F.contains(normal_span(chunk_text), normal_span(evidence))
+    return span_grounded(normal_span(chunk_text), evidence, allow_blank=allow_blank)
+
+
+def span_grounded(chunk_span: Column, evidence: Column, *, allow_blank: bool = False) -> Column:
+    """:func:`is_grounded` for a chunk that is normalised already, once for all of its claims."""
     required = evidence if allow_blank else strip(evidence)
-    return F.coalesce(found & (required != ""), F.lit(False))
+    return F.coalesce(F.contains(chunk_span, normal_span(evidence)) & (required != ""), F.lit(False))
 
 
 def section_hint(page_text: Column) -> Column:

@@ -59,7 +59,7 @@ def token_embedding(text: Column, dim: int = 64) -> Column:
     def counts(slots: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"),
+            lambda d: (F.size(slots) - F.size(F.array_remove(slots, d))).cast("double"),
         )
 
     return unit_vector(let(places, counts))

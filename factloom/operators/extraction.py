@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.responses import json_rows, response_claims
-from factloom.functions.text import is_grounded, strip
+from factloom.functions.text import normal_span, span_grounded, strip
 from factloom.operators.requests import ask_cached, request_key
 
 _PERIOD = r"(?:Q[1-4])?FY[0-9]{2,4}|CY[0-9]{4}|[0-9]{4}"
@@ -59,9 +59,8 @@ def pattern_claims(chunks: DataFrame) -> DataFrame:
         return F.split(coded, "\1")
 
     stated = F.filter(F.transform(kept, lambda x: parts_of(strip(x))), lambda p: p.isNotNull())
-    rows = chunks.select(
-        "doc_id", "page", "char_start", F.col("text").alias("chunk_text"), F.posexplode(stated).alias("row_pos", "p")
-    )
+    spans = chunks.withColumn("chunk_span", normal_span(F.col("text")))
+    rows = spans.select("doc_id", "page", "char_start", "chunk_span", F.posexplode(stated).alias("row_pos", "p"))
     kind, line, subject, attribute, hedge, value, unit, period, scope = [F.col("p")[i] for i in range(9)]
     confidence = (
         F.when(kind == "s", 0.75).when(hedge != "", 0.7).when((unit != "") & (period != ""), 0.95).otherwise(0.8)
@@ -70,7 +69,7 @@ def pattern_claims(chunks: DataFrame) -> DataFrame:
         "doc_id",
         "page",
         "char_start",
-        "chunk_text",
+        "chunk_span",
         "row_pos",
         subject.alias("subject"),
         attribute.alias("attribute"),
@@ -83,8 +82,8 @@ def pattern_claims(chunks: DataFrame) -> DataFrame:
         F.when(kind == "n", "numerical").otherwise("semantic").alias("fact_kind"),
         confidence.alias("confidence"),
     )
-    grounded = claims.where(is_grounded(F.col("chunk_text"), F.col("evidence_span")))
-    return _in_order(grounded.drop("chunk_text"))
+    grounded = claims.where(span_grounded(F.col("chunk_span"), F.col("evidence_span")))
+    return _in_order(grounded.drop("chunk_span"))
 
 
 def extraction_requests(chunks: DataFrame, model: str = "model") -> DataFrame:

@@ -47,16 +47,27 @@ def _fold_copies(base: DataFrame, k: int, differ) -> DataFrame:
 
     Ties are ranked by (earlier, id), so "earlier" queries accept a prefix of that order. Per
     ``differ`` value k rows are enough, and over all values 2k, as a query excludes one value.
+    Only vectors with more than k copies are touched; counting hashes finds them (a collision
+    merely makes a group look larger).
     """
+    digest = F.xxhash64("match", "vec").alias("digest")
+    counts = base.select(digest).groupBy("digest").agg(F.count("*").alias("n"))
+    crowded = counts.where(F.col("n") > k).select("digest")
+    if crowded.isEmpty():
+        return base
+    hashed = base.select("*", digest)
     order = ["earlier", "id"]
 
     def first(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return rows.withColumn("_copy", rank).where(F.col("_copy") <= n).drop("_copy")
 
+    copies = hashed.join(crowded, "digest", "left_semi")
     if differ:
-        base = first(base, ["match", "vec", "differ"], k)
-    return first(base, ["match", "vec"], 2 * k if differ else k)
+        copies = first(copies, ["match", "vec", "differ"], k)
+    copies = first(copies, ["match", "vec"], 2 * k if differ else k)
+    single = hashed.join(crowded, "digest", "left_anti")
+    return materialize(single.unionByName(copies).drop("digest"), "base")
 
 
 def _matrix(table):
@@ -83,6 +94,22 @@ def _result_schema(queries: DataFrame, base: DataFrame):
 def _scorer(k: int, match: bool, differ: bool, earlier: bool, arrow_schema):
     """Group function: the k best eligible base rows for every query of one task."""
 
+    def blocks(queries, base, codes):
+        """Row numbers of both sides for each match value present on both, base order kept."""
+        import numpy as np
+
+        if not match:
+            yield np.arange(queries.num_rows), np.arange(base.num_rows)
+            return
+        sides = []
+        for values in codes("match"):
+            order = np.argsort(values, kind="stable")
+            keys, starts = np.unique(values[order], return_index=True)
+            sides.append(dict(zip(keys.tolist(), np.split(order, starts[1:]))))
+        for key, rows in sides[0].items():
+            if key in sides[1]:
+                yield rows, sides[1][key]
+
     def score(queries, base):
         import numpy as np
         import pyarrow as pa
@@ -99,33 +126,31 @@ def _scorer(k: int, match: bool, differ: bool, earlier: bool, arrow_schema):
             index = both.indices.to_numpy(zero_copy_only=False)
             return index[: queries.num_rows], index[queries.num_rows :]
 
-        match_codes = codes("match") if match else None
         differ_codes = codes("differ") if differ else None
         times = [t.column("earlier").to_numpy() for t in (queries, base)] if earlier else None
         picked_q, picked_b, picked_d = [], [], []
-        for low in range(0, len(left), 512):
-            part = slice(low, low + 512)
-            distance = np.round(1.0 - left[part] @ right.T, DISTANCE_DIGITS) + 0.0
-            if match:
-                distance[match_codes[0][part, None] != match_codes[1][None, :]] = np.inf
-            if differ:
-                distance[differ_codes[0][part, None] == differ_codes[1][None, :]] = np.inf
-            if earlier:
-                distance[times[1][None, :] >= times[0][part, None]] = np.inf
-            if distance.shape[1] > k:
-                limit = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
-                wanted = (distance <= limit) & np.isfinite(distance)
-            else:
+        for q_rows, b_rows in blocks(queries, base, codes):
+            b_vectors = right[b_rows].T
+            for low in range(0, len(q_rows), 512):
+                rows = q_rows[low : low + 512]
+                distance = np.round(1.0 - left[rows] @ b_vectors, DISTANCE_DIGITS) + 0.0
+                if differ:
+                    distance[differ_codes[0][rows, None] == differ_codes[1][None, b_rows]] = np.inf
+                if earlier:
+                    distance[times[1][None, b_rows] >= times[0][rows, None]] = np.inf
                 wanted = np.isfinite(distance)
-            row, column = np.nonzero(wanted)
-            value = distance[row, column]
-            order = np.lexsort((column, value, row))
-            row, column, value = row[order], column[order], value[order]
-            first = np.searchsorted(row, row, side="left")
-            keep = np.arange(len(row)) - first < k
-            picked_q.append(row[keep] + low)
-            picked_b.append(column[keep])
-            picked_d.append(value[keep])
+                if distance.shape[1] > k:
+                    wanted &= distance <= np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+                row, column = np.nonzero(wanted)
+                value = distance[row, column]
+                order = np.lexsort((column, value, row))
+                row, column, value = row[order], column[order], value[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+                picked_q.append(rows[row[keep]])
+                picked_b.append(b_rows[column[keep]])
+                picked_d.append(value[keep])
+        if not picked_q:
+            return arrow_schema.empty_table()
         q, b, d = (np.concatenate(x) for x in (picked_q, picked_b, picked_d))
         return pa.table(
             [
@@ -301,12 +326,13 @@ def nearest_join(
     flags = (bool(match), bool(differ), bool(earlier))
     q = materialize(_prepare(queries, query_id, vector, match, differ, earlier), "queries")
     if queries is base and query_id == base_id:
-        b = q
+        b = q.select(*[F.col(c).alias(c) for c in q.columns])
     else:
         b = _prepare(base, base_id, vector, match, differ, earlier)
         if match:
             b = b.join(q.select("match").distinct(), "match", "left_semi").select(*b.columns)
-    b = materialize(_fold_copies(b, k, differ), "base")
+        b = materialize(b, "base")
+    b = _fold_copies(b, k, differ)
     n = b.count()
     if match:
         buckets = max(1, math.ceil(n / rows_per_task))

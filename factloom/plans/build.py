@@ -19,7 +19,7 @@ from factloom.operators.relate import (
     informative,
 )
 from factloom.schemas import FACT_FIELDS
-from factloom.session import materialize
+from factloom.session import materialize, spread
 
 # Facts can only be related within these columns, so candidates are sought there.
 MATCH = ["canonical_subject", "attribute_key"]
@@ -32,7 +32,7 @@ def build_facts(
     overlap: int = OVERLAP,
 ) -> DataFrame:
     """Facts of ``doc_id, text, ingest_seq`` rows: chunk, extract, ground, normalise, de-duplicate."""
-    chunks = chunk_documents(documents, max_chars, overlap)
+    chunks = chunk_documents(spread(documents), max_chars, overlap)
     # Written once: the duplicate search reads the claims several times.
     claims = materialize(normalize_facts(extract(chunks)), "claims")
     facts = dedupe_facts(claims)

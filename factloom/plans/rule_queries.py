@@ -24,7 +24,7 @@ from factloom.plans.claims import layer_facts, once, stored_documents, table
 from factloom.plans.claims_sql import CANDIDATES, EDGES, FACTS
 from factloom.plans.registry import query
 from factloom.schemas import CLAIM_FIELDS
-from factloom.session import materialize
+from factloom.session import materialize, spread
 
 
 def _choose(number, options: list[str]):
@@ -85,7 +85,8 @@ def parsed_periods(spark, sf_dir):
         "'sometime last year'",
         "''",
     ])
-    return table(spark, sf_dir, "orders").select("o_orderkey", parse_period(said).alias("p")).select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    return orders.select("o_orderkey", parse_period(said).alias("p")).select(
         "o_orderkey", "p.period_start", "p.period_end"
     )
 

@@ -19,6 +19,7 @@ from factloom.operators.chunking import chunk_documents, merge_pages
 from factloom.operators.dedupe import dedupe_facts, leader_clusters
 from factloom.plans.claims import table
 from factloom.plans.registry import query
+from factloom.session import spread
 from factloom.sources.blocks import (
     first_per_folder,
     html_blocks,
@@ -67,11 +68,11 @@ html_blocks AS (
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_blocks(table(spark, sf_dir, "pages"), "page_id")
+    return html_blocks(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "page_id")
 
 
 @query(
@@ -273,7 +274,7 @@ def neighbour_overlap(spark, sf_dir):
 
 def _line_facts(spark: SparkSession, sf_dir: str, block: str) -> DataFrame:
     """Lines as facts: documents of one source are one document when ``block`` is ``source``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     lines = F.filter(F.split("text", "\n"), lambda t: t.rlike(r"\S"))
     rows = docs.select(
         F.col(block).cast("string").alias("doc_id"),

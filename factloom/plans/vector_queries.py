@@ -10,7 +10,7 @@ from factloom.operators.nearest import collection_size, nearest_join, nearest_to
 from factloom.operators.qa import answer, contexts, retrieve
 from factloom.plans.claims import once, table
 from factloom.plans.registry import query
-from factloom.session import materialize
+from factloom.session import materialize, spread
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -156,7 +156,7 @@ def _passages(spark, sf_dir) -> DataFrame:
     """Document lines as facts to answer from."""
 
     def build():
-        lines = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+        lines = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
         number = lambda c, n: F.lpad(c.cast("string"), n, "0")
         key = F.concat(F.lit("p"), number(F.col("doc_id"), 9), F.lit("-"), number(F.col("pos") + 1, 6))
         facts = lines.where(F.col("text").rlike(r"\S")).select(
