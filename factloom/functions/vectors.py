@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.text import let
@@ -84,8 +85,6 @@ def text_embedding(texts: DataFrame, text: str, out: str = "embedding", dim: int
 
 def encode_with(texts: DataFrame, text: str, encoder, out: str = "embedding") -> DataFrame:
     """Vectors from the caller's ``encoder(list[str]) -> list[list[float]]``, one call per batch."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(batch: pd.Series) -> pd.Series:
         return pd.Series([[float(x) for x in vector] for vector in encoder(batch.tolist())])

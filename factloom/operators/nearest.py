@@ -5,7 +5,8 @@ have neighbours in a cell are sent there, and both sides of a cell are split int
 that holds a third of all rows is just many tasks. A task multiplies two small matrices and keeps
 the k best per query; pairs never leave it. The partial results meet in a rank window.
 
-* with ``match`` columns the cell is a hash of them: one pass;
+* with ``match`` columns the cell is a hash of them: one pass; only blocks of more than
+  ``HOT_BLOCK`` rows, whose pairs would be too many to score, go the other way;
 * without, cells are the regions around sampled pivots. Pass one searches the query's own region
   and gives an upper bound of its k-th distance; pass two visits only those regions that the
   triangle inequality does not rule out (a pivot-based kNN join as in Lu et al., 2012), so the
@@ -26,16 +27,17 @@ from factloom.session import materialize
 ROWS_PER_TASK = 4096
 MAX_CELLS = 1024
 MAX_BROADCAST_CELLS = 100_000
+HOT_BLOCK = 64 * ROWS_PER_TASK
 DISTANCE_DIGITS = 9
 _TOLERANCE = 1e-6
 
 
 def _prepare(rows: DataFrame, key: str, vector: str, match: list[str], differ, earlier) -> DataFrame:
-    """id, unit vector and the filter columns; a zero vector stays zero, at distance 1 from all."""
+    """id, vector and the filter columns under fixed names."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in match]
     return rows.where(F.col(vector).isNotNull()).select(
         F.col(key).alias("id"),
-        unit_vector(F.col(vector)).alias("vec"),
+        F.col(vector).cast("array<double>").alias("vec"),
         F.concat_ws("\1", *parts).alias("match") if parts else F.lit("").alias("match"),
         (F.col(differ).cast("string") if differ else F.lit("")).alias("differ"),
         (F.col(earlier).cast("long") if earlier else F.lit(0).cast("long")).alias("earlier"),
@@ -71,11 +73,14 @@ def _fold_copies(base: DataFrame, k: int, differ) -> DataFrame:
 
 
 def _matrix(table):
+    """Vectors as rows of length one; a zero vector stays zero, at distance 1 from all."""
     import numpy as np
 
     column = table.column("vec").combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.ascontiguousarray(flat.reshape(len(column), -1))
+    rows = flat.reshape(len(column), -1).astype(np.float64)
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length > 0, length, 1.0)
 
 
 def _result_schema(queries: DataFrame, base: DataFrame):
@@ -314,6 +319,7 @@ def nearest_join(
     probes: int | None = None,
     cells: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    hot_block: int = HOT_BLOCK,
 ) -> DataFrame:
     """The ``k`` nearest base rows of every query: ``query_id, base_id, distance, rank``.
 
@@ -333,29 +339,45 @@ def nearest_join(
             b = b.join(q.select("match").distinct(), "match", "left_semi").select(*b.columns)
         b = materialize(b, "base")
     b = _fold_copies(b, k, differ)
-    n = b.count()
-    if match:
-        buckets = max(1, math.ceil(n / rows_per_task))
-        place: Column = F.pmod(F.xxhash64("match"), F.lit(buckets)).cast("int")
-        parts = _score_cells(q.withColumn("cell", place), b.withColumn("cell", place), k, rows_per_task, flags, buckets)
-        return _best(parts, k).drop("earlier")
+    regions = lambda q, b: _by_regions(q, b, k, flags, cells, probes, rows_per_task)
+    if not match:
+        return regions(q, b)
+    hot = b.groupBy("match").agg(F.count("*").alias("n")).where(F.col("n") > hot_block).select("match")
+    if hot.isEmpty():
+        return _by_buckets(q, b, k, flags, rows_per_task)
+    hot = materialize(hot, "hot")
+    part = lambda rows, how: materialize(rows.join(hot, "match", how).select(*rows.columns), "part")
+    usual = _by_buckets(part(q, "left_anti"), part(b, "left_anti"), k, flags, rows_per_task)
+    return usual.unionByName(regions(part(q, "left_semi"), part(b, "left_semi")))
+
+
+def _by_buckets(q: DataFrame, b: DataFrame, k: int, flags, rows_per_task: int) -> DataFrame:
+    """Blocks of equal ``match`` meet in hash buckets; their pairs are all scored."""
+    buckets = max(1, math.ceil(b.count() / rows_per_task))
+    place: Column = F.pmod(F.xxhash64("match"), F.lit(buckets)).cast("int")
+    parts = _score_cells(
+        q.withColumn("cell", place), b.withColumn("cell", place), k, rows_per_task, flags, buckets
+    )
+    return _best(parts, k).drop("earlier")
+
+
+def _by_regions(q: DataFrame, b: DataFrame, k: int, flags, cells, probes, rows_per_task: int) -> DataFrame:
+    """Regions around pivots, searched in two pruned passes, or only the ``probes`` nearest ones."""
+    import numpy as np
+
     if cells is None:
+        n = b.count()
         cells = 1 if n <= 2 * rows_per_task else min(MAX_CELLS, int(math.sqrt(n)))
-    if cells == 1:
+    sample = []
+    if cells > 1:
+        directed = b.where(F.exists("vec", lambda x: x != 0))
+        sample = directed.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").collect()
+    if not sample:
         one = F.lit(0)
         parts = _score_cells(q.withColumn("cell", one), b.withColumn("cell", one), k, rows_per_task, flags, 1)
         return _best(parts, k).drop("earlier")
-
-    import numpy as np
-
-    directed = b.where(F.exists("vec", lambda x: x != 0))
-    sample = directed.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").collect()
-    if not sample:
-        return nearest_join(
-            queries, base, k, query_id=query_id, base_id=base_id, vector=vector, differ=differ,
-            earlier=earlier, cells=1, rows_per_task=rows_per_task,
-        )
     pivots = np.array([row.vec for row in sample])
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     b = materialize(
         _near_pivots(b, pivots, 1).withColumn("cell", F.col("cells")[0]).drop("cells"), "cells"
     )

@@ -59,6 +59,16 @@ def test_matches_brute_force(spark, copies, match, differ, earlier, cells):
     assert found == {q: v for q, v in expected.items() if v}
 
 
+def test_hot_blocks_take_the_regions(spark):
+    rows = [(i, v, "hot" if i % 3 else f"g{i % 4}", d, s) for i, v, _, d, s in make(240, 6, 9, 20)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, grp string, doc string, seq long")
+    got = nearest_join(df, df, 3, match=["grp"], differ="doc", earlier="seq", cells=5, rows_per_task=40, hot_block=100)
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append((r.base_id, r.distance))
+    assert found == {q: v for q, v in brute(rows, rows, 3, 1, 1, 1).items() if v}
+
+
 def test_probes_give_a_subset_with_good_recall(spark):
     rows = make(400, 8, 5)
     df = spark.createDataFrame(rows, "id long, embedding array<double>, grp string, doc string, seq long")
