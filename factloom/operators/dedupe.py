@@ -16,7 +16,7 @@ from factloom.functions.text import let, normal_span, sets_similar, spans_overla
 from factloom.session import materialize
 
 BLOCK = ["doc_id", "subject_key"]
-BLOCK_LIMIT = 256
+BLOCK_LIMIT = 1024
 BLOCK_CHARS = 1 << 20
 GRAM = 3
 LONG_TOKEN = 4096

@@ -28,6 +28,8 @@ ROWS_PER_TASK = 4096
 MAX_CELLS = 1024
 MAX_BROADCAST_CELLS = 100_000
 HOT_BLOCK = 64 * ROWS_PER_TASK
+# Up to so many pairs, scoring all of them in slices costs less than placing rows in regions.
+SCORE_ALL = 1 << 33
 DISTANCE_DIGITS = 9
 _TOLERANCE = 1e-6
 
@@ -367,7 +369,7 @@ def _by_regions(q: DataFrame, b: DataFrame, k: int, flags, cells, probes, rows_p
 
     if cells is None:
         n = b.count()
-        cells = 1 if n <= 2 * rows_per_task else min(MAX_CELLS, int(math.sqrt(n)))
+        cells = 1 if n * q.count() <= SCORE_ALL else min(MAX_CELLS, int(math.sqrt(n)))
     sample = []
     if cells > 1:
         directed = b.where(F.exists("vec", lambda x: x != 0))

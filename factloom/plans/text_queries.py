@@ -336,4 +336,4 @@ def near_duplicate_survivors(spark, sf_dir):
 @query()
 def near_duplicate_leaders_by_source(spark, sf_dir):
     """Whole sources as documents: hot blocks, which take the distributed path."""
-    return leader_clusters(_line_facts(spark, sf_dir, "source")).select("doc_id", "subject_key", "seq", "leader")
+    return leader_clusters(_line_facts(spark, sf_dir, "source"), block_limit=256).select("doc_id", "subject_key", "seq", "leader")
