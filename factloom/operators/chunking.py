@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.functions.text import section_hint
+from factloom.functions.text import let, section_hint
 from factloom.sources.blocks import text_pages
 
 MAX_CHARS = 1200
 OVERLAP = 150
+LONG_PAGE = 1 << 16
 
 
 def merge_pages(blocks: DataFrame) -> DataFrame:
@@ -40,6 +41,22 @@ def _starts(length: Column, max_chars: int, step: int) -> Column:
     )
 
 
+def _windows(text: Column, max_chars: int, overlap: int, step: int) -> Column:
+    """Texts of all windows. Long pages are cut into steps in one pass, as seeking each window from
+    the start of the text would take quadratic time; a window is its step and the head of the next."""
+    starts = _starts(F.length(text), max_chars, step)
+    sought = F.transform(starts, lambda p: F.substring(text, (p + 1).cast("int"), F.lit(max_chars)))
+    if overlap > step:
+        return sought
+
+    def joined(pieces: Column) -> Column:
+        head = lambda i: F.coalesce(F.substring(F.get(pieces, i + 1), 1, overlap), F.lit(""))
+        return F.transform(F.slice(pieces, F.lit(1), F.size(starts)), lambda p, i: F.concat(p, head(i)))
+
+    cut = let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % step), F.lit(0)), joined)
+    return F.when(F.length(text) <= LONG_PAGE, sought).otherwise(cut)
+
+
 def sliding_chunks(
     pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, exact_offsets: bool = False
 ) -> DataFrame:
@@ -58,9 +75,8 @@ def sliding_chunks(
         F.col("text").alias("_page_text"),
         F.col("char_start").alias("_base"),
         section_hint(F.col("text")).alias("section_hint"),
-        F.posexplode(_starts(F.length("text"), max_chars, step)).alias("chunk_no", "_pos"),
-    )
-    text = F.substring(F.col("_page_text"), (F.col("_pos") + 1).cast("int"), F.lit(max_chars))
+        F.posexplode(_windows(F.col("text"), max_chars, overlap, step)).alias("chunk_no", "text"),
+    ).withColumn("_pos", F.col("chunk_no").cast("long") * step)
     start = F.col("_base") + F.col("_pos")
     end = start + F.length("text")
     if exact_offsets:
@@ -69,7 +85,7 @@ def sliding_chunks(
         inner = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
         start = start - newlines
         end = start + F.length("text") - inner
-    return windows.withColumn("text", text).select(
+    return windows.select(
         "doc_id",
         "page",
         "chunk_no",

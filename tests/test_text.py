@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions.text import is_grounded, jaccard, render_table, section_hint, spans_overlap, strip, token_set
+from factloom.operators import chunking
 from factloom.operators.chunking import chunk_blocks, chunk_documents, merge_pages, sliding_chunks
 from factloom.sources.blocks import (
     first_per_folder, html_blocks, page_counts, parse_with, read_files, running_offsets, table_blocks, text_blocks, text_pages,
@@ -27,9 +28,11 @@ def test_chunks_stay_on_their_page_and_within_size(spark):
     assert not any("C" in c.text and ("A" in c.text or "B" in c.text) for c in chunks)
 
 
+@pytest.mark.parametrize("long_page", [0, 1 << 16])
 @pytest.mark.parametrize("size,overlap,length", [(500, 50, 1300), (500, 0, 1000), (10, 20, 35), (7, 3, 7), (5, 4, 23)])
-def test_windows_equal_a_plain_loop(spark, size, overlap, length):
-    text = "".join(chr(97 + i % 26) for i in range(length))
+def test_windows_equal_a_plain_loop(spark, monkeypatch, size, overlap, length, long_page):
+    monkeypatch.setattr(chunking, "LONG_PAGE", long_page)
+    text = "".join("\n" if i % 9 == 4 else chr(0x1F600 + i % 26) for i in range(length))
     expected, pos = [], 0
     while True:
         end = min(pos + size, length)
