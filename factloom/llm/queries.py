@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.common import table
 from factloom.llm.exact_dedup import exact_duplicates
 from factloom.llm.mixing import mix
+from factloom.llm.token_counts import token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -24,6 +26,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(
     r"""
 WITH n AS (
