@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom.llm import language_id, toxicity
 from factloom.llm.common import table
 from factloom.llm.exact_dedup import exact_duplicates
 from factloom.llm.mixing import mix
+from factloom.llm.secrets import secrets
 from factloom.llm.token_counts import token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +84,26 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     columns = ("doc_id", "size", "source_size", "target", "taken", "position")
     return mixed.select(*columns).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.remainder("doc_id", 4) == 2
+    model = language_id.fit(docs.where(~held).select("text", "lang"))
+    found = language_id.identify(docs.withColumn("held_out", held), model, "doc_id", "text", "held_out")
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query()
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = table(spark, sf_dir, "labels").where(language_id.remainder("doc_id", 5) != 0)
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, learned))
+    held = language_id.remainder("doc_id", 5) == 0
+    return scored.select("doc_id", held.alias("held_out"), F.col("score"), "predicted")
