@@ -11,6 +11,7 @@ from factloom.llm import language_id, toxicity
 from factloom.llm.common import table
 from factloom.llm.exact_dedup import exact_duplicates
 from factloom.llm.mixing import mix
+from factloom.llm.packing import pack, pieces
 from factloom.llm.secrets import secrets
 from factloom.llm.token_counts import token_counts
 
@@ -28,6 +29,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @query()
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
