@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from factloom.llm import language_id, toxicity
 from factloom.llm.common import table
 from factloom.llm.exact_dedup import exact_duplicates
+from factloom.llm.jaccard_join import jaccard_join
 from factloom.llm.mixing import mix
 from factloom.llm.packing import pack, pieces
 from factloom.llm.secrets import secrets
@@ -34,6 +35,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+@query()
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 @query()
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
