@@ -12,6 +12,7 @@ from factloom.llm.common import table
 from factloom.llm.exact_dedup import exact_duplicates
 from factloom.llm.jaccard_join import jaccard_join
 from factloom.llm.mixing import mix
+from factloom.llm.neighbours import nearest
 from factloom.llm.packing import pack, pieces
 from factloom.llm.secrets import secrets
 from factloom.llm.token_counts import token_counts
@@ -30,6 +31,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query()
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
