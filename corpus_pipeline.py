@@ -2,24 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom.llm import toxicity
 from factloom.llm.common import table
 from factloom.llm.exact_dedup import exact_duplicates
+from factloom.llm.jaccard_join import jaccard_join
+from factloom.llm.mixing import mix
+from factloom.llm.packing import pack, pieces
+from factloom.session import materialize
 
+#: Documents whose ids are broadcast to pick their rows; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first of equal texts stays."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
 
+def _only(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not among ``dropped``; rows without an id stay."""
+    dropped = materialize(dropped.where("doc_id is not null").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
 
-STAGES = [("exact dedup", exact_dedup)]
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon scores at 0.5 or more go; the labels of the corpus teach it."""
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _only(docs, toxicity.toxicity(docs, lexicon).where("predicted = 1"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id stays, once."""
+    found = materialize(exact_duplicates(docs), "copies")
+    return _once(_only(docs, found.where("doc_id <> keep_id")))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingles of five words at 0.8 the one with the smallest id stays."""
+    found = materialize(jaccard_join(docs, width=5, num=8, den=10), "near")
+    return _only(docs, found.where("doc_id <> component_id"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in the order of training; the last pass may end inside one.
+
+    Copies keep the columns of their document. Documents that the mix takes no word of, such as those
+    without words, are absent.
+    """
+    mixed = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken", "position")
+    rows = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col("_id")))
+    passes = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
+    rows = rows.withColumn("_pass", F.explode(passes))
+    words = F.least(F.col("size"), F.col("taken") - F.col("_pass") * F.col("size")).cast("int")
+    # Cut where a word ends, so that each part is a word with the white space before it.
+    parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    part = F.array_join(F.slice(parts, F.lit(1), words), "")
+    text = F.when(words < F.col("size"), part).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(words < F.col("size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "_pass").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their place in a training sequence."""
+    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """Rows repeated with their id count once; ids are unique in all but broken tables, where they are dealt by id."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
+    repeated = materialize(repeated, "again")
+    if not repeated.count():
+        return docs
+    one = docs.join(repeated, docs["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(repeated, docs["doc_id"] == F.col("_again"), "left_anti").unionByName(one)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact dedup", without_copies),
+    ("n-gram Jaccard join", without_near_copies),
+    ("mixing", mixed_sources),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each on the stored result of the one before."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
     return docs

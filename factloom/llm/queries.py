@@ -11,6 +11,7 @@ from factloom.llm import language_id, toxicity
 from factloom.llm.common import table
 from factloom.llm.exact_dedup import exact_duplicates
 from factloom.llm.jaccard_join import jaccard_join
+from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.mixing import mix
 from factloom.llm.neighbours import nearest
 from factloom.llm.packing import pack, pieces
@@ -36,6 +37,11 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query()
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
