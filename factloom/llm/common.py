@@ -30,8 +30,8 @@ def word_count(text: Column) -> Column:
 
 def spread_key(*columns: Column | str) -> Column:
     """Hex digest that gives rows a fixed pseudo-random order, the same in every run and engine."""
-    parts = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in columns]
-    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    texts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    return F.md5(F.concat_ws("|", *[F.coalesce(t, F.lit("")) for t in texts]))
 
 
 def with_running_sum(
