@@ -41,6 +41,13 @@ def _starts(length: Column, max_chars: int, step: int) -> Column:
     )
 
 
+def chunk_position(position: Column, length: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
+    """Start of the last window of a page of ``length`` characters that starts at or before ``position``."""
+    step = max(1, max_chars - overlap)
+    last = F.greatest(F.ceil((length - max_chars) / step), F.lit(0))
+    return F.least(F.floor(position / step), last) * step
+
+
 def _windows(text: Column, max_chars: int, overlap: int, step: int) -> Column:
     """Texts of all windows. Long pages are cut into steps in one pass, as seeking each window from
     the start of the text would take quadratic time; a window is its step and the head of the next."""

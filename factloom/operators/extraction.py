@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.responses import json_rows, response_claims
-from factloom.functions.text import normal_span, span_grounded, strip
+from factloom.functions.text import strip
+from factloom.operators.chunking import MAX_CHARS, OVERLAP, chunk_position
 from factloom.operators.requests import ask_cached, request_key
+from factloom.sources.blocks import running_starts
 
 _PERIOD = r"(?:Q[1-4])?FY[0-9]{2,4}|CY[0-9]{4}|[0-9]{4}"
 _NUMERIC = (
@@ -38,16 +40,14 @@ def _in_order(claims: DataFrame) -> DataFrame:
     )
 
 
-def pattern_claims(chunks: DataFrame) -> DataFrame:
+def pattern_claims(pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Claims stated one per line: ``<subject> <attribute> was <value> <unit> in <period> (scope).``
 
-    A later chunk of a page may begin inside a line, so its first line is left to the chunk before,
-    which holds it whole when lines are no longer than the overlap. The whole stage is a projection.
+    Lines are taken from the pages, so that none is lost or cut where a chunk ends, however long it is;
+    each counts for the last chunk that starts at or before it. A line is text of its page, so it is
+    grounded there. The whole stage is a projection.
     """
     lines = F.split("text", "\n")
-    kept = F.when(F.col("chunk_no") == 0, lines).otherwise(
-        F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    )
     # Each line is matched once and turned into its parts: kind, line, then the groups in order.
     numeric = "\1".join(["n", "$0", "$1", "$2", "$3", "$4", "$5$6", "$7$8", "$9"])
     statement = "\1".join(["s", "$0", "$1", "$2", "", "$3", "", "$4$5", "$6"])
@@ -58,9 +58,12 @@ def pattern_claims(chunks: DataFrame) -> DataFrame:
         )
         return F.split(coded, "\1")
 
-    stated = F.filter(F.transform(kept, lambda x: parts_of(strip(x))), lambda p: p.isNotNull())
-    spans = chunks.withColumn("chunk_span", normal_span(F.col("text")))
-    rows = spans.select("doc_id", "page", "char_start", "chunk_span", F.posexplode(stated).alias("row_pos", "p"))
+    sizes = F.transform(lines, lambda x: (F.length(x) + 1).cast("long"))
+    placed = F.arrays_zip(F.transform(lines, lambda x: parts_of(strip(x))).alias("parts"), running_starts(sizes).alias("at"))
+    stated = F.filter(placed, lambda x: x.parts.isNotNull())
+    rows = pages.select("doc_id", "page", "char_start", F.length("text").alias("_size"), F.posexplode(stated).alias("row_pos", "x"))
+    start = F.col("char_start") + chunk_position(F.col("x.at"), F.col("_size"), max_chars, overlap)
+    rows = rows.select("doc_id", "page", start.cast("long").alias("char_start"), "row_pos", F.col("x.parts").alias("p"))
     kind, line, subject, attribute, hedge, value, unit, period, scope = [F.col("p")[i] for i in range(9)]
     confidence = (
         F.when(kind == "s", 0.75).when(hedge != "", 0.7).when((unit != "") & (period != ""), 0.95).otherwise(0.8)
@@ -69,7 +72,6 @@ def pattern_claims(chunks: DataFrame) -> DataFrame:
         "doc_id",
         "page",
         "char_start",
-        "chunk_span",
         "row_pos",
         subject.alias("subject"),
         attribute.alias("attribute"),
@@ -82,8 +84,7 @@ def pattern_claims(chunks: DataFrame) -> DataFrame:
         F.when(kind == "n", "numerical").otherwise("semantic").alias("fact_kind"),
         confidence.alias("confidence"),
     )
-    grounded = claims.where(span_grounded(F.col("chunk_span"), F.col("evidence_span")))
-    return _in_order(grounded.drop("chunk_span"))
+    return _in_order(claims)
 
 
 def extraction_requests(chunks: DataFrame, model: str = "model") -> DataFrame:
@@ -98,18 +99,21 @@ def model_claims(
     chunks: DataFrame,
     complete: Callable[[str, str], str],
     *,
-    concurrency: int = 4,
+    concurrency: int | None = None,
     cache: DataFrame | None = None,
     model: str = "model",
-) -> tuple[DataFrame, DataFrame]:
-    """(grounded claims, chunk report): each distinct request is asked once."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(grounded claims, chunk report, new cache rows): each distinct request is asked once.
+
+    ``concurrency`` is the number of tasks that ask; by default the requests keep their partitions.
+    """
     requests = extraction_requests(chunks, model)
-    answers, _ = ask_cached(requests, complete, cache, concurrency)
+    answers, fresh = ask_cached(requests, complete, cache, concurrency)
     answered = requests.drop("system", "user").join(answers, "key")
     claims = response_claims(
         answered.withColumnRenamed("text", "chunk_text"), ["doc_id", "page", "char_start"]
     )
-    return _in_order(claims), chunk_report(answered)
+    return _in_order(claims), chunk_report(answered), fresh
 
 
 def chunk_report(answered: DataFrame) -> DataFrame:

@@ -10,15 +10,22 @@ FACT_PAGE = 200
 def latest_by(stored: DataFrame, incoming: DataFrame, keys: list[str], order: str = "version") -> DataFrame:
     """Union in which a row stays only if it is the latest for *each* of the unique ``keys``.
 
-    Later rows replace earlier ones that share any key. The latest version per key is a combinable
-    maximum joined back, so a key held by a third of the rows is no bottleneck.
+    Later rows replace earlier ones that share any key: by ``order``, then incoming before stored, then by
+    a hash of the content, so that one row stays of equal versions and a replay changes nothing. The latest
+    per key is a combinable maximum, so a key held by a third of the rows is no bottleneck.
     """
-    rows = stored.unionByName(incoming)
-    kept = rows
+    columns = stored.columns
+    digest = F.xxhash64(*[F.to_json(F.struct(c)) for c in columns])
+    rows = stored.withColumn("_sent", F.lit(0)).unionByName(incoming.select(*columns).withColumn("_sent", F.lit(1)))
+    rows = rows.select(*columns, F.struct(F.col(order).alias("order"), "_sent", digest.alias("digest")).alias("_turn"))
+    if len(keys) == 1:
+        last = rows.groupBy(keys[0]).agg(F.max_by(F.struct(*columns), "_turn").alias("_row"))
+        return last.select("_row.*")
+    kept = rows.distinct()
     for key in keys:
-        last = rows.groupBy(key).agg(F.max(order).alias("_last"))
-        kept = kept.join(last, key).where(F.col(order) == F.col("_last")).drop("_last")
-    return kept.select(*rows.columns)
+        last = rows.groupBy(key).agg(F.max("_turn").alias("_last"))
+        kept = kept.join(last, key).where(F.col("_turn") == F.col("_last")).drop("_last")
+    return kept.select(*columns)
 
 
 def upsert_documents(stored: DataFrame, incoming: DataFrame, order: str = "version") -> DataFrame:
@@ -81,13 +88,17 @@ def edges_by_relation(edges: DataFrame, relation: str | None = None) -> DataFram
 
 
 def edges_of_document(edges: DataFrame, facts: DataFrame, doc_id: str) -> DataFrame:
-    """Edges with an endpoint in the document; edges with a missing endpoint are dropped."""
-    rows = edges
-    for side in ("a", "b"):
-        ends = facts.select(F.col("id").alias(f"fact_{side}_id"), F.col("doc_id").alias(f"_doc_{side}"))
-        rows = rows.join(ends, f"fact_{side}_id")
-    touching = rows.where((F.col("_doc_a") == doc_id) | (F.col("_doc_b") == doc_id))
-    return touching.select(*edges.columns).distinct()
+    """Edges with an endpoint in the document; edges with a missing endpoint are dropped.
+
+    The document's facts are picked first, so that only its edges meet the other facts.
+    """
+    own = facts.where(F.col("doc_id") == doc_id).select("id")
+    touching = None
+    for side, other in (("a", "b"), ("b", "a")):
+        found = edges.join(own.withColumnRenamed("id", f"fact_{side}_id"), f"fact_{side}_id", "left_semi")
+        found = found.join(facts.select(F.col("id").alias(f"fact_{other}_id")), f"fact_{other}_id", "left_semi").select(*edges.columns)
+        touching = found if touching is None else touching.unionByName(found)
+    return touching.distinct()
 
 
 def enriched_edges(edges: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:

@@ -67,18 +67,18 @@ def model_answers(
     retrieved: DataFrame,
     complete: Callable[[str, str], str],
     *,
-    concurrency: int = 4,
+    concurrency: int | None = None,
     cache: DataFrame | None = None,
     model: str = "model",
-) -> DataFrame:
-    """Answers by the caller's model; questions without facts are refused without asking it."""
+) -> tuple[DataFrame, DataFrame]:
+    """(answers by the caller's model, new cache rows); questions without facts are refused without asking it."""
     prompts = questions.join(contexts(retrieved), "question_id").select(
         "question_id",
         F.lit(SYSTEM).alias("system"),
         F.concat(F.lit("Question: "), "question", F.lit("\n\nFacts:\n"), "context").alias("user"),
     )
     prompts = prompts.withColumn("key", request_key(model, F.col("system"), F.col("user")))
-    answers, _ = ask_cached(prompts, complete, cache, concurrency)
+    answers, fresh = ask_cached(prompts, complete, cache, concurrency)
     reply = json_object(F.col("response"))
     replies = prompts.select("key", "question_id").join(answers, "key").withColumn("reply", reply)
     empty = F.expr("cast(array() as array<string>)")
@@ -88,10 +88,11 @@ def model_answers(
         F.when(F.col("reply").isNull(), UNREADABLE).otherwise(said).alias("answer"),
         F.coalesce(F.try_variant_get("reply", "$.cited_fact_ids", "array<string>"), empty).alias("cited"),
     )
-    return _answers(questions, read).select(
+    found = _answers(questions, read).select(
         "question_id", "question", F.coalesce("answer", F.lit(REFUSAL)).alias("answer"),
         F.coalesce("cited", empty).alias("cited"),
     )
+    return found, fresh
 
 
 def citations(answers: DataFrame, retrieved: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -119,5 +120,5 @@ def answer(
     if complete is None:
         answers = extractive_answers(questions, retrieved)
     else:
-        answers = model_answers(questions, retrieved, complete)
+        answers, _ = model_answers(questions, retrieved, complete)
     return answers.drop("cited"), citations(answers, retrieved)

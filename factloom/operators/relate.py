@@ -191,14 +191,14 @@ def adjudicate_by_model(
     facts: DataFrame,
     complete: Callable[[str, str], str],
     *,
-    concurrency: int = 4,
+    concurrency: int | None = None,
     cache: DataFrame | None = None,
     model: str = "model",
-) -> DataFrame:
-    """Edges by the caller's model; a failing call loses its own pair and nothing else."""
+) -> tuple[DataFrame, DataFrame]:
+    """(edges by the caller's model, new cache rows); a failing call loses its own pair and nothing else."""
     requests = pair_requests(pairs, facts, model)
-    answers, _ = ask_cached(requests, complete, cache, concurrency)
-    return adjudicated(requests.select("key", "fact_a_id", "fact_b_id").join(answers, "key"))
+    answers, fresh = ask_cached(requests, complete, cache, concurrency)
+    return adjudicated(requests.select("key", "fact_a_id", "fact_b_id").join(answers, "key")), fresh
 
 
 def embed_claims(facts: DataFrame, dim: int = 64) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.functions.normalize import normalize_facts
-from factloom.operators.chunking import MAX_CHARS, OVERLAP, chunk_documents
+from factloom.operators.chunking import MAX_CHARS, OVERLAP, chunk_documents, merged_text_pages
 from factloom.operators.dedupe import dedupe_facts
 from factloom.operators.extraction import pattern_claims
 from factloom.operators.relate import (
@@ -27,14 +27,20 @@ MATCH = ["canonical_subject", "attribute_key"]
 
 def build_facts(
     documents: DataFrame,
-    extract: Callable[[DataFrame], DataFrame] = pattern_claims,
+    extract: Callable[[DataFrame], DataFrame] | None = None,
     max_chars: int = MAX_CHARS,
     overlap: int = OVERLAP,
 ) -> DataFrame:
-    """Facts of ``doc_id, text, ingest_seq`` rows: chunk, extract, ground, normalise, de-duplicate."""
-    chunks = chunk_documents(spread(documents), max_chars, overlap)
+    """Facts of ``doc_id, text, ingest_seq`` rows: chunk, extract, ground, normalise, de-duplicate.
+
+    ``extract`` turns chunks into claims; by default lines are matched by pattern, page by page.
+    """
+    if extract is None:
+        found = pattern_claims(merged_text_pages(spread(documents)), max_chars, overlap)
+    else:
+        found = extract(chunk_documents(spread(documents), max_chars, overlap))
     # Written once: the duplicate search reads the claims several times.
-    claims = materialize(normalize_facts(extract(chunks)), "claims")
+    claims = materialize(normalize_facts(found), "claims")
     facts = dedupe_facts(claims)
     order = documents.select("doc_id", "ingest_seq")
     return facts.join(order, "doc_id").select(*FACT_FIELDS, "seq", "ingest_seq")

@@ -180,6 +180,14 @@ def upserted_facts(spark, sf_dir):
     return L.upsert_by_id(stored, again).select("id", "claim_text", "confidence")
 
 
+@query(f"WITH {FACTS} SELECT id, claim_text, confidence FROM facts")
+def replayed_upserts(spark, sf_dir):
+    """All facts are sent again, twice over, under the version they have: nothing changes."""
+    stored = layer_facts(spark, sf_dir).select("id", "claim_text", "confidence", F.lit(1).alias("version"))
+    once = L.upsert_by_id(stored, stored)
+    return L.latest_by(once, once.unionByName(stored), ["id"]).select("id", "claim_text", "confidence")
+
+
 @query(
     """WITH rows AS (
   SELECT doc_id AS id, sha256(text) AS content_hash, 'parsing' AS status, doc_id AS version FROM documents

@@ -15,8 +15,8 @@ from factloom.functions.normalize import (
     resolve_scale,
 )
 from factloom.functions.responses import adjudication, json_rows, response_claims, strip_fences, valid_rows
-from factloom.operators.chunking import chunk_documents
-from factloom.operators.extraction import SYSTEM, extraction_requests, model_claims
+from factloom.operators.chunking import chunk_documents, merged_text_pages
+from factloom.operators.extraction import SYSTEM, extraction_requests, model_claims, pattern_claims
 from factloom.operators.relate import adjudicate_by_model, candidate_pairs
 from factloom.operators.requests import ask_cached, request_key
 from factloom.plans.build import MATCH, searchable
@@ -247,7 +247,7 @@ def _toy_model(_system: str, user: str) -> str:
 @query(f"WITH {FACTS} SELECT id, doc_id, claim_text, 0.6::DOUBLE AS confidence FROM facts WHERE ingest_seq <> 4")
 def claims_by_model(spark, sf_dir):
     chunks = chunk_documents(stored_documents(spark, sf_dir))
-    claims, _ = model_claims(chunks, _toy_model)
+    claims, _, _ = model_claims(chunks, _toy_model)
     return claims.select("id", "doc_id", "claim_text", "confidence")
 
 
@@ -257,7 +257,7 @@ def claims_by_model(spark, sf_dir):
 FROM facts GROUP BY doc_id"""
 )
 def model_failures(spark, sf_dir):
-    _, report = model_claims(chunk_documents(stored_documents(spark, sf_dir)), _toy_model)
+    _, report, _ = model_claims(chunk_documents(stored_documents(spark, sf_dir)), _toy_model)
     return report
 
 
@@ -280,7 +280,8 @@ FROM pairs JOIN facts a ON a.id = fact_a_id JOIN facts b ON b.id = fact_b_id WHE
 def edges_by_model(spark, sf_dir):
     facts = layer_facts(spark, sf_dir).withColumn("normalized_value", F.round("normalized_value", 2))
     pairs = candidate_pairs(searchable(facts), match=MATCH)
-    return adjudicate_by_model(pairs, facts, _toy_judge)
+    edges, _ = adjudicate_by_model(pairs, facts, _toy_judge)
+    return edges
 
 
 _VERDICTS = [
@@ -316,14 +317,19 @@ SELECT key, CASE WHEN key IN (SELECT key FROM keyed JOIN labels USING (doc_id))
   ELSE CAST(any_value(n) AS VARCHAR) END AS response FROM keyed GROUP BY key"""
 )
 def cached_answers(spark, sf_dir):
-    """Requests of labelled documents are in the cache; each other distinct request is asked once."""
+    """Requests of labelled documents are in the cache; the others are asked once, and not again with the new cache."""
     requests = table(spark, sf_dir, "documents").select(
         "doc_id", F.lit("sys").alias("system"), F.col("text").alias("user")
     )
     requests = requests.withColumn("key", request_key("model", F.col("system"), F.col("user")))
     labelled = requests.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
     cache = labelled.select("key", F.lit("cached").alias("response")).distinct()
-    answers, _ = ask_cached(requests, lambda _system, user: str(len(user)), cache)
+    _, fresh = ask_cached(requests, lambda _system, user: str(len(user)), cache)
+
+    def never(_system, _user):
+        raise RuntimeError("asked again")
+
+    answers, _ = ask_cached(requests, never, cache.unionByName(fresh))
     return answers.select("key", "response")
 
 
@@ -367,3 +373,41 @@ SELECT doc_id, 'done' AS status, 1.0::DOUBLE AS progress, 1 AS n_chunks, count(*
 )
 def ingest_progress(spark, sf_dir):
     return _streamed(spark, sf_dir).progress()
+
+
+_GROUP = "The consolidated group "
+
+
+@query(
+    f"""WITH {FACTS},
+texts AS (
+  SELECT DISTINCT ledger, k, -1 AS seq, 'Ledger ' || ledger || ' of ' || subject AS line, NULL AS value, NULL AS unit,
+         NULL AS temporal_context FROM claims
+  UNION ALL
+  SELECT ledger, k, seq, CASE WHEN ledger = 5 THEN repeat('{_GROUP}', 6) || claim_text ELSE claim_text END, value, unit,
+         temporal_context FROM claims),
+placed AS (
+  SELECT *, CASE WHEN ledger <= 3 THEN 1 ELSE 2 END AS page,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY k, ledger <= 3 ORDER BY ledger, seq
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+         sum(length(line) + 1) OVER (PARTITION BY k, ledger <= 3) - 1 AS size,
+         sum(CASE WHEN ledger <= 3 THEN length(line) ELSE 0 END) OVER (PARTITION BY k) AS first_page
+  FROM texts)
+SELECT 'C' || k AS doc_id, page, line AS claim_text, value, unit, temporal_context,
+       CAST(CASE page WHEN 1 THEN 0 ELSE first_page END
+         + least(pos // 1050, greatest(CAST(ceil((size - 1200) / 1050.0) AS BIGINT), 0)) * 1050 AS BIGINT) AS char_start
+FROM placed WHERE value IS NOT NULL"""
+)
+def claims_across_chunks(spark, sf_dir):
+    """All ledgers of a customer as one document of two pages and several chunks, with lines longer than the overlap."""
+    docs = stored_documents(spark, sf_dir)
+    long = F.regexp_replace("text", "(?m)^Customer", _GROUP * 6 + "Customer")
+    text = F.when(F.col("ingest_seq") == 5, long).otherwise(F.col("text"))
+    joined = docs.groupBy(F.concat(F.lit("C"), F.substring_index("doc_id", "-", -1)).alias("doc_id")).agg(
+        F.array_sort(F.collect_list(F.struct("ingest_seq", text.alias("text")))).alias("parts")
+    )
+    sheet = lambda first: F.array_join(
+        F.transform(F.filter("parts", lambda x: (x["ingest_seq"] <= 3) == F.lit(first)), lambda x: x["text"]), "\n"
+    )
+    pages = merged_text_pages(joined.select("doc_id", F.concat(sheet(True), F.lit("\f"), sheet(False)).alias("text")))
+    return pattern_claims(pages).select("doc_id", "page", "claim_text", "value", "unit", "temporal_context", "char_start")

@@ -49,16 +49,18 @@ blocks AS (
 
 _HTML_SQL = r"""
 bodies AS (
-  SELECT page_id, regexp_replace(html,
-    '(?is)<!--.*?-->|<(?:script|style|nav)\b[^>]*>.*?</(?:script|style|nav)>', '', 'g') AS body
+  SELECT page_id, regexp_replace(regexp_replace(html,
+    '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<nav\b[^>]*>.*?</nav\s*>|<head\b[^>]*>.*?</head\s*>', '', 'g'),
+    '(?is)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>',
+    chr(1), 'g') AS body
   FROM pages),
 raw AS (
   SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS n
-  FROM (SELECT page_id, regexp_extract_all(body, '(?is)<(h1|p|li)\b[^>]*>(.*?)</(?:h1|p|li)>', 2) AS x
-        FROM bodies)),
+  FROM (SELECT page_id, string_split(body, chr(1)) AS x FROM bodies)),
 stripped AS (
-  SELECT page_id, n, regexp_replace(regexp_replace(t, '(?s)<[^>]*>', ' ', 'g'),
-                                    '^\s+|\s+$', '', 'g') AS text
+  SELECT page_id, n, regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+           regexp_replace(t, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', chr(160)), '&middot;', chr(183)), '&copy;', chr(169)),
+           '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS text
   FROM raw),
 html_blocks AS (
   SELECT CAST(page_id AS VARCHAR) AS doc_id, 1 AS page, text,

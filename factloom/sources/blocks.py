@@ -8,13 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from factloom.functions.text import content_hash, render_table, strip
 
-# Elements whose content is not text, and elements that become blocks (fixed values).
-_DROPPED = r"(?is)<!--.*?-->|<(?:script|style|nav)\b[^>]*>.*?</(?:script|style|nav)>"
-_BLOCK_ELEMENTS = r"(?is)<(h1|p|li)\b[^>]*>(.*?)</(?:h1|p|li)>"
+# Elements whose content is not text, elements that start and end blocks, and named characters.
+_DROPPED = r"(?is)<!--.*?-->|" + "|".join(rf"<{e}\b[^>]*>.*?</{e}\s*>" for e in ("script", "style", "nav", "head"))
+_BLOCK_TAG = (
+    r"(?is)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html"
+    r"|li|main|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>"
+)
 _TAG = r"(?s)<[^>]*>"
+_NAMED = (
+    ("&nbsp;", "\u00a0"), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"),
+    ("&hellip;", "\u2026"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
+)
 
 
-def _starts_of(sizes: Column) -> Column:
+def running_starts(sizes: Column) -> Column:
     """Exclusive running sums of an ``array<long>``."""
     empty = F.expr("cast(array() as array<bigint>)")
     return F.aggregate(
@@ -49,7 +56,7 @@ def text_pages(documents: DataFrame, lines_per_page: int | None = None) -> DataF
     sizes = F.transform(
         F.col("_pages"), lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda n, r: n + F.length(r))
     )
-    starts = _starts_of(sizes)
+    starts = running_starts(sizes)
     numbered = documents.select("doc_id", kept.alias("_pages")).select(
         "doc_id", F.posexplode(F.arrays_zip(F.col("_pages").alias("lines"), starts.alias("starts")))
     )
@@ -65,7 +72,7 @@ def text_blocks(documents: DataFrame, lines_per_page: int | None = None) -> Data
     """One block per non-blank line, with document offsets, still without a shuffle."""
     lines = text_pages(documents, lines_per_page)
     sizes = F.transform("lines", lambda r: F.length(r).cast("long"))
-    zipped = F.arrays_zip(F.col("lines").alias("text"), _starts_of(sizes).alias("start"))
+    zipped = F.arrays_zip(F.col("lines").alias("text"), running_starts(sizes).alias("start"))
     return (
         lines.select("doc_id", "page", "char_start", F.posexplode(zipped).alias("pos", "block"))
         .withColumn("char_start", F.col("char_start") + F.col("block.start"))
@@ -87,10 +94,20 @@ def page_counts(pages: DataFrame) -> DataFrame:
 
 
 def html_blocks(pages: DataFrame, doc_id: str = "doc_id", html: str = "html") -> DataFrame:
-    """Blocks of raw pages: headings, paragraphs and list items, tags removed."""
-    body = F.regexp_replace(html, _DROPPED, "")
-    found = F.regexp_extract_all(body, F.lit(_BLOCK_ELEMENTS), F.lit(2))
-    texts = F.transform(found, lambda t: strip(F.regexp_replace(t, _TAG, " ")))
+    """Blocks of raw pages: all visible text, cut at the tags of block elements, however they are nested.
+
+    Comments, scripts, styles, navigation and the head are left out, other tags become blanks, and named
+    characters are decoded.
+    """
+    body = F.regexp_replace(F.regexp_replace(html, _DROPPED, ""), _BLOCK_TAG, "\1")
+
+    def plain(text: Column) -> Column:
+        text = F.regexp_replace(text, _TAG, " ")
+        for name, letter in _NAMED:
+            text = F.replace(text, F.lit(name), F.lit(letter))
+        return strip(text)
+
+    texts = F.transform(F.split(body, "\1"), plain)
     return pages.select(
         F.col(doc_id).cast("string").alias("doc_id"),
         F.lit(1).alias("page"),

@@ -28,6 +28,11 @@ def test_upserts(spark):
     assert sorted((r.id, r.content_hash) for r in got) == [("1", "h9"), ("3", "h7"), ("5", "h5")]
     again = L.upsert_by_id(stored.drop("content_hash"), sent.drop("content_hash"))
     assert sorted((r.id, r.status) for r in again.collect()) == [("1", "b"), ("2", "a"), ("3", "b"), ("5", "a")]
+    for rows in (stored, stored.unionByName(stored)):
+        for upsert in (L.upsert_documents, L.upsert_by_id):
+            assert sorted(map(tuple, upsert(stored, rows).collect())) == sorted(map(tuple, stored.collect()))
+    tied = spark.createDataFrame([("1", "h1", "b", 1), ("1", "h1", "c", 1)], schema)
+    assert [r.status for r in L.upsert_by_id(stored, tied).where("id = '1'").collect()] in (["b"], ["c"])
 
 
 def test_fact_queries(spark):

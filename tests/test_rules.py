@@ -7,6 +7,7 @@ from factloom.functions.normalize import (
 from factloom.functions.responses import adjudication, claim_fields, json_rows, response_claims, strip_fences, valid_rows
 from factloom.operators.extraction import model_claims, pattern_claims
 from factloom.operators.relate import adjudicate_by_rules, distinct_pairs, informative
+from factloom.operators.chunking import chunk_documents
 from factloom.operators.requests import ask_cached, request_key
 from factloom.schemas import CLAIM_FIELDS, FACTS
 
@@ -120,13 +121,14 @@ def test_pairs_once(spark):
 
 
 CHUNK = "doc_id string, page int, chunk_no int, text string, char_start long, char_end long, section_hint string"
+PAGE = "doc_id string, page int, text string, char_start long"
 
 
 def test_pattern_claims(spark):
-    text = ("Annual report\nAcme Ltd revenue was about 8,142 crore INR in FY24 (consolidated, audited).\nAcme Ltd margin was 7.5% in CY2023.\n"
+    text = ("Annual report\n  Acme Ltd revenue was about 8,142 crore INR in FY24 (consolidated, audited).\nAcme Ltd margin was 7.5% in CY2023.\n"
             "Acme Ltd region was North Bay.\nThis line is prose, and not a claim.\nStaff count was 12.")
-    rows = [("d", 1, 0, text, 0, len(text), ""), ("d", 1, 1, "me Ltd revenue was 1 in FY24.\nAcme Ltd debt was 3 USD as of 2024-03-31.", 300, 380, "")]
-    got = pattern_claims(spark.createDataFrame(rows, CHUNK)).orderBy("seq").collect()
+    rows = [("d", 1, text, 0), ("d", 2, "me Ltd revenue was big\nAcme Ltd debt was 3 USD as of 2024-03-31.", 300)]
+    got = pattern_claims(spark.createDataFrame(rows, PAGE)).orderBy("seq").collect()
     assert [(r.subject, r.attribute, r.value, r.unit, r.temporal_context, r.scope_qualifiers, r.fact_kind, r.confidence) for r in got] == [
         ("Acme Ltd", "revenue", "8,142", "crore INR", "FY24", ["consolidated", "audited"], "numerical", 0.7),
         ("Acme Ltd", "margin", "7.5", "%", "CY2023", [], "numerical", 0.95),
@@ -136,6 +138,17 @@ def test_pattern_claims(spark):
     assert len({r.id for r in got}) == 5
 
 
+def test_claims_do_not_depend_on_where_chunks_end(spark):
+    """The chunk ends at every place of a line, longer and shorter than the overlap; nothing is lost or cut."""
+    line = "Acme and " + "a very long " * 4 + "group revenue was about 12.34 million USD in FY2024."
+    pages = [(f"d{n}", 1, "x" * n + f"\n{line}\nAcme debt was 3 USD.", 0) for n in range(150)]
+    got = pattern_claims(spark.createDataFrame(pages, PAGE), max_chars=100, overlap=15).collect()
+    assert sorted((r.doc_id, r.value) for r in got) == sorted((p[0], v) for p in pages for v in ("12.34", "3"))
+    assert all(r.claim_text in (line, "Acme debt was 3 USD.") for r in got) and len({r.id for r in got}) == 300
+    starts = {c.char_start for c in chunk_documents(spark.createDataFrame([("d99", pages[99][2])], "doc_id string, text string"), 100, 15).collect()}
+    assert {r.char_start for r in got if r.doc_id == "d99"} <= starts
+
+
 def test_model_claims_and_failures(spark):
     import json
 
@@ -146,7 +159,7 @@ def test_model_claims_and_failures(spark):
             raise RuntimeError("down")
         return json.dumps([ROW])
 
-    claims, report = model_claims(spark.createDataFrame(rows, CHUNK), model)
+    claims, report, fresh = model_claims(spark.createDataFrame(rows, CHUNK), model)
     assert sorted(r.doc_id for r in claims.collect()) == ["d1", "d3"]
     assert {r.doc_id: (r.n_chunks, r.n_failed, r.n_raw, r.no_facts) for r in report.collect()} == {
         "d1": (1, 0, 1, False), "d2": (1, 1, 0, True), "d3": (1, 0, 1, False)}
