@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,26 +48,30 @@ def hash_embedding(text: Column, dim: int = 16) -> Column:
     return unit_vector(let(F.sha2(text, 256), from_digest))
 
 
+@lru_cache(1 << 18)
+def _digest_place(token: str) -> int:
+    """The first 16 bits of the token's SHA-256; a worker hashes a token once."""
+    return int.from_bytes(hashlib.sha256(token.encode()).digest()[:2], "big")
+
+
 def token_embedding(text: Column, dim: int = 64) -> Column:
     """Unit vector of token counts, each token hashed to one of ``dim`` places.
 
-    The default encoder of the layer: no fitting step, stays in the JVM, and claims that share
-    their words are near each other.
+    The default encoder of the layer: no fitting step, and claims that share their words are near each
+    other. Texts are split by the JVM and counted in Arrow batches, in one pass over the tokens.
     """
-    words = F.filter(
-        F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != ""
-    )
-    places = F.transform(
-        words, lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 4), 16, 10).cast("int") % dim
-    )
 
-    def counts(slots: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda d: (F.size(slots) - F.size(F.array_remove(slots, d))).cast("double"),
-        )
-
-    return unit_vector(let(places, counts))
+    @F.pandas_udf("array<double>")
+    def counted(texts: pd.Series) -> pd.Series:
+        rows = []
+        for words in texts:
+            places = [] if words is None else [_digest_place(t) % dim for t in words.split(" ") if t]
+            counts = np.bincount(np.array(places, np.int64), minlength=dim).astype(float)
+            length = np.sqrt((counts * counts).sum())
+            rows.append(counts / length if length else counts)
+        return pd.Series(rows)
+
+    return F.when(text.isNotNull(), counted(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")))
 
 
 def text_embedding(texts: DataFrame, text: str, out: str = "embedding", dim: int = 256) -> DataFrame:

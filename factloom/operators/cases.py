@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.operators.relate import with_facts
 from factloom.schemas import FACT_FIELDS
+from factloom.session import materialize
 
 SLOTS = ["corroborate", "contradict", "reconcilable"]
 
@@ -21,6 +22,9 @@ def build_cases(facts: DataFrame, edges: DataFrame) -> DataFrame:
     complete = edges
     for side in ("fact_a_id", "fact_b_id"):
         complete = complete.join(known.withColumnRenamed("id", side), side, "left_semi")
+    # Written once: every slot reads the complete edges.
+    columns = ["id", "fact_a_id", "fact_b_id", "relation", "confidence"]
+    complete = materialize(complete.where(F.col("relation").isin(SLOTS)).select(*columns), "complete-edges")
     used: list = []
     picked = []
     for slot in SLOTS:
@@ -29,7 +33,7 @@ def build_cases(facts: DataFrame, edges: DataFrame) -> DataFrame:
             complete.where(F.col("relation") == slot)
             .orderBy(shares.cast("int"), F.desc("confidence"), "id")
             .limit(1)
-            .select("id", "fact_a_id", "fact_b_id", "relation", "confidence")
+            .select(*columns)
             .first()
         )
         if best is not None:

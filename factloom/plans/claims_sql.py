@@ -20,7 +20,7 @@ net AS (
          CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))))
               AS DECIMAL(18,2)) * 100 AS BIGINT) AS c
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
-stated AS (
+stated AS MATERIALIZED (
   SELECT 1 AS ledger, k, 'CY' AS p, y, c, c // 100000 || '.' || lpad(CAST(c % 100000 AS VARCHAR), 5, '0') AS value,
          'thousand USD' AS unit, '' AS hedge, '' AS scope FROM totals
   UNION ALL
@@ -35,7 +35,7 @@ stated AS (
   UNION ALL
   SELECT 5, k, 'CY', y, c, format('{:,}', c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0'),
          'USD', '', 'net' FROM net),
-claims AS (
+claims AS MATERIALIZED (
   SELECT ledger, k, c_name AS subject, 'revenue' AS attribute, value, unit, p || y AS temporal_context, scope,
          c_name || ' revenue was ' || hedge || value || ' ' || unit || ' in ' || p || y
            || CASE WHEN scope = '' THEN '' ELSE ' (' || scope || ')' END || '.' AS claim_text,
@@ -50,7 +50,7 @@ claims AS (
          c_name || ' segment was ' || c_mktsegment || '.', 'semantic', 0.75, NULL, NULL, NULL, NULL,
          (SELECT count(*) FROM totals t WHERE t.k = d.k)
   FROM (SELECT DISTINCT ledger, k FROM stated WHERE ledger <= 2) d JOIN customer ON c_custkey = k),
-facts AS (
+facts AS MATERIALIZED (
   SELECT 'fact_' || substr(sha256('L' || ledger || '-' || k || chr(0) || '1' || chr(0) || '0' || chr(0) || seq), 1, 32) AS id,
          'L' || ledger || '-' || k AS doc_id, subject, attribute, value, unit, temporal_context,
          scope AS scope_qualifiers, claim_text AS evidence_span, 1 AS page, claim_text, fact_kind, confidence,
@@ -66,7 +66,7 @@ slotted AS (
       string_split(regexp_replace(lower(claim_text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '),
       lambda t: t <> ''), lambda t: CAST('0x' || substr(sha256(t), 1, 4) AS INT) % {DIM}) AS slots
   FROM facts),
-vectors AS (
+vectors AS MATERIALIZED (
   SELECT *, list_transform(range({DIM}),
       lambda d: CAST(len(list_filter(slots, lambda s: s = d)) AS DOUBLE)) AS v FROM slotted)
 """
@@ -79,7 +79,7 @@ scored AS (
   FROM vectors a JOIN vectors b
     ON a.canonical_subject = b.canonical_subject AND a.attribute = b.attribute
    AND a.doc_id <> b.doc_id AND b.ingest_seq < a.ingest_seq),
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT fact_a_id, fact_b_id, distance, rank FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY fact_a_id ORDER BY distance, b_seq, fact_b_id) AS INT) AS rank
     FROM scored) WHERE rank <= 8)

@@ -85,9 +85,10 @@ def test_tables_and_html(spark):
     empty = spark.range(1).select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("block_no"),
                                   F.expr("cast(array() as array<array<string>>)").alias("rows"))
     assert table_blocks(empty).count() == 0
-    html = "<nav><p>no</p></nav><h1>T <b>x</b></h1><script>'<p>no</p>'</script><p class='a'> one </p><!--<p>no</p>--><li>two</li><p> </p>"
+    html = ("<head><title>no</title></head><nav><p>no</p><script>no</script></nav><h1>T <b>x</b></h1><script>'<p>no</p>'</script>"
+            "<p class='a'> one </p><!--<p>no</p>--><li>Intro <p>inner</p> tail 5 million</li><h2>Head two</h2><td>A &amp;lt; B</td>loose<p> </p>")
     got = html_blocks(spark.createDataFrame([("d", html)], "doc_id string, html string")).collect()
-    assert [b.text for b in got] == ["T  x", "one", "two"]
+    assert [b.text for b in got] == ["T  x", "one", "Intro", "inner", "tail 5 million", "Head two", "A &lt; B", "loose"]
 
 
 def test_parser_hook_isolates_failures(spark, tmp_path):
