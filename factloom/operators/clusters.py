@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.session import materialize
 
 
-def _stars(pairs: DataFrame, upward: bool) -> DataFrame:
-    """One star step on (u, v) pairs: link every neighbour to the smallest one.
+#: Pairs up to which the minima of a round are broadcast, and pairs that one task of a round may hold.
+BROADCAST_PAIRS, TASK_PAIRS = 200_000, 100_000
+
+
+def _stars(pairs: DataFrame, upward: bool, n: int) -> DataFrame:
+    """One star step on ``n`` (u, v) pairs: link every neighbour to the smallest one.
 
     ``upward`` relinks the larger neighbours (large star), else the smaller ones (small star). The
     minimum is a combinable aggregate joined back, so a hub's neighbour list is never collected.
@@ -18,6 +22,9 @@ def _stars(pairs: DataFrame, upward: bool) -> DataFrame:
     else:
         around = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     smallest = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    small, tasks = n <= BROADCAST_PAIRS, 1 + n // TASK_PAIRS
+    if small:
+        smallest = F.broadcast(smallest.coalesce(tasks))
     linked = around.join(smallest, "u")
     if upward:
         moved = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -25,7 +32,8 @@ def _stars(pairs: DataFrame, upward: bool) -> DataFrame:
         moved = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             linked.select("u", F.col("m").alias("v"))
         )
-    return moved.where(F.col("u") != F.col("v")).distinct()
+    moved = moved.where(F.col("u") != F.col("v")).distinct()
+    return moved.coalesce(tasks) if small else moved
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -46,7 +54,7 @@ def components(pairs: DataFrame) -> DataFrame:
     current = materialize(current, "pairs")
     before = state(current)
     while before[0]:
-        current = materialize(_stars(_stars(current, True), False), "stars")
+        current = materialize(_stars(_stars(current, True, before[0]), False, before[0]), "stars")
         after = state(current)
         if after == before:
             break
