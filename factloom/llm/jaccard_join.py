@@ -4,12 +4,13 @@ Jaccard distance is a metric. Documents lie at distance 1 from nearly all others
 alone would replicate everything everywhere; the first pivots are single shingles, points of the same
 space. In one fixed order of all shingles a document belongs to the cell of its first shingle, and the
 triangle inequality says how many further cells its window reaches: two sets within the radius share one
-of their first ``n - ceil(t n) + 1`` shingles. Inside a cell a document is the pivot: the distances of
-the others to it cut the cell into shells one radius wide, neighbours of a radius lie in the same or in
-adjacent shells, and each shell, with its inner neighbour as a window, is joined again in the same way.
-Documents within the radius of the pivot are linked through it and need no comparison among themselves,
-so a group of copies costs one distance for each member. Small regions compare what is still apart, after
-bounds on the size and on the distance of counted sketches; all links are verified on whole sets.
+of their first ``n - ceil(t n) + 1`` shingles. Inside a cell a document is the pivot. Documents within the
+radius of it, its ball, are linked through it and need no comparison among themselves, so a group of copies
+costs one distance for each member. By the triangle inequality only documents within two radii can have
+neighbours in the ball: these meet the ball in a region of their own, and all outside the ball form another;
+both are joined again in the same way. Small regions compare what is still apart. Sketches of counted
+shingles give lower bounds of the distance, which spare most comparisons; all links are verified on whole
+sets.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from factloom.session import materialize
 
 #: Shingles that come last in the order, the most frequent first found ones; a bound on what is broadcast.
 FREQUENT = 200_000
-#: Counters of a sketch.
-SKETCH = 32
+#: Least counters of a sketch; longer sets have a power of two of them, about one for 2 shingles.
+SKETCH = 64
 #: Members up to which a region is compared directly, and rounds of pivots before larger ones are cut in blocks.
-LEAF, DEPTH = 256, 3
+LEAF, DEPTH = 256, 2
+#: Pairs looked at in one step of a task, which bounds its memory.
+STEP = 1_000_000
 #: Keys or nodes up to which a filter is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Shingles counted at a time in a task, and the least count that is passed on.
@@ -89,8 +92,7 @@ def described(docs: DataFrame, width: int, frequent: np.ndarray, num: int, den:
                     prefixes.append(None)
                     continue
                 nodes.append(int(mixed(mixed(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64)[0]))
-                counts = np.bincount((own >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH)
-                sketches.append(np.minimum(counts, 65535).astype("<u2").tobytes())
+                sketches.append(sketch_of(own))
                 reach = n + (-num * n // den) + 1
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
@@ -126,19 +128,17 @@ def whole_sets(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
                 if not len(own):
                     continue
                 node = int(mixed(mixed(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own))).view(np.int64)[0])
-                if node in wanted.value and node not in seen:
-                    seen.add(node)
+                named = wanted.value
+                if named is None or (node in named and node not in seen):
+                    if named is not None:
+                        seen.add(node)
                     found.append(node)
                     items.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
 
-    class Everything:
-        def __contains__(self, _):
-            return True
-
     n = nodes.count()
     wanted = docs.sparkSession.sparkContext.broadcast(
-        frozenset(r[0] for r in nodes.select("node").toLocalIterator()) if n <= BROADCAST_ROWS else Everything()
+        frozenset(r[0] for r in nodes.select("node").toLocalIterator()) if n <= BROADCAST_ROWS else None
     )
     sets = docs.select("text").mapInArrow(emit, "node long, items array<long>")
     sets = sets if n <= BROADCAST_ROWS else sets.join(nodes, "node", "left_semi")
@@ -161,39 +161,102 @@ def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return held.join(_few(materialize(sides, "apart")), "region", "left_semi")
 
 
+def _heads(links: DataFrame) -> DataFrame:
+    """``node, root``: the least node within two links; nodes of one root are in one component."""
+    near = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
+    near = materialize(near, "heads")
+    further = near.select(F.col("node").alias("root"), F.col("root").alias("_further"))
+    return materialize(near.join(further, "root", "left").select("node", F.coalesce("_further", "root").alias("root")), "roots")
+
+
+def sketch_of(own: np.ndarray) -> bytes:
+    """Counts of the shingles by hash; the difference of two sketches is at most that of the sets."""
+    cells = max(SKETCH, 1 << (len(own) // 2).bit_length())
+    counts = np.bincount((own >> np.uint64(32)).astype(np.int64) & (cells - 1), minlength=cells)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _folded(sketch: bytes, cells: int) -> np.ndarray:
+    return np.frombuffer(sketch, np.uint8).reshape(-1, cells).sum(axis=0, dtype=np.int32)
+
+
+def _difference(a: bytes, b: bytes) -> int:
+    cells = min(len(a), len(b))
+    return int(np.abs(_folded(a, cells) - _folded(b, cells)).sum())
+
+
+def _bounded(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Add ``maybe`` (the bounds allow a link) and ``low`` (a lower bound of the distance) to (a, b) pairs."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("a_n").to_numpy().astype(np.int64), batch.column("b_n").to_numpy().astype(np.int64)
+            total = n[0] + n[1]
+            gap = np.array([_difference(a, b) for a, b in zip(batch.column("a_sketch").to_pylist(), batch.column("b_sketch").to_pylist(), strict=True)], np.int64)
+            maybe = (den * np.minimum(*n) >= num * np.maximum(*n)) & (gap <= total - 2 * -(-num * total // (num + den)))
+            low = 2 * gap / np.maximum(1, total + gap)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(maybe), pa.array(low)], names=["a", "b", "maybe", "low"])
+
+    left, right = members.toDF("a", "a_n", "a_sketch"), members.toDF("b", "b_n", "b_sketch")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(bound, "a long, b long, maybe boolean, low double")
+
+
+def _pairs_within(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (i, j), i < j, of all pairs inside the runs, at most about STEP at a time."""
+    rows = np.arange(starts[0], ends[-1]) if len(starts) else np.zeros(0, np.int64)
+    partners = np.repeat(ends, ends - starts) - rows - 1
+    until = np.cumsum(partners)
+    at = 0
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + STEP)))
+        own = partners[at:stop]
+        i = np.repeat(rows[at:stop], own)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        at = stop
+
+
 def _leaf_pairs(rows: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct (a, b) candidates of all regions; a large region is cut in blocks, and blocks meet in pairs."""
-    sizes = rows.groupBy("region").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("blocks"))
+    sizes = rows.groupBy("region").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("blocks"), F.min("node").alias("lead"))
     dealt = rows.join(sizes, "region").join(members, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(task.alias("task"), "node", "root", "mask", "n", "sketch")
-    count = rows.count()
-    tasks = max(1, count // 20_000)
+    ends = F.least("block", "other"), F.greatest("block", "other")
+    # Regions with the same first member hold much the same pairs; they are dealt alike, so that a task sees these once.
+    tasks = max(1, rows.count() // 40_000)
+    bucket = F.pmod(F.xxhash64("lead", *ends), F.lit(tasks)).alias("bucket")
+    dealt = dealt.select(bucket, F.xxhash64("region", *ends).alias("task"), "node", "root", "mask", "n", "sketch")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("task", kind="stable")
-        starts = np.flatnonzero(np.r_[True, frame["task"].to_numpy()[1:] != frame["task"].to_numpy()[:-1]])
+        frame = frame.sort_values(["task", "node"], kind="stable")
+        task = frame["task"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
         node, root, mask, n = (frame[c].to_numpy(np.int64) for c in ("node", "root", "mask", "n"))
-        sketch = np.frombuffer(b"".join(frame["sketch"]), "<u2").reshape(-1, SKETCH).astype(np.int32)
-        out = []
-        for a, b in zip(starts, np.r_[starts[1:], len(frame)], strict=True):
-            for i in range(a, b - 1):
-                j = slice(i + 1, b)
-                total = n[i] + n[j]
-                keep = (root[j] != root[i]) & ((mask[j] & mask[i]) == 0) & (den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))
-                if keep.any():
-                    at = np.flatnonzero(keep) + i + 1
-                    needed = -(-num * total[at - i - 1] // (num + den))
-                    at = at[np.abs(sketch[at] - sketch[i]).sum(axis=1) <= total[at - i - 1] - 2 * needed]
-                    if len(at):
-                        out.append(np.c_[np.minimum(node[at], node[i]), np.maximum(node[at], node[i])])
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
-
-    bucket = F.pmod(F.col("task"), F.lit(tasks)).alias("bucket")
-    return dealt.groupBy(bucket).applyInPandas(compare, "a long, b long").distinct()
+        sketch = frame["sketch"].tolist()
+        cells = np.array([len(s) for s in sketch])
+        seen = np.zeros((0, 2), np.int64)
+        for i, j in _pairs_within(starts, np.r_[starts[1:], len(frame)]):
+            fits = (root[i] != root[j]) & ((mask[i] & mask[j]) == 0) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            i, j = i[fits], j[fits]
+            # Members are in order of node, so equal pairs of different regions look alike.
+            _, first = np.unique(np.c_[node[i], node[j]], axis=0, return_index=True)
+            i, j = i[first], j[first]
+            total = n[i] + n[j]
+            spare = total - 2 * -(-num * total // (num + den))
+            near = np.zeros(len(i), bool)
+            width = np.minimum(cells[i], cells[j])
+            for c in np.unique(width):
+                at = np.flatnonzero(width == c)
+                used, where = np.unique(np.r_[i[at], j[at]], return_inverse=True)
+                folded = np.array([_folded(sketch[x], int(c)) for x in used], np.int16)
+                for part in range(0, len(at), max(1, 8_000_000 // int(c))):
+                    piece = slice(part, part + max(1, 8_000_000 // int(c)))
+                    gap = np.abs(folded[where[: len(at)][piece]] - folded[where[len(at) :][piece]]).sum(axis=1, dtype=np.int64)
+                    near[at[piece]] = gap <= spare[at[piece]]
+            seen = np.unique(np.r_[seen, np.c_[node[i[near]], node[j[near]]]], axis=0)
+        return pd.DataFrame(seen, columns=["a", "b"])
+
+    return dealt.groupBy("bucket").applyInPandas(compare, "a long, b long").distinct()
 
 
 def linked_nodes(docs: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -204,37 +267,45 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, width: int, num: int, den: in
     state = materialize(cells.join(_few(shared), "region").select("region", "node", "pivot").distinct(), "members")
     state = state.withColumn("mask", F.lit(0))
     touched = materialize(state.select("node").distinct(), "touched")
-    sets = materialize(whole_sets(docs, width, touched), "sets")
     small = rows.select("node", "n", "sketch").join(_few(touched), "node", "left_semi")
     members = materialize(small.groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
-    radius = (den - num) / den + 1e-7
+    radius = (den - num) / den + 1e-9
     is_link = F.col("common") * den >= F.col("joint") * num
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        return materialize(_measured(pairs, materialize(whole_sets(docs, width, ends), "sets")), "measured")
+
     links, leaves, roots = None, None, None
     for level in range(DEPTH):
         pairs = state.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        measured = materialize(_measured(pairs, sets), "measured")
+        bounds = materialize(_bounded(pairs, members, num, den), "bounds")
+        measured = verified(bounds.where("maybe").select("a", "b"))
         found = measured.where(is_link).select("a", "b")
         links = found if links is None else links.unionByName(found)
-        roots = materialize(components(links).toDF("node", "root"), "roots")
-        distance = 1 - F.col("common") / F.col("joint")
-        shell = F.when(F.col("node") == F.col("pivot"), 0).when(is_link, 0).otherwise(F.greatest(F.lit(1), F.floor(distance / radius)))
-        placed = state.join(measured, (state["node"] == measured["a"]) & (state["pivot"] == measured["b"]), "left")
-        placed = placed.select("region", "node", "mask", shell.cast("int").alias("shell"))
-        # Each shell is a region; its members are at home there and guests in the next shell outwards.
-        placed = placed.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)))).where("shell + guest > 0")
-        inner = F.xxhash64("region", (F.col("shell") + F.col("guest")).alias("s"))
-        placed = placed.select(inner.alias("region"), "node", (F.col("mask") * 2 + F.col("guest")).alias("mask"))
+        roots = _heads(links)
+        exact = measured.select("a", "b", is_link.alias("ball"), (1 - F.col("common") / F.col("joint")).alias("exact"))
+        judged = bounds.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("ball", F.lit(False)).alias("ball"), F.coalesce("exact", "low").alias("far"))
+        judged = materialize(judged, "judged")
+        placed = state.join(judged, (state["node"] == judged["a"]) & (state["pivot"] == judged["b"]), "left")
+        ball = F.coalesce("ball", F.lit(True))  # only the pivot has no row of its own
+        # (which region, whether as a guest): outside the ball at home in "rest"; the ball is a guest of "edge".
+        rest, edge = F.struct(F.lit(0).alias("part"), F.lit(0).alias("guest")), F.struct(F.lit(1).alias("part"), F.lit(0).alias("guest"))
+        inside = F.array(F.struct(F.lit(1).alias("part"), F.lit(1).alias("guest")))
+        parts = F.when(ball, inside).when(F.col("far") <= 2 * radius, F.array(rest, edge)).otherwise(F.array(rest))
+        placed = placed.withColumn("to", F.explode(parts))
+        placed = placed.select(F.xxhash64("region", "to.part").alias("region"), "node", (F.col("mask") * 2 + F.col("to.guest")).alias("mask"))
         left = materialize(_apart(placed, roots), "left")
-        sizes = materialize(left.groupBy("region").agg(F.count("*").alias("size"), F.min(F.when(F.col("mask") % 2 == 0, F.col("node"))).alias("pivot")), "sizes")
-        large = sizes.where(F.col("size") > LEAF)
+        sizes = left.groupBy("region").agg(F.count("*").alias("size"), F.min(F.when(F.col("mask") % 2 == 0, F.col("node"))).alias("pivot"))
+        large = materialize(sizes.where(F.col("size") > LEAF), "large")
         if level == DEPTH - 1 or not large.count():
             leaves = left if leaves is None else leaves.unionByName(left)
             break
         done = left.join(_few(large.select("region")), "region", "left_anti")
         leaves = done if leaves is None else leaves.unionByName(done)
         state = left.join(_few(large), "region").select("region", "node", "pivot", "mask")
-    candidates = _leaf_pairs(_apart(leaves, roots), members, num, den)
-    found = _measured(materialize(candidates, "candidates"), sets).where(is_link).select("a", "b")
+    candidates = materialize(_leaf_pairs(_apart(leaves, roots), members, num, den), "candidates")
+    found = verified(candidates).where(is_link).select("a", "b")
     return materialize(components(links.unionByName(found)).toDF("node", "root"), "roots")
 
 
