@@ -49,6 +49,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     without words, are absent.
     """
     mixed = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken", "position")
+    mixed = materialize(mixed, "mixed")
+    mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed
     rows = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col("_id")))
     passes = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
     rows = rows.withColumn("_pass", F.explode(passes))
