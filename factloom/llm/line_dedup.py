@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-The tokens of a line are its pairs of adjacent words. In one order of all tokens, the frequent ones last,
+The tokens of a line are its runs of five words. In one order of all tokens, the frequent ones last,
 two similar lines share a token in their prefixes. Lines that do are compared if their sizes (length
 filter) and the places of the shared token (positional filter) allow enough common tokens; whole sets are
 verified, and of two similar lines the later one is removed. The earliest line of a token comes first:
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm.common import id_and_text
-from factloom.llm.shingles import mixed, shingle_sets
+from factloom.llm.shingles import set_nodes, shingle_tables
 from factloom.session import materialize
 
 #: Tokens that come last in the order, at most; a bound on what is broadcast.
@@ -28,7 +28,7 @@ BROADCAST_ROWS = 1_000_000
 LEAF = 256
 #: Tokens counted at a time in a task, and the least count that is passed on.
 FLUSH, LEAST = 2_000_000, 3
-WIDTH = 2
+WIDTH = 5
 
 
 def _lines(batch: pa.RecordBatch, column: int) -> tuple[list[int], list[int], list[bytes]]:
@@ -43,10 +43,6 @@ def _lines(batch: pa.RecordBatch, column: int) -> tuple[list[int], list[int], li
     return rows, numbers, lines
 
 
-def _node(own: np.ndarray) -> int:
-    return int(mixed(mixed(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own))).view(np.int64)[0])
-
-
 def frequent_tokens(docs: DataFrame, size: int = FREQUENT) -> np.ndarray:
     """Frequent tokens, rarest first, at most ``size``; every line is counted, chance hits drop out."""
 
@@ -59,9 +55,9 @@ def frequent_tokens(docs: DataFrame, size: int = FREQUENT) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
 
         for batch in batches:
-            for own in shingle_sets(_lines(batch, 0)[2], WIDTH):
-                held.append(own)
-                total += len(own)
+            for values, _ in shingle_tables(_lines(batch, 0)[2], WIDTH):
+                held.append(values)
+                total += len(values)
                 if total > FLUSH:
                     yield flushed()
                     held, total = [], 0
@@ -82,20 +78,29 @@ def described(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> Data
         keys, ranks = shared.value
         for batch in batches:
             rows, numbers, lines = _lines(batch, 1)
-            nodes, sizes, prefixes = [], [], []
-            for own in shingle_sets(lines, WIDTH):
-                n = len(own)
+            nodes, sizes, prefixes, kept = [], [], [], []
+            for values, ends in shingle_tables(lines, WIDTH):
+                n = np.diff(ends, prepend=0)
+                nodes.append(set_nodes(values, ends))
                 sizes.append(n)
-                nodes.append(_node(own) if n else None)
-                reach = n + (-num * n // den) + 1 if n else 0
-                if len(keys) and n:
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    often = keys[at] == own
-                    own = np.r_[own[~often], own[often][np.argsort(ranks[at[often]], kind="stable")]]
-                prefixes.append(own[:reach].view(np.int64))
+                owner = np.repeat(np.arange(len(ends)), n)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+                    rank = np.where(keys[at] == values, ranks[at] + 1, 0)
+                    if rank.any():
+                        values = values[np.lexsort((values, rank, owner))]
+                reach = np.where(n > 0, n + (-num * n // den) + 1, 0)
+                place = np.arange(len(values)) - np.repeat(ends - n, n)
+                prefixes.append(values[place < reach[owner]])
+                kept.append(reach)
+            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+            node = pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64), mask=n == 0)
+            until = np.r_[0, np.cumsum(np.concatenate(kept))] if kept else np.zeros(1, np.int64)
+            items = (np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)).view(np.int64)
+            prefix = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(items))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(nodes, pa.int64()),
-                 pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), node,
+                 pa.array(n, pa.int32()), prefix],
                 names=["doc_id", "line_no", "node", "n", "prefix"],
             )
 
@@ -119,13 +124,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
         seen: set[int] = set()
         for batch in batches:
             found, items = [], []
-            for own in shingle_sets(_lines(batch, 0)[2], WIDTH):
-                node = _node(own) if len(own) else None
-                if node is not None and node not in seen and (wanted.value is None or node in wanted.value):
-                    if wanted.value is not None:
-                        seen.add(node)
-                    found.append(node)
-                    items.append(own.view(np.int64))
+            for values, ends in shingle_tables(_lines(batch, 0)[2], WIDTH):
+                starts = np.r_[0, ends[:-1]]
+                for i, node in enumerate(set_nodes(values, ends).tolist()):
+                    if ends[i] > starts[i] and node not in seen and (wanted.value is None or node in wanted.value):
+                        if wanted.value is not None:
+                            seen.add(node)
+                        found.append(node)
+                        items.append(values[starts[i] : ends[i]].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
 
     sets = docs.select("text").mapInArrow(emit, "node long, items array<long>")
@@ -175,7 +181,7 @@ def dedup_lines(docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc
     """``doc_id, line_no, n_tokens, kept`` for each line (text between line feeds) of each row.
 
     A line is removed if an earlier one, by id and then number, has ``den * common >= num * joint`` tokens,
-    whether that one stays or not. A line of one word has the word as its token; lines without words stay.
+    whether that one stays or not. A line of fewer than five words is one token; lines without words stay.
     Null texts have no lines, an empty text has one. Rows that repeat an id share their line numbers, and
     lines of equal id, number and tokens are one line. Null ids come last. An empty table gives no rows.
     Tokens are compared by 64-bit hashes.

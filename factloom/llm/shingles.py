@@ -67,25 +67,48 @@ def grouped(texts: list[bytes | None]) -> Iterator[list[bytes]]:
         yield run
 
 
-def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
-    """For each text the sorted hashes of its distinct runs of ``width`` words.
+def shingle_tables(texts: list[bytes | None], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of texts: the sorted distinct shingles of each text after the other, and where each text's end.
 
-    A text with fewer words has the whole sequence as its one shingle; without words its set is empty.
+    A shingle is ``width`` words in a row; a text with fewer words has the whole sequence as its one
+    shingle, and without words it has none.
     """
     factors = mixed(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
     for run in grouped(texts):
         words, ends = word_hashes(run)
+        counts = np.diff(ends, prepend=0)
+        owner = np.repeat(np.arange(len(run)), counts)
         whole = np.zeros(max(0, len(words) - width + 1), np.uint64)
         for i in range(width):
             whole += words[i : i + len(whole)] * factors[i]
-        whole = mixed(whole)
+        inside = np.flatnonzero(owner[: len(whole)] == owner[width - 1 :]) if len(whole) else np.zeros(0, np.int64)
+        values, owners = [mixed(whole[inside])], [owner[inside]]
+        for n in range(1, width):
+            short = np.flatnonzero(counts == n)
+            first = ends[short] - n
+            total = np.full(len(short), n, np.uint64)
+            for i in range(n):
+                total += words[first + i] * factors[i]
+            values.append(mixed(total))
+            owners.append(short)
+        value, owner = np.concatenate(values), np.concatenate(owners)
+        order = np.lexsort((value, owner))
+        value, owner = value[order], owner[order]
+        new = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])] if len(value) else np.zeros(0, bool)
+        yield value[new], np.searchsorted(owner[new], np.arange(len(run)), side="right")
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles, see :func:`shingle_tables`."""
+    for values, ends in shingle_tables(texts, width):
         start = 0
         for end in ends.tolist():
-            n = end - start
-            if n >= width:
-                yield np.unique(whole[start : end - width + 1])
-            elif n:
-                yield mixed((words[start:end] * factors[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))
-            else:
-                yield words[:0]
+            yield values[start:end]
             start = end
+
+
+def set_nodes(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit number for each set of a table, equal for equal sets; that of an empty set means nothing."""
+    sums = np.r_[np.uint64(0), np.cumsum(mixed(values), dtype=np.uint64)]
+    starts = np.r_[0, ends[:-1]]
+    return mixed(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64)).view(np.int64)

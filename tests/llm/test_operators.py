@@ -340,7 +340,7 @@ def test_line_dedup(docs, rows, empty, monkeypatch, rows_limit, leaf):
     for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         for i, line in enumerate((r[1]).split("\n") if r[1] is not None else []):
             w = words_of(line)
-            own = frozenset(zip(w, w[1:])) or (frozenset([tuple(w)]) if w else frozenset())
+            own = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
             place = (str(r[0]), i)
             hit = own and any(p != place and 10 * len(own & s) >= 8 * len(own | s) for p, s in seen)
             expected[(*place, len(own), not hit)] += 1
