@@ -151,11 +151,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # The byte comparison: equal texts meet in one group, after copies of a partition were combined.
     groups = texts.groupBy(text.alias("text")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.where("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
-    found = rows.join(groups, "text_sha256", "left").select(
-        "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256",
-    )
-    first = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id")) == 1
+    # Numbered before the join, so that a large group of copies is dealt by id and the join may be split.
+    first = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("print")) == 1
+    found = rows.withColumn("_first", first).join(groups, "text_sha256", "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
-        "doc_id", "keep_id", "group_size", (first & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256"
-    )
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("_first") & F.col("doc_id").eqNullSafe(keep)).alias("kept"), "text_sha256",
+    )
