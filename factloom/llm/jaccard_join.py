@@ -264,7 +264,8 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, width: int, num: int, den: in
     cells = rows.where("node is not null").select(F.explode("prefix").alias("region"), "node")
     shared = cells.groupBy("region").agg(F.min("node").alias("pivot"), F.max("node").alias("_far")).where("pivot < _far").drop("_far")
     shared = materialize(shared, "cells")
-    state = materialize(cells.join(_few(shared), "region").select("region", "node", "pivot").distinct(), "members")
+    # Cells grow with the shingles of the corpus, so this join is a shuffle at every size.
+    state = materialize(cells.join(shared, "region").select("region", "node", "pivot").distinct(), "members")
     state = state.withColumn("mask", F.lit(0))
     touched = materialize(state.select("node").distinct(), "touched")
     small = rows.select("node", "n", "sketch").join(_few(touched), "node", "left_semi")
@@ -304,6 +305,7 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, width: int, num: int, den: in
         done = left.join(_few(large.select("region")), "region", "left_anti")
         leaves = done if leaves is None else leaves.unionByName(done)
         state = left.join(_few(large), "region").select("region", "node", "pivot", "mask")
+    roots = materialize(components(links).toDF("node", "root"), "roots")
     candidates = materialize(_leaf_pairs(_apart(leaves, roots), members, num, den), "candidates")
     found = verified(candidates).where(is_link).select("a", "b")
     return materialize(components(links.unionByName(found)).toDF("node", "root"), "roots")
