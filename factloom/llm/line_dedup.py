@@ -193,7 +193,8 @@ def dedup_lines(docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc
     firsts = materialize(worded.groupBy("node").agg(F.min(order).alias("first")), "firsts")
     cells = worded.select("node", "n", F.posexplode("prefix").alias("place", "token"))
     shared = cells.groupBy("token").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where("_low < _high").select("token")
-    members = cells.join(_few(materialize(shared, "tokens")), "token", "left_semi").distinct()
+    # Shared tokens grow with the corpus, so this join is a shuffle at every size.
+    members = cells.join(shared, "token", "left_semi").distinct()
     members = materialize(members.join(firsts, "node"), "members")
     heads = members.groupBy("token").agg(
         F.min_by(F.struct("node", "n"), F.struct("first", "node")).alias("head"), F.count("*").alias("size")
