@@ -307,7 +307,19 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, width: int, num: int, den: in
         state = left.join(_few(large), "region").select("region", "node", "pivot", "mask")
     roots = materialize(components(links).toDF("node", "root"), "roots")
     candidates = materialize(_leaf_pairs(_apart(leaves, roots), members, num, den), "candidates")
-    found = verified(candidates).where(is_link).select("a", "b")
+    # First one partner for each node: what this links needs no comparison of the other pairs.
+    ends = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
+    sets = materialize(whole_sets(docs, width, materialize(ends, "ends")), "sets")
+    lower = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    upper = candidates.groupBy("a").agg(F.max("b").alias("b"))
+    first = materialize(_measured(lower.unionByName(upper).distinct(), sets), "first")
+    links = links.unionByName(first.where(is_link).select("a", "b"))
+    roots = materialize(components(links).toDF("node", "root"), "roots")
+    rest = candidates
+    for end in ("a", "b"):
+        rest = rest.join(roots.toDF(end, f"_{end}"), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    rest = materialize(rest.where("_a <> _b").select("a", "b"), "rest")
+    found = _measured(rest, sets).where(is_link).select("a", "b")
     return materialize(components(links.unionByName(found)).toDF("node", "root"), "roots")
 
 
