@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-The tokens of a line are its runs of five words. In one order of all tokens, the frequent ones last,
+The tokens of a line are its runs of ``width`` words. In one order of all tokens, the frequent ones last,
 two similar lines share a token in their prefixes. Lines that do are compared if their sizes (length
 filter) and the places of the shared token (positional filter) allow enough common tokens; whole sets are
 verified, and of two similar lines the later one is removed. The earliest line of a token comes first:
@@ -43,7 +43,7 @@ def _lines(batch: pa.RecordBatch, column: int) -> tuple[list[int], list[int], li
     return rows, numbers, lines
 
 
-def frequent_tokens(docs: DataFrame, size: int = FREQUENT) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, size: int = FREQUENT, width: int = WIDTH) -> np.ndarray:
     """Frequent tokens, rarest first, at most ``size``; every line is counted, chance hits drop out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +55,7 @@ def frequent_tokens(docs: DataFrame, size: int = FREQUENT) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
 
         for batch in batches:
-            for values, _ in shingle_tables(_lines(batch, 0)[2], WIDTH):
+            for values, _ in shingle_tables(_lines(batch, 0)[2], width):
                 held.append(values)
                 total += len(values)
                 if total > FLUSH:
@@ -69,8 +69,22 @@ def frequent_tokens(docs: DataFrame, size: int = FREQUENT) -> np.ndarray:
     return top["token"].to_numpy(np.int64)[::-1].view(np.uint64).copy()
 
 
-def described(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """``doc_id, line_no, node, n, prefix`` of each line; lines of equal token sets have one ``node``."""
+def _bitmaps(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit words for each set: every token flips one of the 128 bits."""
+    starts = np.r_[0, ends[:-1]]
+    full = np.flatnonzero(ends > starts)
+    bit, second = np.uint64(1) << (values >> np.uint64(58)), (values >> np.uint64(57) & np.uint64(1)).astype(bool)
+    out = []
+    for own in (np.where(second, np.uint64(0), bit), np.where(second, bit, np.uint64(0))):
+        words = np.zeros(len(ends), np.uint64)
+        if len(full):
+            words[full] = np.bitwise_xor.reduceat(own, starts[full])
+        out.append(words.view(np.int64))
+    return out[0], out[1]
+
+
+def described(docs: DataFrame, frequent: np.ndarray, num: int, den: int, width: int = WIDTH) -> DataFrame:
+    """``doc_id, line_no, node, n, low, high, prefix`` of each line; lines of equal token sets have one ``node``."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
 
@@ -78,11 +92,14 @@ def described(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> Data
         keys, ranks = shared.value
         for batch in batches:
             rows, numbers, lines = _lines(batch, 1)
-            nodes, sizes, prefixes, kept = [], [], [], []
-            for values, ends in shingle_tables(lines, WIDTH):
+            nodes, sizes, lows, highs, prefixes, kept = [], [], [], [], [], []
+            for values, ends in shingle_tables(lines, width):
                 n = np.diff(ends, prepend=0)
                 nodes.append(set_nodes(values, ends))
                 sizes.append(n)
+                low, high = _bitmaps(values, ends)
+                lows.append(low)
+                highs.append(high)
                 owner = np.repeat(np.arange(len(ends)), n)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
@@ -100,12 +117,12 @@ def described(docs: DataFrame, frequent: np.ndarray, num: int, den: int) -> Data
             prefix = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(items))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), node,
-                 pa.array(n, pa.int32()), prefix],
-                names=["doc_id", "line_no", "node", "n", "prefix"],
+                 pa.array(n, pa.int32()), *[pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (lows, highs)], prefix],
+                names=["doc_id", "line_no", "node", "n", "low", "high", "prefix"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"doc_id {kind}, line_no int, node long, n int, prefix array<long>")
+    return docs.mapInArrow(describe, f"doc_id {kind}, line_no int, node long, n int, low long, high long, prefix array<long>")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -113,7 +130,7 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int, width: int) -> DataFrame:
     """The (later, earlier) pairs whose whole token sets are similar."""
     nodes = materialize(pairs.select(F.explode(F.array("later", "earlier")).alias("node")).distinct(), "ends")
     n = nodes.count()
@@ -124,7 +141,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFram
         seen: set[int] = set()
         for batch in batches:
             found, items = [], []
-            for values, ends in shingle_tables(_lines(batch, 0)[2], WIDTH):
+            for values, ends in shingle_tables(_lines(batch, 0)[2], width):
                 starts = np.r_[0, ends[:-1]]
                 for i, node in enumerate(set_nodes(values, ends).tolist()):
                     if ends[i] > starts[i] and node not in seen and (wanted.value is None or node in wanted.value):
@@ -149,14 +166,14 @@ def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(task.alias("task"), "node", "n", "place", "open", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"))
+    dealt = dealt.select(task.alias("task"), "node", "n", "low", "high", "place", "open", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"))
     tasks = max(1, rows.count() // 50_000)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["task", "doc", "line"], kind="stable")
         task = frame["task"].to_numpy()
         starts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
-        node, n, place = (frame[c].to_numpy(np.int64) for c in ("node", "n", "place"))
+        node, n, low, high, place = (frame[c].to_numpy(np.int64) for c in ("node", "n", "low", "high", "place"))
         waits = frame["open"].to_numpy(bool)
         out = []
         for a, b in zip(starts, np.r_[starts[1:], len(frame)], strict=True):
@@ -166,7 +183,8 @@ def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
                 room = np.minimum(n[i] - place[i], n[j] - place[j])  # no common token before the first shared one
                 # ... which this one may not be: tokens before both places may be common too.
                 room = room + np.minimum(place[i], place[j])
-                fits = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (room >= least)
+                apart = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j])
+                fits = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (room >= least) & (n[i] + n[j] - apart >= 2 * least)
                 at = np.flatnonzero(fits) + a
                 if len(at):
                     out.append(np.c_[np.full(len(at), node[i]), node[at]])
@@ -177,40 +195,51 @@ def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.groupBy(bucket).applyInPandas(compare, "later long, earlier long").distinct()
 
 
-def dedup_lines(docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH
+) -> DataFrame:
     """``doc_id, line_no, n_tokens, kept`` for each line (text between line feeds) of each row.
 
     A line is removed if an earlier one, by id and then number, has ``den * common >= num * joint`` tokens,
-    whether that one stays or not. A line of fewer than five words is one token; lines without words stay.
+    whether that one stays or not. A line of fewer than ``width`` words is one token; lines without words stay.
     Null texts have no lines, an empty text has one. Rows that repeat an id share their line numbers, and
     lines of equal id, number and tokens are one line. Null ids come last. An empty table gives no rows.
     Tokens are compared by 64-bit hashes.
     """
     docs = id_and_text(docs, id_col, text_col)
-    lines = materialize(described(docs, frequent_tokens(docs), num, den), "lines")
+    lines = materialize(described(docs, frequent_tokens(docs, width=width), num, den, width), "lines")
     worded = lines.where("node is not null")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
-    firsts = materialize(worded.groupBy("node").agg(F.min(order).alias("first")), "firsts")
-    cells = worded.select("node", "n", F.posexplode("prefix").alias("place", "token"))
+    # Lines of equal token sets are one node from here on, so that copies of a line cost nothing further.
+    firsts = materialize(worded.groupBy("node").agg(F.min(order).alias("first"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("low", "high", "prefix")]), "firsts")
+    cells = firsts.select("node", "n", F.posexplode("prefix").alias("place", "token"))
     shared = cells.groupBy("token").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where("_low < _high").select("token")
     # Shared tokens grow with the corpus, so this join is a shuffle at every size.
-    members = cells.join(shared, "token", "left_semi").distinct()
-    members = materialize(members.join(firsts, "node"), "members")
+    members = cells.join(shared, "token", "left_semi")
+    members = materialize(members.join(firsts.select("node", "first", "low", "high"), "node"), "members")
     heads = members.groupBy("token").agg(
-        F.min_by(F.struct("node", "n"), F.struct("first", "node")).alias("head"), F.count("*").alias("size")
+        F.min_by(F.struct("node", "n", "low", "high", "place"), F.struct("first", "node")).alias("head"), F.count("*").alias("size")
     )
-    members = materialize(members.join(heads, "token"), "headed")
+    members = members.join(heads, "token")
+    # Only pairs that pass the length, the positional and the bitmap filter are verified. One order of tokens
+    # holds for both lines, so common ones are before both places or from both places on. Each bit in which
+    # two bitmaps differ stands for a token that only one of the lines has.
     sizes = F.least("n", "head.n") * den >= F.greatest("n", "head.n") * num
-    pairs = members.where((F.col("node") != F.col("head.node")) & sizes).select(F.col("node").alias("later"), F.col("head.node").alias("earlier"))
-    removed = materialize(_verified(docs, pairs.distinct(), num, den).select(F.col("later").alias("node")).distinct(), "removed")
+    room = F.least(F.col("n") - F.col("place"), F.col("head.n") - F.col("head.place")) + F.least("place", "head.place")
+    total = F.col("n") + F.col("head.n")
+    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("head.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("head.high")))
+    fits = sizes & (room * (num + den) >= total * num) & ((total - apart) * (num + den) >= total * (2 * num))
+    members = materialize(members.withColumn("fits", fits), "headed")
+    pairs = members.where((F.col("node") != F.col("head.node")) & F.col("fits")).select(F.col("node").alias("later"), F.col("head.node").alias("earlier"))
+    removed = materialize(_verified(docs, materialize(pairs.distinct(), "pairs"), num, den, width).select(F.col("later").alias("node")).distinct(), "removed")
     # Lines still open meet the other earlier lines of their tokens; two lines of one token have met already.
     marked = members.where("size > 2").join(removed.withColumn("_gone", F.lit(True)), "node", "left")
-    marked = materialize(marked.withColumn("open", F.col("_gone").isNull() & (F.col("node") != F.col("head.node"))).drop("_gone", "head"), "marked")
+    marked = materialize(marked.withColumn("open", F.col("_gone").isNull() & (F.col("node") != F.col("head.node"))).drop("_gone", "head", "fits"), "marked")
     alive = marked.where("open").select("token").distinct()
     rest = _open_pairs(marked.join(_few(materialize(alive, "alive")), "token", "left_semi"), num, den)
-    more = _verified(docs, materialize(rest, "rest"), num, den).select(F.col("later").alias("node"))
+    more = _verified(docs, materialize(rest, "rest"), num, den, width).select(F.col("later").alias("node"))
     gone = removed.unionByName(more).distinct().withColumn("_gone", F.lit(True))
-    kept_first = firsts.join(gone, "node", "left").select(F.col("node").alias("_node"), F.col("first").alias("_first"), F.col("_gone").isNull().alias("_stays"))
+    kept_first = firsts.select("node", "first").join(gone, "node", "left").select(F.col("node").alias("_node"), F.col("first").alias("_first"), F.col("_gone").isNull().alias("_stays"))
     judged = lines.join(kept_first, lines["node"] == F.col("_node"), "left")
     stays = F.col("_stays") & (F.col("_first") == order)
     return judged.select("doc_id", "line_no", F.col("n").alias("n_tokens"), F.when(F.col("node").isNull(), True).otherwise(F.coalesce(stays, F.lit(False))).alias("kept"))

@@ -39,7 +39,7 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), width=2)
 
 
 @query()

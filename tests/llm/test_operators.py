@@ -19,6 +19,7 @@ from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.mixing import mix, training_order
 from factloom.llm.neighbours import hilbert_keys, nearest
 from factloom.llm.packing import ByteTokens, configurations, pack, pieces
+from factloom.llm.queries import LLM_QUERIES
 from factloom.llm.shingles import shingle_sets
 from factloom.llm.token_counts import PieceMerger, token_counts
 
@@ -351,6 +352,25 @@ def test_line_dedup(docs, rows, empty, monkeypatch, rows_limit, leaf):
         assert dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_query_takes_pairs_of_words(spark, docs, rows, tmp_path):
+    near = "one changed word in a line of some twenty words must not save its near copy from being removed by the {} operator here"
+    more = [(5000 + i, near.format(w), None, "a", 0, "n", 0, "s") for i, w in enumerate(("query", "whole"))]
+    docs.unionByName(spark.createDataFrame(more, SCHEMA)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.Counter((str(r.doc_id), r.line_no, r.n_tokens, r.kept) for r in LLM_QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect())
+    seen, expected = [], collections.Counter()
+    for r in sorted([*rows, *more], key=lambda r: (r[0] is None, r[0] or 0)):
+        for i, line in enumerate((r[1]).split("\n") if r[1] is not None else []):
+            w = words_of(line)
+            own = frozenset(zip(w, w[1:])) or (frozenset([tuple(w)]) if w else frozenset())
+            place = (str(r[0]), i)
+            hit = own and any(p != place and 10 * len(own & s) >= 8 * len(own | s) for p, s in seen)
+            expected[(*place, len(own), not hit)] += 1
+            if own:
+                seen.append((place, own))
+    assert got == expected
+    assert [k[3] for k in sorted(got) if k[0] in ("5000", "5001")] == [True, False]
+
+
 def test_shingles_do_not_depend_on_grouping():
     rng = random.Random(9)
     texts = ["".join(rng.choice("ab \n") for _ in range(rng.randrange(40))).encode() for _ in range(300)] + [None, b""]
