@@ -8,6 +8,7 @@ and in relation to the text's length, into a score.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,6 +40,11 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 INVISIBLE = "­​‌‍⁠﻿"
 
 
+#: Signs in a row, with marks that are not seen among them, that no letter or digit follows: punctuation.
+_MARKS = "!|$@" + INVISIBLE
+_PUNCTUATION = re.compile(rf"(?<![{_MARKS}])[{_MARKS}]++(?![^\W_])")
+
+
 def _table() -> dict[int, str]:
     table = {ord(k): SUBSTITUTES.get(v, v) for k, v in HOMOGLYPHS.items()}
     table |= {ord(k): v for k, v in SUBSTITUTES.items()}
@@ -58,11 +64,9 @@ def folded(text: str) -> str:
     low = text.lower()
     if not low.isascii():
         low = unicodedata.normalize("NFKC", low).lower()
-    # A sign at the end of a word is punctuation, not a letter.
-    for sign in "!|$@":
-        if sign in low:
-            low = low.replace(sign + " ", "  ").replace(sign + "\n", " \n").replace(sign + sign, "  ")
-            low = low[:-1] + " " if low.endswith(sign) else low
+    # A sign is a letter where a letter or digit follows, perhaps after more signs, and a blank elsewhere.
+    if any(sign in low for sign in "!|$@"):
+        low = _PUNCTUATION.sub(lambda m: " " if m[0].strip(INVISIBLE) else m[0], low)
     return f" {' '.join(low.translate(_FOLD).split())} "
 
 
