@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
 from factloom.llm import toxicity
 from factloom.llm.common import table
@@ -17,28 +18,47 @@ from factloom.session import materialize
 BROADCAST_IDS = 1_000_000
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with a ``row_key`` of their own for each row, written once and kept through the stages.
+
+    Keys sort by id, null ids last, so the row with the smallest key is one with the smallest id; rows of
+    equal or null ids are told apart by their place in the input.
+    """
+    if "row_key" in docs.columns:
+        return docs
+    own = F.col("doc_id")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        own = F.lpad(F.hex(own.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    place = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
+    key = F.concat(F.when(F.col("doc_id").isNull(), "1").otherwise("0"), F.coalesce(own.cast("string"), F.lit("")), F.lit("-"), place)
+    return materialize(docs.withColumn("row_key", key), "keyed")
+
+
 def _only(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``dropped``; rows without an id stay."""
-    dropped = materialize(dropped.where("doc_id is not null").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    """Rows of ``docs`` whose key is not among the ids of ``dropped``."""
+    dropped = materialize(dropped.select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, docs["row_key"] == F.col("_dropped"), "left_anti")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon scores at 0.5 or more go; the labels of the corpus teach it."""
+    docs = keyed(docs)
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, toxicity.toxicity(docs, lexicon).where("predicted = 1"))
+    return _only(docs, toxicity.toxicity(docs, lexicon, "row_key").where("predicted = 1"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays, once."""
-    found = materialize(exact_duplicates(docs), "copies")
-    return _once(_only(docs, found.where("doc_id <> keep_id")))
+    docs = keyed(docs)
+    found = materialize(exact_duplicates(docs, "row_key"), "copies")
+    return _only(docs, found.where("doc_id <> keep_id"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles of five words at 0.8 the one with the smallest id stays."""
-    found = materialize(jaccard_join(docs, width=5, num=8, den=10), "near")
+    docs = keyed(docs)
+    found = materialize(jaccard_join(docs, width=5, num=8, den=10, id_col="row_key"), "near")
     return _only(docs, found.where("doc_id <> component_id"))
 
 
@@ -48,10 +68,12 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Copies keep the columns of their document. Documents that the mix takes no word of, such as those
     without words, are absent.
     """
-    mixed = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken", "position")
+    docs = keyed(docs)
+    spread = (F.col("doc_id"), F.md5("text"))
+    mixed = mix(docs, "row_key", spread=spread).where("taken > 0").select(F.col("doc_id").alias("_key"), "size", "taken", "position")
     mixed = materialize(mixed, "mixed")
     mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed
-    rows = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col("_id")))
+    rows = docs.join(mixed, docs["row_key"] == F.col("_key"))
     passes = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
     rows = rows.withColumn("_pass", F.explode(passes))
     words = F.least(F.col("size"), F.col("taken") - F.col("_pass") * F.col("size")).cast("int")
@@ -62,22 +84,13 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(words < F.col("size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "_pass").select(*docs.columns)
+    return rows.repartitionByRange("position", "row_key").sortWithinPartitions("position", "row_key", "_pass").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their place in a training sequence."""
-    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
-
-
-def _once(docs: DataFrame) -> DataFrame:
-    """Rows repeated with their id count once; ids are unique in all but broken tables, where they are dealt by id."""
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-    repeated = materialize(repeated, "again")
-    if not repeated.count():
-        return docs
-    one = docs.join(repeated, docs["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(repeated, docs["doc_id"] == F.col("_again"), "left_anti").unionByName(one)
+    cut = pieces(keyed(docs), public_tokenizers.path("byte_bpe_50k.json"), more=("row_key",))
+    return pack(cut, keys=("row_key", "piece"))
 
 
 STAGES = [

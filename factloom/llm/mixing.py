@@ -60,17 +60,20 @@ def demand_time(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise(root)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", spread: tuple[Column, ...] = (), **options
+) -> DataFrame:
     """``doc_id, size, source_size, target, taken, position`` for each row of ``docs``.
 
-    A source is read in a fixed pseudo-random order, again and again until its target is met, so at most
+    A source is read in a fixed pseudo-random order (by id, or by the columns ``spread``), again and again until its target is met, so at most
     one document of a source is taken in part on its last pass. ``position`` is the training time of the
     first word taken, null where nothing is taken. Null or empty texts have size 0 and are never taken;
     null sources are a source of their own, the last. An empty table gives no rows.
     """
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-    ).withColumn("digest", spread_key("doc_id"))
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        spread_key(*(spread or (F.col(id_col),))).alias("digest"),
+    )
     rows = materialize(rows, "sizes")
     n = rows.count()
     targets = source_targets(rows, **options)

@@ -103,13 +103,13 @@ def byte_tokens(tokenizer_file: str) -> ByteTokens:
     return ByteTokens(tokenizer_file)
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``: the ids of each text and the end id, cut where too long.
+def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` and the columns ``more``: the ids of each text and the end id, cut where too long.
 
     All pieces but the first of a cut document hold ``capacity`` ids. Null text counts as empty: one piece
     with the end id.
     """
-    docs = id_and_text(docs, id_col, text_col)
+    docs = id_and_text(docs, id_col, text_col, *more)
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,14 +127,16 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_co
                     start.append(at)
                     length.append(size)
                     crc.append(zlib.crc32(memoryview(ids)[4 * at : 4 * (at + size)]))
+            at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                [batch.column(0).take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                 pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *[c.take(at) for c in batch.columns[2:]]],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", *more],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    return docs.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{carried}")
 
 
 def _best(prices: np.ndarray, capacity: int) -> dict[int, int]:
@@ -248,13 +250,13 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     return used
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Add ``sequence_id, offset`` to the rows of :func:`pieces`; each sequence is filled from 0 without gaps.
 
     Pieces of one length are interchangeable; a fixed pseudo-random order deals them to configurations,
-    so reruns agree and repeated rows get places of their own. An empty table gives no rows.
+    by the columns ``keys``, so reruns agree and repeated rows get places of their own. An empty table gives no rows.
     """
-    cut = materialize(cut.withColumn("digest", spread_key("doc_id", "piece")), "pieces")
+    cut = materialize(cut.withColumn("digest", spread_key(*keys)), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     used = configurations(histogram, capacity, rounds)
     taken: dict[int, int] = {}
@@ -269,7 +271,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Data
         base += times
     layout = np.array(sorted(table), np.int64).reshape(-1, 5)
     shared = cut.sparkSession.sparkContext.broadcast(layout)
-    numbered = with_running_sum(cut, ["length"], "digest", F.lit(1), "rank", "doc_id", "piece", "ids_crc32", rows=sum(histogram.values()))
+    numbered = with_running_sum(cut, ["length"], "digest", F.lit(1), "rank", *keys, "ids_crc32", rows=sum(histogram.values()))
     numbered = numbered.drop("digest")
     width = len(numbered.columns)
 
