@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType
 
 from factloom.llm import toxicity
-from factloom.llm.common import table
+from factloom.llm.common import table, word_count
 from factloom.llm.exact_dedup import exact_duplicates
 from factloom.llm.jaccard_join import jaccard_join
-from factloom.llm.mixing import mix
+from factloom.llm.mixing import copies_taken, mix
 from factloom.llm.packing import pack, pieces
 from factloom.session import materialize
 
@@ -65,32 +65,31 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in the order of training; the last pass may end inside one.
 
-    Copies keep the columns of their document. Documents that the mix takes no word of, such as those
-    without words, are absent.
+    Each ``copy`` of a document has its own training ``position`` and else the columns of its document.
+    Documents that the mix takes no word of, such as those without words, are absent.
     """
     docs = keyed(docs)
-    spread = (F.col("doc_id"), F.md5("text"))
-    mixed = mix(docs, "row_key", spread=spread).where("taken > 0").select(F.col("doc_id").alias("_key"), "size", "taken", "position")
-    mixed = materialize(mixed, "mixed")
-    mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed
-    rows = docs.join(mixed, docs["row_key"] == F.col("_key"))
-    passes = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
-    rows = rows.withColumn("_pass", F.explode(passes))
-    words = F.least(F.col("size"), F.col("taken") - F.col("_pass") * F.col("size")).cast("int")
+    mixed = mix(docs, "row_key", spread=(F.col("doc_id"), F.md5("text")))
+    taken = copies_taken(mixed.where("taken > 0")).select(F.col("doc_id").alias("_key"), "copy", "words", "position")
+    taken = materialize(taken, "taken")
+    taken = F.broadcast(taken) if taken.count() <= BROADCAST_IDS else taken
+    rows = docs.join(taken, docs["row_key"] == F.col("_key"))
+    whole = F.col("words") >= word_count(F.col("text"))
     # Cut where a word ends, so that each part is a word with the white space before it.
     parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    part = F.array_join(F.slice(parts, F.lit(1), words), "")
-    text = F.when(words < F.col("size"), part).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    part = F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), "")
+    rows = rows.withColumn("_whole", whole).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(words < F.col("size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.repartitionByRange("position", "row_key").sortWithinPartitions("position", "row_key", "_pass").select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    rows = rows.select(*docs.columns, "copy", "position")
+    return rows.repartitionByRange("position", "row_key", "copy").sortWithinPartitions("position", "row_key", "copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their place in a training sequence."""
-    cut = pieces(keyed(docs), public_tokenizers.path("byte_bpe_50k.json"), more=("row_key",))
-    return pack(cut, keys=("row_key", "piece"))
+    """Pieces of at most 1024 tokens with their place in a training sequence; sequences follow the positions."""
+    more = ("row_key", *(c for c in ("copy", "position") if c in docs.columns))
+    cut = pieces(keyed(docs), public_tokenizers.path("byte_bpe_50k.json"), more=more)
+    return pack(cut, keys=(*more[:2], "piece"), time="position") if len(more) == 3 else pack(cut, keys=("row_key", "piece"))
 
 
 STAGES = [

@@ -91,8 +91,8 @@ def mix(
     )
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per copy taken: ``doc_id, copy, words, position``, range-sorted by position.
+def copies_taken(mixed: DataFrame) -> DataFrame:
+    """One row per copy taken: ``doc_id, copy, words, position``.
 
     Copy ``i`` of a document starts ``i`` source sizes later in its source's stream; the last copy may
     hold fewer words than the document.
@@ -102,5 +102,10 @@ def training_order(mixed: DataFrame) -> DataFrame:
     quota = F.greatest(F.floor(F.col("target") + 0.5), F.lit(1)).cast("double")
     share = (F.col("before") + F.col("copy") * F.col("source_size")).cast("double") / quota
     words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    placed = rows.select("doc_id", "copy", words.alias("words"), demand_time(share, F.col("slope")).alias("position"))
+    return rows.select("doc_id", "copy", words.alias("words"), demand_time(share, F.col("slope")).alias("position"))
+
+
+def training_order(mixed: DataFrame) -> DataFrame:
+    """The rows of :func:`copies_taken`, range-sorted by position."""
+    placed = copies_taken(mixed)
     return placed.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")

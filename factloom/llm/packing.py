@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import id_and_text, spread_key, with_running_sum
+from factloom.llm.common import id_and_text, ranked, spread_key, with_running_sum
 from factloom.session import materialize
 
 CAPACITY = 1024
@@ -28,6 +28,8 @@ ROUNDS, STEP, RATE = 1500, 0.25, 1.0
 SLACK = 1
 #: Share of the fractional solution that is rounded; the rest leaves best fit some of every length.
 KEPT = 0.5
+#: Parts of the training time that use the configurations in equal shares, where pieces have a time.
+EPOCHS = 64
 #: Chunks of text remembered by a Python worker, and the longest one worth remembering.
 REMEMBERED, LONGEST = 700_000, 48
 
@@ -250,18 +252,35 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     return used
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def _by_epoch(used: list[tuple[dict[int, int], int]]) -> Iterator[tuple[dict[int, int], int]]:
+    """The same sequences, those of each configuration spread over the epochs."""
+    for epoch in range(EPOCHS):
+        for i, (config, times) in enumerate(used):
+            phase = i * 37 % EPOCHS
+            n = ((epoch + 1) * times + phase) // EPOCHS - (epoch * times + phase) // EPOCHS
+            if n:
+                yield config, n
+
+
+def pack(
+    cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, keys: tuple[str, ...] = ("doc_id", "piece"), time: str | None = None
+) -> DataFrame:
     """Add ``sequence_id, offset`` to the rows of :func:`pieces`; each sequence is filled from 0 without gaps.
 
     Pieces of one length are interchangeable; a fixed pseudo-random order deals them to configurations,
-    by the columns ``keys``, so reruns agree and repeated rows get places of their own. An empty table gives no rows.
+    by the columns ``keys``, so reruns agree and repeated rows get places of their own. With a column ``time`` of values in
+    [0, 1], pieces of one length are dealt by it, and sequences are numbered by the least time of their pieces. An empty table gives no rows.
     """
-    cut = materialize(cut.withColumn("digest", spread_key(*keys)), "pieces")
+    digest = spread_key(*keys)
+    if time is not None:
+        place = (F.least(F.greatest(F.col(time), F.lit(0.0)), F.lit(1 - 2.0**-52)) * 2.0**52).cast("long")
+        digest = F.concat(F.lower(F.lpad(F.hex(place), 13, "0")), digest)
+    cut = materialize(cut.withColumn("digest", digest), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     used = configurations(histogram, capacity, rounds)
     taken: dict[int, int] = {}
     table, base = [], 0  # (length, first rank, first sequence, pieces per sequence, first offset)
-    for config, times in used:
+    for config, times in used if time is None else _by_epoch(used):
         offset = 0
         for length, n in sorted(config.items(), reverse=True):
             rank = taken.get(length, 0)
@@ -275,7 +294,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, keys: t
     numbered = numbered.drop("digest")
     width = len(numbered.columns)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         keys = own[:, 0] << np.int64(48) | own[:, 1]
         for batch in batches:
@@ -290,4 +309,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, keys: t
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields[:-1])
-    return numbered.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    placed = numbered.mapInArrow(put, f"{kinds}, sequence_id long, offset long")
+    if time is None:
+        return placed
+    placed = materialize(placed, "placed")
+    starts = placed.groupBy("sequence_id").agg(F.min(time).alias("_at"))
+    numbers = ranked(starts, F.struct("_at", "sequence_id"), "_number").select("sequence_id", "_number")
+    columns = [F.col("_number").alias(c) if c == "sequence_id" else F.col(c) for c in placed.columns]
+    return placed.join(numbers, "sequence_id").select(*columns)

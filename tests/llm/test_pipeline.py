@@ -1,13 +1,24 @@
 """The corpus pipeline on small tables with rows without an id and rows that repeat one."""
 
 import collections
+import hashlib
+import math
 import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(n))
 
@@ -34,3 +45,49 @@ def test_rows_without_or_with_a_repeated_id_are_judged_alone(spark, tmp_path):
     assert kept[-4, again] == 1 and kept[7, rows[7][1]] == 1 and sum(kept.values()) == 4
     mixed = corpus_pipeline.mixed_sources(spark, docs, str(tmp_path))
     assert mixed.groupBy("row_key").count().agg({"count": "max"}).first()[0] <= 3 and mixed.count() <= 12
+
+
+def test_run_follows_the_curriculum(spark, tmp_path):
+    """All documents differ and none is toxic, so mixing and packing are redone here for all rows."""
+    rng = random.Random(4)
+    data = [(i if i % 9 else None, prose(rng, rng.randint(1, 400) + 1500 * (i % 20 == 0)), None, "abc"[min(2, i // 6)], 0) for i in range(60)]
+    stored(spark, tmp_path, data)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = {s: sum(len(r[1].split()) for r in data if r[3] == s) for s in "abc"}
+    capped, weight = set(), {"a": 1, "b": 2, "c": 3}
+    while True:
+        level = (sum(size.values()) - sum(3 * size[s] for s in capped)) / sum(weight[s] for s in "abc" if s not in capped)
+        more = {s for s in "abc" if s not in capped and 3 * size[s] < level * weight[s]}
+        if not more:
+            break
+        capped |= more
+    expected = collections.Counter()
+    for s, slope in zip("abc", (-0.5, 0.0, 0.5)):
+        quota = 3 * size[s] if s in capped else math.floor(level * weight[s] + 0.5)
+        own = sorted((r for r in data if r[3] == s), key=lambda r: md5(f"{'' if r[0] is None else r[0]}|{md5(r[1])}"))
+        at, copy = 0, 0
+        while at < quota:
+            for doc_id, text, *_ in own:
+                words = text.split()[: quota - at]
+                if words:
+                    share = at / quota
+                    time = share if not slope else (math.sqrt((1 - slope) ** 2 + 4 * slope * share) - (1 - slope)) / (2 * slope)
+                    ids = [*library.encode(" ".join(words), add_special_tokens=False).ids, 2]
+                    first = (len(ids) - 1) % 1024 + 1
+                    for piece, start in enumerate([0, *range(first, len(ids), 1024)]):
+                        part = ids[start : start + (1024 if piece else first)]
+                        expected[doc_id, copy, round(time, 9), piece, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+                at += len(words)
+            copy += 1
+    assert collections.Counter((r.doc_id, r.copy, round(r.position, 9), r.piece, r.start, r.length, r.ids_crc32) for r in got) == expected
+    assert max(r.copy for r in got) > 0 and len({(r.row_key, r.copy, r.piece) for r in got}) == len(got)
+    filled = collections.defaultdict(list)
+    for r in got:
+        filled[r.sequence_id].append((r.offset, r.length, r.position))
+    assert sorted(filled) == list(range(len(filled)))
+    for parts in filled.values():
+        parts.sort()
+        assert [p[0] for p in parts] == [sum(q[1] for q in parts[:k]) for k in range(len(parts))] and sum(p[1] for p in parts) <= 1024
+    starts = [min(p[2] for p in filled[k]) for k in sorted(filled)]
+    assert starts == sorted(starts)
