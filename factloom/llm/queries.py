@@ -16,6 +16,7 @@ from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.mixing import mix
 from factloom.llm.neighbours import nearest
 from factloom.llm.packing import pack, pieces
+from factloom.llm.prefix_trie import conversation_trie
 from factloom.llm.secrets import secrets
 from factloom.llm.token_counts import token_counts
 
@@ -160,3 +161,47 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query(
+    r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(coalesce(role, '')), encode(coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(4294967295::BIGINT, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+           lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)), lambda k, i: xor(k >> 1, 3988292384::BIGINT * (k & 1))))) % 6 AS h
+  FROM turns GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS own, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND pos < h
+  UNION ALL
+  SELECT c.conv_id, 1, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos >= h),
+placed AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, list(md5(role) || md5(text)) OVER w AS path
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)),
+keyed AS (
+  SELECT conv_id, depth, chars, md5(array_to_string(path, '')) AS node, md5(array_to_string(path[:-2], '')) AS parent FROM placed
+  UNION ALL SELECT conv_id, 0, 0, md5(''), NULL FROM convs),
+nodes AS (
+  SELECT node, min(conv_id) AS conv_id, max(depth) AS depth, max(chars) AS chars, max(parent) AS parent, count(*) AS n_convs
+  FROM keyed GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY parent),
+below AS (
+  SELECT k.node, sum(CASE WHEN c.node IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM nodes n JOIN keyed k ON k.conv_id = n.conv_id AND k.depth <= n.depth LEFT JOIN children c ON c.node = n.node
+  GROUP BY k.node),
+ends AS (
+  SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(node, depth) AS node FROM keyed GROUP BY conv_id) GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN below USING (node) LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN children c ON c.node = n.node
+LEFT JOIN ends e ON e.node = n.node"""
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string").cast("binary")) % 6
+    return conversation_trie(table(spark, sf_dir, "conversations"), conv - conv % 100, head, most=5)
