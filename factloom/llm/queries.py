@@ -18,6 +18,7 @@ from factloom.llm.neighbours import nearest
 from factloom.llm.packing import pack, pieces
 from factloom.llm.prefix_trie import conversation_trie
 from factloom.llm.secrets import secrets
+from factloom.llm.suffix_dedup import dedup_passages
 from factloom.llm.token_counts import token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +206,8 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.col("conv_id")
     head = F.crc32(conv.cast("string").cast("binary")) % 6
     return conversation_trie(table(spark, sf_dir, "conversations"), conv - conv % 100, head, most=5)
+
+
+@query()
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(table(spark, sf_dir, "documents"))
