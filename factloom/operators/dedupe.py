@@ -4,15 +4,25 @@ Facts of one document with the same subject form a block. In order, a fact joins
 whose leader overlaps it, else it becomes a leader. Equal spans always share a cluster, so the work
 is done on distinct spans. Blocks up to ``block_limit`` distinct spans are folded in one array
 expression; larger ones take a distributed path with the same result: leaders are the greedy
-independent set of the overlap relation in span order, found in parallel rounds (Blelloch et al.,
-2012), with overlap candidates from rare shared signatures instead of all pairs.
+independent set of the overlap relation in span order, with overlap candidates from rare shared
+signatures instead of all pairs.
+
+Two parallel rounds (Blelloch et al., 2012) settle dense groups, whose first span leads all others.
+What is left is sparse: its overlaps are written once as pairs of numbers, and each block, or each
+connected part of a larger one, is decided in order by one task that streams its sorted pairs. So
+the number of jobs does not grow with the longest chain of overlaps. Only a part of more than
+``PART_PAIRS`` pairs goes on in rounds, on numbers alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.text import let, normal_span, sets_similar, spans_overlap, strip, token_set
+from factloom.operators.clusters import components
 from factloom.session import materialize
 
 BLOCK = ["doc_id", "subject_key"]
@@ -20,6 +30,9 @@ BLOCK_LIMIT = 1024
 BLOCK_CHARS = 1 << 20
 GRAM = 3
 LONG_TOKEN = 4096
+#: Rounds that settle dense groups, and pairs that one task decides in order.
+DENSE_ROUNDS = 2
+PART_PAIRS = 4_000_000
 
 
 def _fold_block(spans: Column) -> Column:
@@ -163,8 +176,83 @@ def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(r, keys[0] & keys[1] & keys[2] & (r.r_seq < left.seq) & test, how)
 
 
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaders of the parts of a partition, whose pairs come sorted by part, second and first.
+
+    A span leads unless an earlier leader overlaps it. One part's decisions are held at a time.
+    """
+    part, led, current, free = None, {}, None, True
+
+    def close() -> None:
+        if current is not None:
+            led[current] = free
+
+    for batch in batches:
+        out: list[tuple] = []
+        for *key, first, second in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != part:
+                close()
+                out += [(*part[1:], seq) for seq, leads in led.items() if leads] if part else []
+                part, led, current, free = key, {}, None, True
+            if second != current:
+                close()
+                current, free = second, True
+            leads = led.setdefault(first, True)  # a span without earlier overlaps is never second: it leads
+            free = free and not leads
+        yield _nodes_batch(out)
+    close()
+    yield _nodes_batch([(*part[1:], seq) for seq, leads in led.items() if leads] if part else [])
+
+
+def _nodes_batch(rows: list[tuple]) -> pa.RecordBatch:
+    doc, subject, seq = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc, pa.string()), pa.array(subject, pa.string()), pa.array(seq, pa.int64())], names=[*BLOCK, "seq"]
+    )
+
+
+def _leaders_in_order(spans: DataFrame, pairs: DataFrame, part_pairs: int | None = None) -> DataFrame:
+    """Greedy leaders among ``spans`` (block, seq) whose overlaps are ``pairs`` (block, first, second)."""
+    node, limit = [*BLOCK, "seq"], part_pairs or PART_PAIRS
+    ends = F.explode(F.array("first", "second")).alias("seq")
+    alone = spans.join(pairs.select(*BLOCK, ends).distinct(), node, "left_anti")
+
+    def decide(rows: DataFrame) -> DataFrame:
+        """``rows`` are pairs with their ``part``."""
+        dealt = rows.repartition("part", *BLOCK).sortWithinPartitions("part", *BLOCK, "second", "first")
+        return dealt.select("part", *BLOCK, "first", "second").mapInArrow(_in_order, "doc_id string, subject_key string, seq long")
+
+    large = pairs.groupBy(*BLOCK).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*BLOCK)
+    whole = pairs.withColumn("part", F.lit(0).cast("long"))
+    if large.isEmpty():
+        return alone.unionByName(decide(whole))
+    large = materialize(large, "large_parts")
+    usual = decide(whole.join(large, BLOCK, "left_anti").select(*whole.columns))
+    big = pairs.join(large, BLOCK, "left_semi")
+    name = lambda c: F.struct(*BLOCK, F.col(c).alias("seq"))
+    parts = components(big.select(name("first").alias("u"), name("second").alias("v")))
+    parts = parts.select("vertex.*", F.col("root.seq").alias("part")).withColumnRenamed("seq", "second")
+    big = materialize(big.join(parts, [*BLOCK, "second"]), "parts")
+    beyond = big.groupBy(*BLOCK, "part").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*BLOCK, "part")
+    usual = usual.unionByName(decide(big.join(beyond, [*BLOCK, "part"], "left_anti").select(*big.columns)))
+    left = materialize(big.join(beyond, [*BLOCK, "part"], "left_semi").select(*BLOCK, "first", "second"), "beyond")
+    undecided = materialize(left.select(*BLOCK, ends).distinct(), "undecided")
+    rounds = alone.unionByName(usual)
+    while not undecided.isEmpty():
+        second = left.select(*BLOCK, F.col("second").alias("seq")).distinct()
+        found = materialize(undecided.join(second, node, "left_anti"), "leaders")
+        rounds = rounds.unionByName(found)
+        led = left.join(found.withColumnRenamed("seq", "first"), [*BLOCK, "first"], "left_semi")
+        gone = materialize(led.select(*BLOCK, F.col("second").alias("seq")).distinct().unionByName(found), "gone")
+        undecided = materialize(undecided.join(gone, node, "left_anti"), "undecided")
+        for side in ("first", "second"):
+            left = left.join(gone.withColumnRenamed("seq", side), [*BLOCK, side], "left_anti")
+        left = materialize(left.select(*BLOCK, "first", "second"), "beyond")
+    return rounds
+
+
 def _large_blocks(spans: DataFrame) -> DataFrame:
-    """Distributed greedy leaders of large blocks, in rounds until no span is undecided."""
+    """Distributed greedy leaders of large blocks."""
     node = [*BLOCK, "seq"]
     blank = spans.where(F.col("span") == "")
     blank_seq = blank.groupBy(*BLOCK).agg(F.min("seq").alias("blank"))
@@ -180,7 +268,7 @@ def _large_blocks(spans: DataFrame) -> DataFrame:
     left, right = _signatures(rest)
     undecided = rest.select(*node)
     leaders = None
-    while not undecided.isEmpty():
+    for _ in range(DENSE_ROUNDS):
         mine = left.join(undecided, node, "left_semi")
         theirs = right.join(undecided, node, "left_semi")
         blocked = materialize(_joined(mine, theirs, "left_semi").select(*node).distinct(), "blocked")
@@ -189,8 +277,9 @@ def _large_blocks(spans: DataFrame) -> DataFrame:
         waiting = left.join(blocked, node, "left_semi")
         covered = _joined(waiting, right.join(found, node, "left_semi"), "left_semi").select(*node).distinct()
         undecided = materialize(blocked.join(covered, node, "left_anti"), "undecided")
-    if leaders is None:
-        return led_by_blank
+    mine, theirs = (side.join(undecided, node, "left_semi") for side in (left, right))
+    pairs = _joined(mine, theirs, "inner").select(*[mine[c] for c in BLOCK], F.col("r_seq").alias("first"), mine["seq"].alias("second"))
+    leaders = materialize(leaders.unionByName(_leaders_in_order(undecided, materialize(pairs.distinct(), "pairs"))), "leaders")
     own = leaders.withColumn("leader", F.col("seq"))
     followers = left.join(leaders, node, "left_anti")
     assigned = (

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.functions.text import (
     content_hash,
-    is_grounded,
     jaccard,
     normal_span,
     section_hint,
+    span_grounded,
     spans_overlap,
     token_set,
 )
@@ -220,23 +220,27 @@ _NORM_SQL = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
 
 
 @query(
-    rf"""WITH firsts AS (
-  SELECT doc_id, text, string_split(text, chr(10))[1] AS first_line FROM documents),
+    rf"""WITH {_LINES_SQL},
+spans AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INT) AS line_no, text AS line FROM blocks),
 evidence AS (
-  SELECT doc_id, text, lower(replace(first_line, ' ', '  ')) AS span, 'own' AS origin FROM firsts
+  SELECT s.doc_id, line_no, d.text, lower(replace(line, ' ', '  ')) AS span, 'own' AS origin FROM spans s JOIN documents d USING (doc_id)
   UNION ALL
-  SELECT a.doc_id, a.text, b.first_line, 'next' FROM firsts a JOIN firsts b ON b.doc_id = a.doc_id + 1)
-SELECT doc_id, origin FROM evidence
-WHERE regexp_matches(span, '\S') AND contains({_NORM_SQL.format("text")}, {_NORM_SQL.format("span")})"""
+  SELECT d.doc_id, line_no, d.text, line, 'next' FROM spans s JOIN documents d ON s.doc_id = d.doc_id + 1),
+normal AS (SELECT doc_id, line_no, origin, {_NORM_SQL.format("text")} AS chunk, {_NORM_SQL.format("span")} AS said FROM evidence)
+SELECT doc_id, line_no, origin FROM normal WHERE said <> '' AND contains(chunk, said)"""
 )
 def grounded_evidence(spark, sf_dir):
-    """First lines, once lower-cased and re-spaced against their own document, once against the one before."""
-    firsts = _documents(spark, sf_dir).withColumn("span", F.substring_index("text", "\n", 1))
-    own = firsts.withColumn("span", F.lower(F.replace("span", F.lit(" "), F.lit("  ")))).withColumn("origin", F.lit("own"))
-    following = firsts.select((F.col("doc_id") - 1).alias("doc_id"), "span")
-    foreign = firsts.drop("span").join(following, "doc_id").withColumn("origin", F.lit("next"))
-    evidence = own.unionByName(foreign)
-    return evidence.where(is_grounded(F.col("text"), F.col("span"))).select("doc_id", "origin")
+    """Every line, lower-cased and re-spaced against its own document, and as it is against the one before."""
+    docs = _documents(spark, sf_dir)
+    lines = F.filter(F.split("text", "\n"), lambda t: t.rlike(r"\S"))
+    chunks = docs.select("doc_id", normal_span(F.col("text")).alias("chunk"))
+    said = docs.select("doc_id", F.posexplode(lines).alias("pos", "line"))
+    own = said.withColumn("span", F.lower(F.replace("line", F.lit(" "), F.lit("  ")))).withColumn("origin", F.lit("own"))
+    following = said.withColumn("doc_id", F.col("doc_id") - 1).withColumn("span", F.col("line")).withColumn("origin", F.lit("next"))
+    evidence = own.unionByName(following).join(chunks, "doc_id")
+    grounded = evidence.where(span_grounded(F.col("chunk"), F.col("span")))
+    return grounded.select("doc_id", (F.col("pos") + 1).alias("line_no"), "origin")
 
 
 _TOKENS_SQL = "list_distinct(list_filter(string_split({0}, ' '), lambda t: t <> ''))"
@@ -335,7 +339,40 @@ def near_duplicate_survivors(spark, sf_dir):
     return dedupe_facts(_line_facts(spark, sf_dir, "doc_id")).select("doc_id", "seq")
 
 
-@query()
+_SOURCE_LEADERS_SQL = rf"""
+lines_of AS (
+  SELECT d.source AS doc_id, lower(trim(d.lang)) AS subject_key, {_NORM_SQL.format("b.text")} AS span,
+         b.doc_id * 100000 + row_number() OVER (PARTITION BY b.doc_id ORDER BY n) - 1 AS seq
+  FROM blocks b JOIN documents d USING (doc_id)),
+spans AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, subject_key ORDER BY seq) AS i, {_TOKENS_SQL.format("span")} AS toks
+  FROM (SELECT doc_id, subject_key, span, min(seq) AS seq FROM lines_of GROUP BY ALL)),
+pairs_of AS MATERIALIZED (
+  SELECT b.doc_id, b.subject_key, b.i, list(a.i ORDER BY a.i) AS before
+  FROM spans a JOIN spans b ON a.doc_id = b.doc_id AND a.subject_key = b.subject_key AND a.i < b.i
+   AND (contains(a.span, b.span) OR contains(b.span, a.span)
+     OR 5 * len(a.toks) >= 4 * len(b.toks) AND 5 * len(b.toks) >= 4 * len(a.toks)
+        AND 9 * len(list_intersect(a.toks, b.toks)) >= 4 * (len(a.toks) + len(b.toks)))
+  GROUP BY ALL),
+steps AS (
+  SELECT doc_id, subject_key, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders, CAST(NULL AS BIGINT) AS leader
+  FROM (SELECT DISTINCT doc_id, subject_key FROM spans)
+  UNION ALL
+  SELECT doc_id, subject_key, i, CASE WHEN hit IS NULL THEN list_append(leaders, i) ELSE leaders END, coalesce(hit, i)
+  FROM (SELECT s.doc_id, s.subject_key, s.i, r.leaders, list_min(list_intersect(o.before, r.leaders)) AS hit
+        FROM steps r JOIN spans s ON s.doc_id = r.doc_id AND s.subject_key = r.subject_key AND s.i = r.i + 1
+        LEFT JOIN pairs_of o ON o.doc_id = s.doc_id AND o.subject_key = s.subject_key AND o.i = s.i)),
+led AS (SELECT doc_id, subject_key, i, leader FROM steps WHERE i > 0)
+"""
+
+
+@query(
+    f"""WITH RECURSIVE {_LINES_SQL}, {_SOURCE_LEADERS_SQL}
+SELECT l.doc_id, l.subject_key, l.seq, h.seq AS leader
+FROM lines_of l JOIN spans s ON s.doc_id = l.doc_id AND s.subject_key = l.subject_key AND s.span = l.span
+JOIN led ON led.doc_id = s.doc_id AND led.subject_key = s.subject_key AND led.i = s.i
+JOIN spans h ON h.doc_id = s.doc_id AND h.subject_key = s.subject_key AND h.i = led.leader"""
+)
 def near_duplicate_leaders_by_source(spark, sf_dir):
     """Whole sources as documents: hot blocks, which take the distributed path."""
     return leader_clusters(_line_facts(spark, sf_dir, "source"), block_limit=256).select("doc_id", "subject_key", "seq", "leader")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from factloom.operators import dedupe
 from factloom.operators.dedupe import dedupe_facts, leader_clusters
 
 SCHEMA = "doc_id string, seq long, subject string, evidence_span string, confidence double"
@@ -70,3 +71,33 @@ def test_one_hot_block_of_copies(spark):
     rows = [("d", i, "Co", f"value {i % 7} of the year" if i % 3 else "the same span", 0.5) for i in range(3000)]
     got = leader_clusters(spark.createDataFrame(rows, SCHEMA), block_limit=4).collect()
     assert {(r.doc_id, r.seq): r.leader for r in got} == greedy(rows)
+
+
+@pytest.mark.parametrize("part_pairs", [4_000_000, 3, 0])
+def test_large_blocks_in_parts_and_rounds_equal_the_greedy_order(spark, monkeypatch, part_pairs):
+    monkeypatch.setattr(dedupe, "PART_PAIRS", part_pairs)
+    monkeypatch.setattr(dedupe, "DENSE_ROUNDS", 1)
+    rows = random_rows(5, 140)
+    got = leader_clusters(spark.createDataFrame(rows, SCHEMA), block_limit=1).collect()
+    assert {(r.doc_id, r.seq): r.leader for r in got} == greedy(rows)
+
+
+def test_a_long_chain_takes_a_fixed_number_of_jobs(spark):
+    """Span i overlaps its neighbours only: every second one leads, however long the chain is."""
+
+    def chain(n):
+        spans = [" ".join(f"w{i + j}" for j in range(10)) for i in range(n)]
+        return [("d", i, "Co", span, 0.5) for i, span in enumerate(spans)]
+
+    def jobs(n):
+        group = f"chain-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            frame = leader_clusters(spark.createDataFrame(chain(n), SCHEMA), block_limit=4)
+            leaders = {r.seq: r.leader for r in frame.select("seq", "leader").collect()}
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert leaders == {i: i - i % 2 for i in range(n)}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert abs(jobs(10_000) - jobs(300)) <= 8
