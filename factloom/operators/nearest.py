@@ -7,10 +7,10 @@ the k best per query; pairs never leave it. The partial results meet in a rank w
 
 * with ``match`` columns the cell is a hash of them: one pass; only blocks of more than
   ``HOT_BLOCK`` rows, whose pairs would be too many to score, go the other way;
-* without, cells are the regions around sampled pivots. Pass one searches the query's own region
-  and gives an upper bound of its k-th distance; pass two visits only those regions that the
-  triangle inequality does not rule out (a pivot-based kNN join as in Lu et al., 2012), so the
-  result is exact; ``probes`` skips pass two and searches the nearest regions only.
+* without, cells are the leaves of a tree of pivot regions (``pivot_tree``). Pass one searches the
+  query's own leaf and gives an upper bound of its k-th distance; pass two visits only those leaves
+  that the triangle inequality does not rule out (a pivot-based kNN join as in Lu et al., 2012), so
+  the result is exact; ``probes`` searches the nearest of a flat set of regions only.
 
 Copies of a vector are folded first: of equal vectors only those that can be in a result are kept.
 """
@@ -22,16 +22,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.functions.vectors import unit_vector
+from factloom.operators.pivot_tree import PivotTree
 from factloom.session import materialize
 
 ROWS_PER_TASK = 4096
+# Regions of the approximate search.
 MAX_CELLS = 1024
 MAX_BROADCAST_CELLS = 100_000
 HOT_BLOCK = 64 * ROWS_PER_TASK
 # Up to so many pairs, scoring all of them in slices costs less than placing rows in regions.
 SCORE_ALL = 1 << 33
 DISTANCE_DIGITS = 9
-_TOLERANCE = 1e-6
 
 
 def _prepare(rows: DataFrame, key: str, vector: str, match: list[str], differ, earlier) -> DataFrame:
@@ -241,72 +242,6 @@ def _gaps(vectors, pivots):
     return np.sqrt(np.maximum(2.0 - 2.0 * (vectors @ pivots.T), 0.0))
 
 
-def _other_cells(queries: DataFrame, pivots, stats: dict, flags) -> DataFrame:
-    """Explode each query to the cells that may still hold one of its k nearest."""
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kept = [f for f in queries.schema.fields if f.name in ("id", "vec", "match", "differ", "earlier")]
-    schema = T.StructType([*kept, T.StructField("cell", T.IntegerType())])
-    arrow_schema = to_arrow_schema(schema)
-    _, differ, earlier = flags
-    names = [f.name for f in kept]
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            gap = _gaps(_matrix(table), pivots)
-            # cos distance d and Euclidean e of unit vectors: e = sqrt(2 d)
-            bound = np.sqrt(2.0 * table.column("bound").to_numpy().astype(float)) + _TOLERANCE
-            visit = gap - stats["radius"][None, :] <= bound[:, None]
-            visit &= stats["rows"][None, :] > 0
-            home = table.column("cell").to_numpy()
-            visit[np.arange(len(home)), home] = False
-            if earlier:
-                visit &= stats["first"][None, :] < table.column("earlier").to_numpy()[:, None]
-            if differ:
-                mine = np.array(table.column("differ").to_pylist(), dtype=object)
-                visit &= ~(mine[:, None] == stats["only"][None, :])
-            row, cell = np.nonzero(visit)
-            out = table.select(names).take(pa.array(row))
-            out = out.append_column("cell", pa.array(cell.astype(np.int32)))
-            yield from out.cast(arrow_schema).to_batches(max_chunksize=8192)
-
-    return queries.mapInArrow(run, schema)
-
-
-def _cell_stats(base: DataFrame, cells: int) -> dict:
-    """Per cell: rows, radius, first time, the one ``differ`` value if there is only one.
-
-    At most ``MAX_CELLS`` rows come to the driver.
-    """
-    import numpy as np
-
-    rows = (
-        base.groupBy("cell")
-        .agg(
-            F.count("*").alias("rows"),
-            F.max("reach").alias("radius"),
-            F.min("earlier").alias("first"),
-            F.when(F.min("differ") == F.max("differ"), F.min("differ")).alias("only"),
-        )
-        .collect()
-    )
-    stats = {
-        "rows": np.zeros(cells),
-        "radius": np.zeros(cells),
-        "first": np.zeros(cells),
-        "only": np.full(cells, None, dtype=object),
-    }
-    for row in rows:
-        for name in stats:
-            stats[name][row["cell"]] = row[name]
-    return stats
-
-
 def nearest_join(
     queries: DataFrame,
     base: DataFrame,
@@ -364,12 +299,17 @@ def _by_buckets(q: DataFrame, b: DataFrame, k: int, flags, rows_per_task: int) -
 
 
 def _by_regions(q: DataFrame, b: DataFrame, k: int, flags, cells, probes, rows_per_task: int) -> DataFrame:
-    """Regions around pivots, searched in two pruned passes, or only the ``probes`` nearest ones."""
+    """The exact search of a pivot tree, or that of the ``probes`` nearest of some flat regions.
+
+    ``cells`` asks for about so many leaves or regions.
+    """
     import numpy as np
 
-    if cells is None:
-        n = b.count()
-        cells = 1 if n * q.count() <= SCORE_ALL else min(MAX_CELLS, int(math.sqrt(n)))
+    n = b.count()
+    if cells is None and (probes is not None or n * q.count() <= SCORE_ALL):
+        cells = 1 if probes is None else min(MAX_CELLS, max(1, int(math.sqrt(n))))
+    if cells != 1 and probes is None:
+        return _by_tree(q, b, k, flags, rows_per_task if cells is None else max(1, n // cells), rows_per_task)
     sample = []
     if cells > 1:
         directed = b.where(F.exists("vec", lambda x: x != 0))
@@ -383,21 +323,24 @@ def _by_regions(q: DataFrame, b: DataFrame, k: int, flags, cells, probes, rows_p
     b = materialize(
         _near_pivots(b, pivots, 1).withColumn("cell", F.col("cells")[0]).drop("cells"), "cells"
     )
-    if probes is not None:
-        near = _near_pivots(q, pivots, probes)
-        parts = _score_cells(near.withColumn("cell", F.explode("cells")), b, k, rows_per_task, flags, cells)
-        return _best(parts, k).drop("earlier")
-    q = _near_pivots(q, pivots, 1).withColumn("cell", F.col("cells")[0]).drop("cells", "reach")
-    q = materialize(q, "placed")
-    own = materialize(_best(_score_cells(q, b, k, rows_per_task, flags, cells), k).drop("rank"), "own")
+    near = _near_pivots(q, pivots, probes)
+    parts = _score_cells(near.withColumn("cell", F.explode("cells")), b, k, rows_per_task, flags, cells)
+    return _best(parts, k).drop("earlier")
+
+
+def _by_tree(q: DataFrame, b: DataFrame, k: int, flags, leaf_rows: int, rows_per_task: int) -> DataFrame:
+    """Leaves of a pivot tree in two pruned passes; exact."""
+    tree = PivotTree(b, leaf_rows, rows_per_task)
+    leaves = tree.leaves.select("cell").distinct().count()
+    q = materialize(tree.homes(q), "placed")
+    own = materialize(_best(_score_cells(q, tree.leaves, k, rows_per_task, flags, leaves), k).drop("rank"), "own")
     bounds = own.groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound")
     )
-    pending = q.join(bounds, q.id == bounds.query_id, "left").withColumn(
-        "bound", F.coalesce("bound", F.lit(float("inf")))
-    )
-    others = _other_cells(pending.drop("query_id"), pivots, _cell_stats(b, len(pivots)), flags)
-    rest = _score_cells(others, b, k, rows_per_task, flags, cells)
+    pending = q.join(bounds, q.id == bounds.query_id, "left").drop("query_id").withColumnRenamed("cell", "home")
+    pending = pending.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    others = materialize(tree.visits(pending, flags), "visits")
+    rest = _score_cells(others, tree.leaves, k, rows_per_task, flags, leaves)
     return _best(own.unionByName(rest), k).drop("earlier")
 
 

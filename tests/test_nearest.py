@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators.nearest import collection_size, filter_metadata, nearest_join, nearest_to
+from factloom.operators.pivot_tree import PivotTree
 
 
 def make(n, dim, seed, copies=0):
@@ -85,3 +87,21 @@ def test_single_query_and_filters(spark):
     assert [r.id for r in nearest_to([1.0, 0.1], df, 9, where={"doc_id": {"$ne": "d1"}}).collect()] == ["c", "b"]
     assert [r.id for r in filter_metadata(df, {"doc_id": "d1"}).collect()] == ["a"]
     assert collection_size(df).first().size == 3
+
+
+def test_work_for_a_query_does_not_grow_with_the_table(spark):
+    """Four times the table, in four times as many clusters: a query visits no more leaves."""
+
+    def visited(clusters):
+        rng = np.random.default_rng(8)
+        centres = rng.normal(size=(clusters, 6))
+        vectors = np.repeat(centres, 40, axis=0) + 0.01 * rng.normal(size=(clusters * 40, 6))
+        rows = [(i, [float(x) for x in v], "", "", 0) for i, v in enumerate(vectors)]
+        base = spark.createDataFrame(rows, "id long, vec array<double>, match string, differ string, earlier long")
+        tree = PivotTree(base, 100, 400)
+        asked = tree.homes(base.where("id % 40 = 0")).withColumnRenamed("cell", "home").withColumn("bound", F.lit(0.001))
+        leaves = tree.leaves.groupBy("cell").count()
+        assert leaves.agg(F.max("count")).first()[0] <= 100 and tree.leaves.count() == len(rows)
+        return tree.visits(asked, (False, False, False)).count() / asked.count()
+
+    assert visited(160) <= 2 * max(1.0, visited(40))
