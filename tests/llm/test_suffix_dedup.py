@@ -60,7 +60,7 @@ def test_removal_equals_a_plain_count(spark, rows, length):
 
 
 def test_slices_and_flushes_change_nothing(spark, rows, monkeypatch):
-    for name, value in (("GRAM", 8), ("SLICE", 150), ("FLUSH", 60), ("BUCKET_ROWS", 50)):
+    for name, value in (("GRAM", 8), ("SLICE", 150), ("FLUSH", 60), ("BUCKET_ROWS", 50), ("HOT_GRAM", 3), ("HOT_CORE", 4), ("BLOCK", 7), ("BROADCAST_KEYS", 5)):
         monkeypatch.setattr(module, name, value)
     assert run(spark, rows, 40) == plain(rows, 40)
 
