@@ -23,11 +23,36 @@ def _as_list(text: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
 
 
+def closing_bracket(text: Column) -> Column:
+    """Place (from 1) of the ``]`` that closes the ``[`` at the start of ``text``, 0 if none does.
+
+    One fold over the characters: nesting depth, inside a string or not, after a backslash or not.
+    """
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("end")
+    )
+
+    def step(s: Column, c: Column) -> Column:
+        turn = F.when(s.quoted, 0).when(c == "[", 1).when(c == "]", -1).otherwise(0)
+        at, depth = s.at + 1, s.depth + turn
+        after = F.struct(
+            at.alias("at"),
+            depth.alias("depth"),
+            F.when((c == '"') & ~s.escaped, ~s.quoted).otherwise(s.quoted).alias("quoted"),
+            (s.quoted & (c == "\\") & ~s.escaped).alias("escaped"),
+            F.when((turn == -1) & (depth == 0), at).otherwise(0).alias("end"),
+        )
+        return F.when(s.end > 0, s).otherwise(after)
+
+    return F.aggregate(F.split(text, ""), start, step, lambda s: s.end)
+
+
 def json_rows(response: Column) -> Column:
     """``array<variant>`` of a response, null when there is none.
 
     The array that begins at the first ``[`` is taken, whatever stands around it; a bracket inside
-    a string does no harm. Without one, the first list among an object's values (by key).
+    a string does no harm. Without one, the first list among an object's values (by key). Linear in
+    the length of the response.
     """
 
     def find(text: Column) -> Column:
@@ -35,12 +60,8 @@ def json_rows(response: Column) -> Column:
         end = F.length(text) - F.locate("]", F.reverse(text)) + 1
         tail = F.substring(text, start, F.length(text))
         outer = _as_list(F.substring(text, start, F.greatest(end - start + 1, F.lit(0))))
-        pieces = F.split(tail, "]")
-        tries = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))),
-            lambda i: _as_list(F.concat(F.array_join(F.slice(pieces, F.lit(1), i), "]"), F.lit("]"))),
-        )
-        shorter = F.get(F.filter(tries, lambda v: v.isNotNull()), F.lit(0))
+        # What a reply ends with after its array may hold brackets too.
+        shorter = _as_list(F.substring(tail, F.lit(1), closing_bracket(tail)))
         fields = F.map_values(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"))
         lists = F.filter(fields, lambda v: F.schema_of_variant(v).startswith("ARRAY"))
         listed = F.try_variant_get(F.get(lists, F.lit(0)), "$", "array<variant>")

@@ -82,10 +82,5 @@ def agreement_clusters(facts: DataFrame, edges: DataFrame) -> DataFrame:
 def cluster_labels(clusters: DataFrame, facts: DataFrame, order: str = "id") -> DataFrame:
     """Size and label of each cluster: the claim of the most confident member, first on ties."""
     rows = clusters.join(facts.select("id", "claim_text", "confidence", F.col(order).alias("_order")), "id")
-    top = rows.groupBy("cluster_id").agg(F.max("confidence").alias("top"), F.count("*").alias("size"))
-    best = rows.join(top, "cluster_id").where(F.col("confidence") == F.col("top"))
-    return best.groupBy("cluster_id").agg(
-        F.min_by("claim_text", "_order").alias("label"),
-        F.first("top").alias("confidence"),
-        F.first("size").alias("size"),
-    )
+    best = F.min_by("claim_text", F.struct((-F.col("confidence")).alias("c"), "_order"))
+    return rows.groupBy("cluster_id").agg(best.alias("label"), F.max("confidence").alias("confidence"), F.count("*").alias("size"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.text import strip
+from factloom.session import materialize
 
 EITHER = "reconcilable_or_corroborate"
-_SLICE = 200
+#: Characters of a gram; shorter needles are looked up by their whole text.
+GRAM = 3
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -33,98 +33,89 @@ def extraction_sanity(facts: DataFrame) -> DataFrame:
     )
 
 
-def _gold_slices(gold: DataFrame) -> Iterator[Column]:
-    """Gold rows as array literals of bounded size, read partition-wise from the driver's iterator.
-
-    The substring test has no key to join on; a literal array keeps it a projection over the facts
-    without a cross join, and a larger gold set only takes more passes.
-    """
-    rows = []
-
-    def literal() -> Column:
-        fields = ["item", "a_contains", "b_contains", "relation"]
-        return F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in rows])
+def _grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters; none of a shorter text."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.expr("cast(array() as array<string>)"))
 
-    for row in gold.select("item", F.lower("a_contains").alias("a_contains"), F.lower("b_contains").alias("b_contains"), "relation").toLocalIterator():
-        rows.append(row)
-        if len(rows) == _SLICE:
-            yield literal()
-            rows.clear()
-    if rows:
-        yield literal()
 
+def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """``id, needle`` for every text (``id, text``) that contains a needle (``needle``, not empty).
 
-def _union(parts: list[DataFrame]) -> DataFrame | None:
-    out = None
-    for part in parts:
-        out = part if out is None else out.unionByName(part)
-    return out
+    An inverted index of the texts' grams, of those only that occur in a needle: each needle joins by its
+    rarest gram, and what meets is compared. Nothing passes the driver, and no needle meets every text.
+    """
+    needles = needles.where("needle <> ''").distinct()
+    parts = [_grams(F.col("needle"), size) for size in range(GRAM, 0, -1)]
+    own = F.coalesce(*[F.when(F.size(p) > 0, p) for p in parts])
+    asked = materialize(needles.select("needle", F.explode(own).alias("gram")), "needles")
+    wanted = asked.select("gram").distinct()
+    every = F.array_distinct(F.concat(*[_grams(F.col("text"), size) for size in range(1, GRAM + 1)]))
+    index = materialize(texts.select("id", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi"), "index")
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    met = asked.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    rarest = met.where("r.n > 0").select("needle", "r.gram")
+    return rarest.join(index, "gram").join(texts, "id").where(F.contains("text", "needle")).select("id", "needle")
+
+
+def _gold_hits(facts: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(claims, gold items in lower case, claims that contain a text of a gold item)."""
+    claims = facts.select("id", F.lower("claim_text").alias("text"))
+    items = gold.select("item", F.lower("a_contains").alias("a"), F.lower("b_contains").alias("b"), F.col("relation").alias("wanted"))
+    needles = items.select(F.explode(F.array("a", "b")).alias("needle"))
+    return claims, items, materialize(containing(claims, needles), "hits")
+
+
+def _candidates(claims: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
+    """``item, a_candidates, b_candidates``; the empty text is in every claim."""
+    counts = hits.groupBy("needle").agg(F.count("*").alias("n"))
+    total = claims.agg(F.count(F.col("text")).alias("n")).select(F.lit("").alias("needle"), "n")
+    counts = counts.unionByName(total)
+    out = items
+    for side in ("a", "b"):
+        out = out.join(counts.select(F.col("needle").alias(side), F.col("n").alias(f"{side}_candidates")), side, "left")
+    zero = F.lit(0).cast("long")
+    return out.select("*", *[F.coalesce(f"{s}_candidates", zero).alias(f"n_{s}") for s in ("a", "b")]).drop("a_candidates", "b_candidates")
 
 
 def gold_candidates(facts: DataFrame, gold: DataFrame) -> DataFrame:
     """Per gold ``item``: facts whose claim contains the text of side a, and of side b."""
-    claim = F.lower("claim_text")
-    parts = []
-    for items in _gold_slices(gold):
-        hits = F.transform(
-            items,
-            lambda g: F.struct(
-                g.item.alias("item"),
-                F.contains(claim, g.a_contains).alias("a"),
-                F.contains(claim, g.b_contains).alias("b"),
-            ),
-        )
-        found = facts.select(F.explode(F.filter(hits, lambda h: h.a | h.b)).alias("h"))
-        parts.append(
-            found.groupBy(F.col("h.item").alias("item")).agg(
-                F.count_if("h.a").alias("a_candidates"), F.count_if("h.b").alias("b_candidates")
-            )
-        )
-    counted = _union(parts)
-    zero = F.lit(0).cast("long")
-    if counted is None:
-        return gold.select("item", zero.alias("a_candidates"), zero.alias("b_candidates"))
-    return gold.select("item").join(counted, "item", "left").select(
-        "item", F.coalesce("a_candidates", zero).alias("a_candidates"), F.coalesce("b_candidates", zero).alias("b_candidates")
-    )
+    counted = _candidates(*_gold_hits(facts, gold))
+    return counted.select("item", F.col("n_a").alias("a_candidates"), F.col("n_b").alias("b_candidates"))
 
 
-def gold_matches(facts: DataFrame, edges: DataFrame, gold: DataFrame) -> DataFrame:
-    """Gold rows with ``matched``: an edge in either direction, between two facts, of that relation.
+def _matches(edges: DataFrame, claims: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
+    """Items with an edge of their relation between a claim of each side, in either direction.
 
-    The edges are joined to their claims once and tested against the gold items in place, so the
-    candidate sets of an item are never paired up.
+    The side with fewer claims leads to the edges; the other text is then compared. ``items`` are counted.
     """
-    claims = facts.select("id", F.lower("claim_text").alias("claim"))
-    pairs = edges.select("fact_a_id", "fact_b_id", "relation").where(F.col("fact_a_id") != F.col("fact_b_id"))
-    for side in ("a", "b"):
-        pairs = pairs.join(
-            claims.withColumnsRenamed({"id": f"fact_{side}_id", "claim": f"claim_{side}"}), f"fact_{side}_id"
-        )
-    a, b = F.col("claim_a"), F.col("claim_b")
-    parts = []
-    for items in _gold_slices(gold):
-
-        def fits(g: Column) -> Column:
-            relation = (F.col("relation") == g.relation) | (
-                (g.relation == EITHER) & F.col("relation").isin("reconcilable", "corroborate")
-            )
-            one = F.contains(a, g.a_contains) & F.contains(b, g.b_contains)
-            other = F.contains(b, g.a_contains) & F.contains(a, g.b_contains)
-            return relation & (one | other)
-
-        hit = pairs.select(F.explode(F.transform(F.filter(items, fits), lambda g: g.item)).alias("item"))
-        parts.append(hit.distinct())
-    found = _union(parts)
-    if found is None:
-        return gold.withColumn("matched", F.lit(False))
-    found = found.withColumn("matched", F.lit(True))
-    return gold.join(found, "item", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    a_leads = (F.col("a") != "") & ((F.col("b") == "") | (F.col("n_a") <= F.col("n_b")))
+    sided = items.select(
+        "item", "wanted", F.when(a_leads, F.col("a")).otherwise(F.col("b")).alias("needle"), F.when(a_leads, F.col("b")).otherwise(F.col("a")).alias("other")
+    )
+    pairs = edges.where(F.col("fact_a_id") != F.col("fact_b_id")).select(F.col("fact_a_id").alias("u"), F.col("fact_b_id").alias("v"), "relation")
+    pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "relation"))
+    fits = (F.col("relation") == F.col("wanted")) | ((F.col("wanted") == EITHER) & F.col("relation").isin("reconcilable", "corroborate"))
+    led = hits.withColumnRenamed("id", "u").join(sided, "needle").join(pairs, "u").where(fits)
+    led = led.join(claims.withColumnRenamed("id", "v"), "v").where(F.contains("text", "other")).select("item")
+    # Two empty texts: any edge between known claims.
+    known = pairs.join(claims.select(F.col("id").alias("u")), "u", "left_semi").join(claims.select(F.col("id").alias("v")), "v", "left_semi")
+    free = sided.where("needle = '' and other = ''").join(known.select("relation").distinct(), fits).select("item")
+    return led.unionByName(free).distinct()
+
+
+def gold_matches(facts: DataFrame, edges: DataFrame, gold: DataFrame) -> DataFrame:
+    """Gold rows with ``matched``: an edge in either direction, between two facts, of that relation."""
+    return gold_report(facts, edges, gold).select(*gold.columns, "matched")
 
 
 def gold_report(facts: DataFrame, edges: DataFrame, gold: DataFrame) -> DataFrame:
     """Per item: the gold fields, candidate counts and ``matched``."""
-    return gold_matches(facts, edges, gold).join(gold_candidates(facts, gold), "item")
+    claims, items, hits = _gold_hits(facts, gold)
+    counted = materialize(_candidates(claims, items, hits), "counted")
+    found = _matches(edges, claims, counted, hits).withColumn("matched", F.lit(True))
+    counts = counted.select("item", F.col("n_a").alias("a_candidates"), F.col("n_b").alias("b_candidates"))
+    return gold.join(found, "item", "left").join(counts, "item").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
 def gold_summary(report: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factloom.functions.responses import json_rows, response_claims
 from factloom.functions.text import strip
 from factloom.operators.chunking import MAX_CHARS, OVERLAP, chunk_position
-from factloom.operators.requests import ask_cached, request_key
+from factloom.operators.requests import THREADS, ask_cached, request_key
 from factloom.sources.blocks import running_starts
 
 _PERIOD = r"(?:Q[1-4])?FY[0-9]{2,4}|CY[0-9]{4}|[0-9]{4}"
@@ -100,15 +100,17 @@ def model_claims(
     complete: Callable[[str, str], str],
     *,
     concurrency: int | None = None,
+    threads: int = THREADS,
     cache: DataFrame | None = None,
     model: str = "model",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grounded claims, chunk report, new cache rows): each distinct request is asked once.
 
-    ``concurrency`` is the number of tasks that ask; by default the requests keep their partitions.
+    ``concurrency`` is the number of tasks that ask (by default the requests keep their partitions) and
+    ``threads`` the number of calls that a task has open.
     """
     requests = extraction_requests(chunks, model)
-    answers, fresh = ask_cached(requests, complete, cache, concurrency)
+    answers, fresh = ask_cached(requests, complete, cache, concurrency, threads)
     answered = requests.drop("system", "user").join(answers, "key")
     claims = response_claims(
         answered.withColumnRenamed("text", "chunk_text"), ["doc_id", "page", "char_start"]

@@ -344,6 +344,41 @@ def _by_tree(q: DataFrame, b: DataFrame, k: int, flags, leaf_rows: int, rows_per
     return _best(own.unionByName(rest), k).drop("earlier")
 
 
+def lsh_join(
+    queries: DataFrame,
+    base: DataFrame,
+    k: int,
+    *,
+    query_id: str = "id",
+    base_id: str = "id",
+    vector: str = "embedding",
+    tables: int = 6,
+    bucket: float = 0.3,
+    reach: float = 2.0,
+    seed: int = 17,
+) -> DataFrame:
+    """Approximate ``nearest_join`` by random projections: ``query_id, base_id, distance, rank``.
+
+    Unit vectors are hashed by ``tables`` random projections, cut into buckets of width ``bucket``; vectors
+    that share a bucket of any table and lie within the Euclidean distance ``reach`` are candidates, which
+    are ranked by the exact distance of :func:`nearest_join`. Copies of a vector are folded first.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    flags = (None, None)
+    q = materialize(_prepare(queries, query_id, vector, [], *flags), "queries")
+    b = _fold_copies(materialize(_prepare(base, base_id, vector, [], *flags), "base"), k, None)
+    hashed = lambda rows: rows.select("id", "vec", array_to_vector(unit_vector(F.col("vec"))).alias("unit"))
+    left, right = hashed(q), hashed(b)
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
+    met = model.fit(right).approxSimilarityJoin(left, right, reach, "gap")
+    # A Euclidean distance e of unit vectors is a cosine distance of e * e / 2.
+    distance = F.round(F.col("gap") * F.col("gap") / 2, DISTANCE_DIGITS)
+    pairs = met.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("base_id"), distance.alias("distance"))
+    return _best(pairs.withColumn("earlier", F.lit(0)), k).drop("earlier")
+
+
 def filter_metadata(rows: DataFrame, where: dict) -> DataFrame:
     """Metadata filter before ranking: ``{"field": value}`` or ``{"field": {"$ne": value}}``."""
     for field, value in where.items():

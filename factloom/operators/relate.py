@@ -10,7 +10,7 @@ from factloom.functions.responses import adjudication
 from factloom.functions.text import normal_span
 from factloom.functions.vectors import token_embedding
 from factloom.operators.nearest import nearest_join
-from factloom.operators.requests import ask_cached, request_key
+from factloom.operators.requests import THREADS, ask_cached, request_key
 
 TOP_K = 8
 VALUE_TOLERANCE = 0.005
@@ -192,12 +192,13 @@ def adjudicate_by_model(
     complete: Callable[[str, str], str],
     *,
     concurrency: int | None = None,
+    threads: int = THREADS,
     cache: DataFrame | None = None,
     model: str = "model",
 ) -> tuple[DataFrame, DataFrame]:
     """(edges by the caller's model, new cache rows); a failing call loses its own pair and nothing else."""
     requests = pair_requests(pairs, facts, model)
-    answers, fresh = ask_cached(requests, complete, cache, concurrency)
+    answers, fresh = ask_cached(requests, complete, cache, concurrency, threads)
     return adjudicated(requests.select("key", "fact_a_id", "fact_b_id").join(answers, "key")), fresh
 
 

@@ -3,38 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.session import materialize
 
 RESPONSES = "key string, response string"
+#: Calls of one task at the same time.
+THREADS = 4
 
 
 def request_key(model: str, system: Column, user: Column) -> Column:
     return F.sha2(F.concat_ws("\0", F.lit(model), system, user), 256)
 
 
-def ask(requests: DataFrame, complete: Callable[[str, str], str], partitions: int | None = None) -> DataFrame:
+def ask(
+    requests: DataFrame, complete: Callable[[str, str], str], partitions: int | None = None, threads: int = THREADS
+) -> DataFrame:
     """Add ``response`` and ``error`` to ``key, system, user`` rows; a failed call hits only its row.
 
-    The partitions are the concurrency: ``partitions`` is how many calls run at the same time.
+    Up to ``threads`` calls of a task run at the same time, as calls mostly wait; answers keep the order of
+    the rows. ``partitions`` sets how many tasks there are; by default the requests keep their own.
     """
     rows = requests.select("key", "system", "user")
     if partitions:
         rows = rows.repartition(partitions, "key")
 
+    def one(system: str, user: str) -> tuple[str | None, str | None]:
+        try:
+            return complete(system, user), None
+        except Exception as exc:  # noqa: BLE001
+            return None, str(exc) or type(exc).__name__
+
     def run(batches):
-        for batch in batches:
-            answers, errors = [], []
-            for system, user in zip(batch.system, batch.user):
-                try:
-                    answers.append(complete(system, user))
-                    errors.append(None)
-                except Exception as exc:  # noqa: BLE001
-                    answers.append(None)
-                    errors.append(str(exc) or type(exc).__name__)
-            yield batch[["key"]].assign(response=answers, error=errors)
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                # A bounded number of calls is handed over at a time.
+                for low in range(0, len(batch), 16 * threads):
+                    part = batch.iloc[low : low + 16 * threads]
+                    answers = list(pool.map(one, part["system"], part["user"]))
+                    yield part[["key"]].assign(response=[a for a, _ in answers], error=[e for _, e in answers])
 
     return rows.mapInPandas(run, "key string, response string, error string")
 
@@ -44,6 +53,7 @@ def ask_cached(
     complete: Callable[[str, str], str],
     cache: DataFrame | None = None,
     partitions: int | None = None,
+    threads: int = THREADS,
 ) -> tuple[DataFrame, DataFrame]:
     """(answers for every distinct key, new cache rows): only keys missing from ``cache`` are asked.
 
@@ -52,7 +62,7 @@ def ask_cached(
     missing = requests.dropDuplicates(["key"])
     if cache is not None:
         missing = missing.join(cache, "key", "left_anti")
-    asked = materialize(ask(missing, complete, partitions), "responses")
+    asked = materialize(ask(missing, complete, partitions, threads), "responses")
     fresh = asked.where(F.col("error").isNull()).select("key", "response")
     answers = asked
     if cache is not None:

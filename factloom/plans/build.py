@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from factloom.functions.normalize import normalize_facts
 from factloom.operators.chunking import MAX_CHARS, OVERLAP, chunk_documents, merged_text_pages
 from factloom.operators.dedupe import dedupe_facts
 from factloom.operators.extraction import pattern_claims
+from factloom.operators.layer import upsert_by_id
 from factloom.operators.relate import (
     TOP_K,
     adjudicate_by_rules,
@@ -25,25 +26,54 @@ from factloom.session import materialize, spread
 MATCH = ["canonical_subject", "attribute_key"]
 
 
-def build_facts(
+def build_claims(
     documents: DataFrame,
-    extract: Callable[[DataFrame], DataFrame] | None = None,
+    extract: Callable[[DataFrame], DataFrame | tuple] | None = None,
     max_chars: int = MAX_CHARS,
     overlap: int = OVERLAP,
-) -> DataFrame:
-    """Facts of ``doc_id, text, ingest_seq`` rows: chunk, extract, ground, normalise, de-duplicate.
+    observed: Observation | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(claims before de-duplication, report) of ``doc_id, text, ingest_seq`` rows.
 
-    ``extract`` turns chunks into claims; by default lines are matched by pattern, page by page.
+    ``extract`` turns chunks into claims, or into claims and a report (``doc_id, n_failed, n_raw``, then
+    whatever else); by default lines are matched by pattern, page by page. The report has a row for every
+    document with something to report. ``observed`` counts the claims as they are written.
     """
+    report = None
     if extract is None:
         found = pattern_claims(merged_text_pages(spread(documents)), max_chars, overlap)
     else:
         found = extract(chunk_documents(spread(documents), max_chars, overlap))
+        if isinstance(found, tuple):
+            found, report = found[:2]
+    found = normalize_facts(found)
+    if observed is not None:
+        found = found.observe(observed, F.count(F.lit(1)).alias("n_claims"))
     # Written once: the duplicate search reads the claims several times.
-    claims = materialize(normalize_facts(found), "claims")
-    facts = dedupe_facts(claims)
+    claims = materialize(found, "claims")
+    if report is None:
+        report = claims.groupBy("doc_id").agg(F.count("*").alias("n_raw")).withColumn("n_failed", F.lit(0).cast("long"))
+    return claims, report.select("doc_id", "n_raw", "n_failed")
+
+
+def kept_facts(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """Claims without near-duplicates, as facts in the order of their documents."""
     order = documents.select("doc_id", "ingest_seq")
-    return facts.join(order, "doc_id").select(*FACT_FIELDS, "seq", "ingest_seq")
+    return dedupe_facts(claims).join(order, "doc_id").select(*FACT_FIELDS, "seq", "ingest_seq")
+
+
+def build_facts(
+    documents: DataFrame,
+    extract: Callable[[DataFrame], DataFrame | tuple] | None = None,
+    max_chars: int = MAX_CHARS,
+    overlap: int = OVERLAP,
+) -> DataFrame:
+    """Facts of ``doc_id, text, ingest_seq`` rows: chunk, extract, ground, normalise, de-duplicate.
+
+    ``extract`` is as in :func:`build_claims`.
+    """
+    claims, _ = build_claims(documents, extract, max_chars, overlap)
+    return kept_facts(claims, documents)
 
 
 def searchable(facts: DataFrame) -> DataFrame:
@@ -67,5 +97,6 @@ def build_edges(
     """
     base = None if known is None else searchable(known)
     pairs = candidate_pairs(searchable(facts), base, top_k, match=MATCH if match is None else match, **options)
-    involved = facts if known is None else facts.unionByName(known).dropDuplicates(["id"])
+    # A fact that is sent again counts with its newest version.
+    involved = facts if known is None else upsert_by_id(known.withColumn("version", F.lit(0)), facts.withColumn("version", F.lit(1)))
     return informative(judge(pairs, involved))

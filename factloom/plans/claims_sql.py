@@ -5,6 +5,12 @@ from __future__ import annotations
 
 DIM = 64
 
+
+def whole(tables: str, rows: str) -> str:
+    """A statement whose rows are computed before the first one is returned."""
+    return f"WITH {tables}, result AS MATERIALIZED ({rows}) SELECT * FROM result"
+
+
 # Amounts are whole cents, so that the digits of each statement come from integer arithmetic.
 FACTS = r"""
 totals AS (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.operators import layer as L
@@ -16,11 +18,12 @@ from factloom.operators.evaluate import (
 )
 from factloom.operators.relate import candidate_pairs, distinct_pairs, pair_requests, with_facts
 from factloom.plans.build import MATCH, searchable
-from factloom.plans.claims import layer_documents, layer_edges, layer_facts, table
-from factloom.plans.claims_sql import CANDIDATES, DOCUMENTS, EDGES, FACTS
+from factloom.plans.claims import layer_documents, layer_edges, layer_facts, once, table
+from factloom.plans.claims_sql import CANDIDATES, DOCUMENTS, EDGES, FACTS, whole
 from factloom.plans.registry import query
-from factloom.schemas import EDGE_FIELDS, FACT_FIELDS
-from factloom.sources.records import csv_rows, from_records, json_lines, to_records
+from factloom.schemas import EDGE_FIELDS, EDGES as EDGES_SCHEMA, FACT_FIELDS, FACTS as FACTS_SCHEMA
+from factloom.session import scratch_dir
+from factloom.sources.records import export_csv, export_json, from_records, read_csv, read_gold, read_json, to_records
 
 _PLAIN = [c for c in FACT_FIELDS if c != "normalized_value"]
 _COLUMNS = ", ".join(_PLAIN) + ", round(normalized_value, 2) AS normalized_value"
@@ -64,7 +67,7 @@ def fact_listing_page(spark, sf_dir):
     return rows.select("id", "doc_id", "seq")
 
 
-@query(f"WITH {EDGES} SELECT f.id, f.claim_text FROM facts f WHERE f.id IN (SELECT fact_b_id FROM edges WHERE relation = 'contradict')")
+@query(whole(EDGES, "SELECT f.id, f.claim_text FROM facts f WHERE f.id IN (SELECT fact_b_id FROM edges WHERE relation = 'contradict')"))
 def facts_by_ids(spark, sf_dir):
     wanted = L.edges_by_relation(layer_edges(spark, sf_dir), "contradict").select(F.col("fact_b_id").alias("id"))
     return L.by_ids(layer_facts(spark, sf_dir), wanted).select("id", "claim_text")
@@ -89,7 +92,7 @@ def document_listing(spark, sf_dir):
     return L.document_list(layer_documents(spark, sf_dir)).select("id", "filename", "content_hash", "created_at")
 
 
-@query(f"WITH {EDGES} SELECT * FROM edges WHERE relation = 'contradict'")
+@query(whole(EDGES, "SELECT * FROM edges WHERE relation = 'contradict'"))
 def edges_by_relation(spark, sf_dir):
     return L.edges_by_relation(layer_edges(spark, sf_dir), "contradict").select(*EDGE_FIELDS)
 
@@ -102,11 +105,9 @@ def edges_of_one_document(spark, sf_dir):
     return L.edges_of_document(layer_edges(spark, sf_dir), layer_facts(spark, sf_dir), "L2-7").select(*EDGE_FIELDS)
 
 
-@query(
-    f"""WITH {EDGES} SELECT e.id, e.relation, a.claim_text AS claim_a, b.claim_text AS claim_b
+@query(whole(EDGES, """SELECT e.id, e.relation, a.claim_text AS claim_a, b.claim_text AS claim_b
 FROM edges e LEFT JOIN facts a ON a.id = e.fact_a_id
-LEFT JOIN (SELECT * FROM facts WHERE confidence >= 0.8) b ON b.id = e.fact_b_id"""
-)
+LEFT JOIN (SELECT * FROM facts WHERE confidence >= 0.8) b ON b.id = e.fact_b_id"""))
 def edges_with_facts(spark, sf_dir):
     """Edges against the confident facts: the other endpoint is null."""
     facts = layer_facts(spark, sf_dir)
@@ -116,12 +117,10 @@ def edges_with_facts(spark, sf_dir):
     return rich.join(a, "fact_a_id", "left").select("id", "relation", "claim_a", F.col("b.claim_text").alias("claim_b"))
 
 
-@query(
-    f"""WITH {EDGES} SELECT e.id, a.doc_id AS doc_a, a.claim_text AS claim_a, a.evidence_span AS evidence_a,
+@query(whole(EDGES, """SELECT e.id, a.doc_id AS doc_a, a.claim_text AS claim_a, a.evidence_span AS evidence_a,
   b.doc_id AS doc_b, b.claim_text AS claim_b, b.evidence_span AS evidence_b, e.reasoning, e.confidence
 FROM edges e JOIN facts a ON a.id = e.fact_a_id JOIN facts b ON b.id = e.fact_b_id
-WHERE e.relation = 'contradict'"""
-)
+WHERE e.relation = 'contradict'"""))
 def contradicting_claims(spark, sf_dir):
     """Flagship: from the ledgers' text to every contradiction with the evidence of both sides."""
     edges = L.edges_by_relation(layer_edges(spark, sf_dir), "contradict")
@@ -232,7 +231,7 @@ def unordered_pairs(spark, sf_dir):
     return distinct_pairs(edges.unionByName(edges.select(F.col("fact_b_id").alias("fact_a_id"), F.col("fact_a_id").alias("fact_b_id"))))
 
 
-@query(f"WITH {EDGES} SELECT * FROM edges")
+@query(whole(EDGES, "SELECT * FROM edges"))
 def judged_edges(spark, sf_dir):
     return layer_edges(spark, sf_dir).select(*EDGE_FIELDS)
 
@@ -248,10 +247,8 @@ def _described(side: str) -> str:
   'evidence: ' || {side}.evidence_span)"""
 
 
-@query(
-    f"""WITH {CANDIDATES} SELECT fact_a_id, fact_b_id, {_described('a')} || chr(10) || chr(10) || {_described('b')} AS "user"
-FROM pairs JOIN facts a ON a.id = fact_a_id JOIN facts b ON b.id = fact_b_id"""
-)
+@query(whole(CANDIDATES, f"""SELECT fact_a_id, fact_b_id, {_described('a')} || chr(10) || chr(10) || {_described('b')} AS "user"
+FROM pairs JOIN facts a ON a.id = fact_a_id JOIN facts b ON b.id = fact_b_id"""))
 def pair_prompts(spark, sf_dir):
     facts = layer_facts(spark, sf_dir)
     pairs = candidate_pairs(searchable(facts), match=MATCH)
@@ -376,18 +373,69 @@ def gold_score(spark, sf_dir):
     return gold_summary(report).withColumn("gold_match_pct", F.round("gold_match_pct", 6))
 
 
-@query(f"WITH {FACTS} SELECT {', '.join(_PLAIN)}, round(normalized_value, 2) AS normalized_value FROM facts")
+def _exported(spark, sf_dir):
+    """The layer written by both sinks to the shared folder, once a session."""
+
+    def build():
+        root = f"{scratch_dir(spark)}/factloom/export-{uuid.uuid4().hex}"
+        facts = layer_facts(spark, sf_dir).withColumn("normalized_value", F.round("normalized_value", 2))
+        edges = layer_edges(spark, sf_dir)
+        export_json(facts, edges, f"{root}/json")
+        export_csv(facts, edges, f"{root}/csv-facts", "facts")
+        export_csv(facts, edges, f"{root}/csv-edges", "edges")
+        return root
+
+    return once(spark, ("export", sf_dir), build)
+
+
+_FACT_ROWS = whole(FACTS, f"SELECT {', '.join(_PLAIN)}, round(normalized_value, 2) AS normalized_value FROM facts")
+_EDGE_ROWS = whole(EDGES, "SELECT * FROM edges")
+
+
+@query(_FACT_ROWS)
 def exported_csv_rows(spark, sf_dir):
-    rows = csv_rows(layer_facts(spark, sf_dir), layer_edges(spark, sf_dir), "facts")
-    return rows.withColumn("normalized_value", F.round("normalized_value", 2))
+    """Facts written as CSV files with headers and read back."""
+    schema = FACTS_SCHEMA.replace("scope_qualifiers array<string>", "scope_qualifiers string")
+    return read_csv(spark, f"{_exported(spark, sf_dir)}/csv-facts", schema)
+
 
+@query(_EDGE_ROWS)
+def exported_csv_edges(spark, sf_dir):
+    return read_csv(spark, f"{_exported(spark, sf_dir)}/csv-edges", EDGES_SCHEMA)
 
-@query(f"WITH {EDGES} SELECT * FROM edges")
+
+@query(_EDGE_ROWS)
 def exported_json_rows(spark, sf_dir):
-    """Edges written as JSON objects and read back."""
-    lines = json_lines(layer_edges(spark, sf_dir), EDGE_FIELDS)
-    schema = ", ".join(f"{c} {'double' if c == 'confidence' else 'string'}" for c in EDGE_FIELDS)
-    return lines.select(F.from_json("value", schema).alias("e")).select("e.*")
+    """Edges written as JSON lines and read back."""
+    return read_json(spark, f"{_exported(spark, sf_dir)}/json/edges", EDGES_SCHEMA)
+
+
+@query(_FACT_ROWS)
+def exported_json_facts(spark, sf_dir):
+    rows = read_json(spark, f"{_exported(spark, sf_dir)}/json/facts", FACTS_SCHEMA)
+    return rows.withColumn("scope_qualifiers", F.array_join("scope_qualifiers", "|"))
+
+
+@query(
+    f"""WITH {_GOLD} SELECT CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS VARCHAR) AS place,
+  a_contains, b_contains, relation, CASE WHEN n_regionkey = 2 THEN '' ELSE n_name END AS note
+FROM gold JOIN nation ON n_nationkey = item"""
+)
+def gold_from_files(spark, sf_dir):
+    """Gold sets written as a JSON file per region, some without notes, and read as a source."""
+
+    def build():
+        root = f"{scratch_dir(spark)}/factloom/gold-{uuid.uuid4().hex}"
+        nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("item"), "n_regionkey", "n_name")
+        note = F.when(F.col("n_regionkey") != 2, F.col("n_name")).alias("note")
+        entry = F.struct("item", "a_contains", "b_contains", "relation", note)
+        files = _gold(spark, sf_dir).join(nation, "item").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        text = F.to_json(F.struct(F.transform("e", lambda e: e.dropFields("item")).alias("expected_relations")))
+        files.select("n_regionkey", text.alias("value")).repartition("n_regionkey").write.partitionBy("n_regionkey").text(root)
+        return root
+
+    gold = read_gold(spark, once(spark, ("gold", sf_dir), build))
+    return gold.select(F.substring_index("item", "#", -1).alias("place"), "a_contains", "b_contains", "relation", "note")
 
 
 @query(f"WITH {FACTS} SELECT id, scope_qualifiers, CASE WHEN scope_qualifiers = '' THEN '[]' ELSE '[\"' || scope_qualifiers || '\"]' END AS stored FROM facts")

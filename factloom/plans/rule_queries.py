@@ -21,7 +21,7 @@ from factloom.operators.relate import adjudicate_by_model, candidate_pairs
 from factloom.operators.requests import ask_cached, request_key
 from factloom.plans.build import MATCH, searchable
 from factloom.plans.claims import layer_facts, once, stored_documents, table
-from factloom.plans.claims_sql import CANDIDATES, EDGES, FACTS
+from factloom.plans.claims_sql import CANDIDATES, EDGES, FACTS, whole
 from factloom.plans.registry import query
 from factloom.schemas import CLAIM_FIELDS
 from factloom.session import materialize, spread
@@ -203,6 +203,18 @@ def unfenced_responses(spark, sf_dir):
     return responses.select("doc_id", fenced.alias("was_fenced"))
 
 
+@query(
+    r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || chr(10) ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS bare
+FROM documents"""
+)
+def unfenced_texts(spark, sf_dir):
+    """Every second document between code fences, the others as they are: the text inside."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fenced = F.concat(F.lit("```text\n"), "text", F.lit("\n```  \n"))
+    response = F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(F.col("text"))
+    return docs.select("doc_id", strip_fences(response).alias("bare"))
+
+
 _SYSTEM_SQL = SYSTEM.replace("'", "''")
 _USER_SQL = "'Text:' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Answer with the JSON array.'"
 
@@ -270,13 +282,11 @@ def _toy_judge(_system: str, user: str) -> str:
     return f'I think {{"relation": "{relation}", "reconciling_dimension": "place", "reasoning": "braces }}{{"}} .'
 
 
-@query(
-    f"""WITH {CANDIDATES}
+@query(whole(CANDIDATES, """
 SELECT 'edge_' || substr(sha256(fact_a_id || chr(0) || fact_b_id), 1, 32) AS id, fact_a_id, fact_b_id,
   CASE WHEN a.normalized_value = b.normalized_value THEN 'corroborate' ELSE 'reconcilable' END AS relation,
-  'none' AS reconciling_dimension, 'braces }}{{' AS reasoning, 0.0::DOUBLE AS confidence
-FROM pairs JOIN facts a ON a.id = fact_a_id JOIN facts b ON b.id = fact_b_id WHERE a.attribute = 'revenue'"""
-)
+  'none' AS reconciling_dimension, 'braces }{' AS reasoning, 0.0::DOUBLE AS confidence
+FROM pairs JOIN facts a ON a.id = fact_a_id JOIN facts b ON b.id = fact_b_id WHERE a.attribute = 'revenue'"""))
 def edges_by_model(spark, sf_dir):
     facts = layer_facts(spark, sf_dir).withColumn("normalized_value", F.round("normalized_value", 2))
     pairs = candidate_pairs(searchable(facts), match=MATCH)
@@ -334,7 +344,10 @@ def cached_answers(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir):
-    """The corpus as a file stream, a file per ledger, through the incremental layer."""
+    """The corpus as a file stream through the incremental layer: a file per ledger, then copies of the first ledger.
+
+    Batches of two files; the first two batches are merged before the third one comes.
+    """
     import uuid
 
     from factloom.session import scratch_dir
@@ -348,8 +361,12 @@ def _streamed(spark, sf_dir):
                 "doc_id", "filename", "text", F.lit("2024-01-01T00:00:00").alias("created_at")
             )
             part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-        layer = FactLayer(spark, f"{root}/layer")
-        ingest_stream(layer, f"{root}/in", f"{root}/checkpoint")
+        copies = docs.where("ingest_seq = 1").select(
+            F.concat(F.lit("copy-"), "doc_id").alias("doc_id"), "filename", "text", F.lit("2024-01-02T00:00:00").alias("created_at")
+        )
+        copies.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        layer = FactLayer(spark, f"{root}/layer", buckets=16, compact_every=2)
+        ingest_stream(layer, f"{root}/in", f"{root}/checkpoint", files_per_batch=2)
         return layer
 
     return once(spark, ("stream", sf_dir), build)
@@ -361,15 +378,18 @@ def streamed_facts(spark, sf_dir):
     return facts.select("id", "doc_id", "claim_text", F.round("normalized_value", 2).alias("normalized_value"))
 
 
-@query(f"WITH {EDGES} SELECT * FROM edges")
+@query(whole(EDGES, "SELECT * FROM edges"))
 def streamed_edges(spark, sf_dir):
     return _streamed(spark, sf_dir).edges().drop("batch_id")
 
 
 @query(
     f"""WITH {EDGES}, per AS (SELECT doc_id, count(*) AS n FROM edges JOIN facts f ON f.id = fact_a_id GROUP BY doc_id)
-SELECT doc_id, 'done' AS status, 1.0::DOUBLE AS progress, 1 AS n_chunks, count(*) AS n_facts,
-  coalesce(any_value(n), 0) AS n_edges, 'done' AS message FROM facts LEFT JOIN per USING (doc_id) GROUP BY doc_id"""
+SELECT doc_id, 'done' AS status, 1.0::DOUBLE AS progress, count(*) + 1 AS n_blocks, 1 AS n_chunks, count(*) AS n_raw,
+  CAST(0 AS BIGINT) AS n_failed, count(*) AS n_facts, coalesce(any_value(n), 0) AS n_edges, 'done' AS message
+FROM facts LEFT JOIN per USING (doc_id) GROUP BY doc_id
+UNION ALL
+SELECT DISTINCT 'copy-' || doc_id, 'done', 1.0::DOUBLE, 0, 0, 0, 0, 0, 0, 'already ingested' FROM facts WHERE ingest_seq = 1"""
 )
 def ingest_progress(spark, sf_dir):
     return _streamed(spark, sf_dir).progress()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.functions.vectors import hash_embedding, text_embedding, token_embedding
 from factloom.operators.layer import upsert_by_id
-from factloom.operators.nearest import collection_size, nearest_join, nearest_to
+from factloom.operators.nearest import collection_size, lsh_join, nearest_join, nearest_to
 from factloom.operators.qa import answer, contexts, retrieve
 from factloom.plans.claims import once, table
 from factloom.plans.registry import query
@@ -37,14 +37,12 @@ def _result(found: DataFrame) -> DataFrame:
     """WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents),
 v AS (SELECT doc_id, list_transform(range(16),
   lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) / 255.0::DOUBLE * 2.0 - 1.0) AS e FROM h)
-SELECT doc_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first_place,
-  round(e[16] / sqrt(list_dot_product(e, e)), 6) AS last_place FROM v"""
+SELECT doc_id, unnest(range(16)) AS place, round(unnest(e) / sqrt(list_dot_product(e, e)), 6) AS value FROM v"""
 )
 def hash_vectors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", hash_embedding(F.col("text")).alias("e"))
-    return docs.select(
-        "doc_id", F.round(F.col("e")[0], 6).alias("first_place"), F.round(F.col("e")[15], 6).alias("last_place")
-    )
+    places = docs.select("doc_id", F.posexplode("e").alias("place", "value"))
+    return places.select("doc_id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
 
 
 @query()
@@ -114,13 +112,29 @@ def approximate_neighbours(spark, sf_dir):
     return both.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
-@query("SELECT vec_id AS id, CASE WHEN label >= 5 THEN label + 100 ELSE label END AS label, round(CAST(embedding[1] AS DOUBLE), 6) AS first_place FROM embeddings")
+@query(
+    """SELECT method, count(*) * 5 AS neighbours, TRUE AS reached FROM embeddings, (VALUES ('lsh'), ('regions')) m(method) GROUP BY method"""
+)
+def approximate_recall(spark, sf_dir):
+    """Whether each approximate search finds at least nine tenths of the exact neighbours of all vectors."""
+    rows = _vectors(spark, sf_dir)
+    ids = {"query_id": "vec_id", "base_id": "vec_id"}
+    exact = materialize(nearest_join(rows, rows, 5, **ids).select("query_id", "base_id"), "exact")
+    found = lsh_join(rows, rows, 5, **ids).withColumn("method", F.lit("lsh"))
+    found = found.unionByName(nearest_join(rows, rows, 5, cells=16, probes=13, **ids).withColumn("method", F.lit("regions")))
+    hits = exact.join(found.select("method", "query_id", "base_id"), ["query_id", "base_id"]).groupBy("method").agg(F.count("*").alias("hits"))
+    total = exact.agg(F.count("*").alias("neighbours"))
+    return hits.join(total, F.lit(True)).select("method", "neighbours", (F.col("hits") >= 0.9 * F.col("neighbours")).alias("reached"))
+
+
+@query("SELECT vec_id AS id, CASE WHEN label >= 5 THEN label + 100 ELSE label END AS label, unnest(range(len(embedding))) AS place, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings")
 def upserted_vectors(spark, sf_dir):
     """Vectors of the upper labels are sent again under other labels."""
     stored = _vectors(spark, sf_dir).withColumnRenamed("vec_id", "id").withColumn("version", F.lit(1))
     again = stored.where("label >= 5").withColumns({"label": F.col("label") + 100, "version": F.lit(2)})
     rows = upsert_by_id(stored, again)
-    return rows.select("id", "label", F.round(F.col("embedding")[0], 6).alias("first_place"))
+    places = rows.select("id", "label", F.posexplode("embedding").alias("place", "value"))
+    return places.select("id", "label", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
 
 
 @query("SELECT count(*) AS size FROM embeddings")

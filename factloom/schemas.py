@@ -70,5 +70,6 @@ DOCUMENTS = (
     "id string, filename string, content_hash string, num_pages int, status string, created_at string"
 )
 
+# Relations and dimensions of an edge (fixed values).
 RELATIONS = ["corroborate", "contradict", "reconcilable", "unrelated"]
 DIMENSIONS = ["time", "scope", "unit", "none"]

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from factloom.functions.text import content_hash, render_table, strip
+from factloom.functions.text import content_hash, let, render_table, strip
 
 # Elements whose content is not text, elements that start and end blocks, and named characters.
 _DROPPED = r"(?is)<!--.*?-->|" + "|".join(rf"<{e}\b[^>]*>.*?</{e}\s*>" for e in ("script", "style", "nav", "head"))
@@ -17,10 +17,32 @@ _BLOCK_TAG = (
 _TAG = r"(?s)<[^>]*>"
 _NAMED = (
     ("&nbsp;", "\u00a0"), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"),
-    ("&hellip;", "\u2026"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
+    ("&hellip;", "\u2026"), ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
 )
 
 
+def decode_numbered(text: Column) -> Column:
+    """Numeric character references, decimal or hexadecimal, as their characters.
+
+    Numbers that name no character stay as they are; zero becomes the replacement character.
+    """
+
+    def letter(piece: Column) -> Column:
+        body = F.regexp_extract(piece, r"^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});", 1)
+        number = F.when(body.startswith("x"), F.conv(F.substring(body, 2, 6), 16, 10)).otherwise(body).try_cast("int")
+        number = F.when(number == 0, 0xFFFD).otherwise(number)
+        valid = (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        rest = F.substring(piece, F.length(body) + 2, F.length(piece))
+        return F.when((body != "") & F.coalesce(valid, F.lit(False)), F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
+
+    def joined(pieces: Column) -> Column:
+        later = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), letter)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(later, ""))
+
+    return F.when(F.contains(text, F.lit("&#")), let(F.split(text, "&#"), joined)).otherwise(text)
+
+
 def running_starts(sizes: Column) -> Column:
     """Exclusive running sums of an ``array<long>``."""
     empty = F.expr("cast(array() as array<bigint>)")
@@ -97,12 +119,12 @@ def html_blocks(pages: DataFrame, doc_id: str = "doc_id", html: str = "html") ->
     """Blocks of raw pages: all visible text, cut at the tags of block elements, however they are nested.
 
     Comments, scripts, styles, navigation and the head are left out, other tags become blanks, and named
-    characters are decoded.
+    and numbered characters are decoded.
     """
     body = F.regexp_replace(F.regexp_replace(html, _DROPPED, ""), _BLOCK_TAG, "\1")
 
     def plain(text: Column) -> Column:
-        text = F.regexp_replace(text, _TAG, " ")
+        text = decode_numbered(F.regexp_replace(text, _TAG, " "))
         for name, letter in _NAMED:
             text = F.replace(text, F.lit(name), F.lit(letter))
         return strip(text)
