@@ -140,5 +140,6 @@ def attribute_vocabulary(facts: DataFrame) -> DataFrame:
 
 def add_to_vocabulary(vocabulary: DataFrame, facts: DataFrame) -> DataFrame:
     """Stored counts plus those of new facts."""
-    both = vocabulary.select("attribute", "n").unionByName(attribute_vocabulary(facts))
+    new = facts.groupBy("attribute").agg(F.count("*").alias("n"))
+    both = vocabulary.select("attribute", "n").unionByName(new)
     return both.groupBy("attribute").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "attribute")

@@ -346,7 +346,7 @@ def cached_answers(spark, sf_dir):
 def _streamed(spark, sf_dir):
     """The corpus as a file stream through the incremental layer: a file per ledger, then copies of the first ledger.
 
-    Batches of two files; the first two batches are merged before the third one comes.
+    Batches of three files; both are merged into a snapshot in the end.
     """
     import uuid
 
@@ -366,7 +366,7 @@ def _streamed(spark, sf_dir):
         )
         copies.coalesce(1).write.mode("append").parquet(f"{root}/in")
         layer = FactLayer(spark, f"{root}/layer", buckets=16, compact_every=2)
-        ingest_stream(layer, f"{root}/in", f"{root}/checkpoint", files_per_batch=2)
+        ingest_stream(layer, f"{root}/in", f"{root}/checkpoint", files_per_batch=3)
         return layer
 
     return once(spark, ("stream", sf_dir), build)
