@@ -50,7 +50,9 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     own = F.coalesce(*[F.when(F.size(p) > 0, p) for p in parts])
     asked = materialize(needles.select("needle", F.explode(own).alias("gram")), "needles")
     wanted = asked.select("gram").distinct()
-    every = F.array_distinct(F.concat(*[_grams(F.col("text"), size) for size in range(1, GRAM + 1)]))
+    # Needles of three characters and more ask for grams of one size only: at most three numbers come back.
+    sizes = sorted(r["n"] for r in wanted.select(F.length("gram").alias("n")).distinct().collect()) or [GRAM]
+    every = F.concat(*[_grams(F.col("text"), size) for size in sizes])
     index = materialize(texts.select("id", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi"), "index")
     counts = index.groupBy("gram").agg(F.count("*").alias("n"))
     met = asked.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
