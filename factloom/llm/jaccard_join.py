@@ -8,9 +8,9 @@ of their first ``n - ceil(t n) + 1`` shingles. Inside a cell a document is the p
 radius of it, its ball, are linked through it and need no comparison among themselves, so a group of copies
 costs one distance for each member. By the triangle inequality only documents within two radii can have
 neighbours in the ball: these meet the ball in a region of their own, and all outside the ball form another;
-both are joined again in the same way. Small regions compare what is still apart. Sketches of counted
-shingles give lower bounds of the distance, which spare most comparisons; all links are verified on whole
-sets.
+both are joined again in the same way. Small regions compare what is still apart: sketches of counted shingles
+give lower bounds of the distance and name the members that may link, and these are compared on whole sets in
+one task, which passes on only the links that merge components. All links are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import id_and_text
-from factloom.llm.shingles import mixed, shingle_sets
+from factloom.llm.common import id_and_text, released
+from factloom.llm.shingles import mixed, set_nodes, shingle_sets, shingle_tables
 from factloom.operators.clusters import components
 from factloom.session import materialize
 
@@ -35,10 +35,12 @@ SKETCH = 64
 LEAF, DEPTH = 256, 2
 #: Pairs looked at in one step of a task, which bounds its memory.
 STEP = 1_000_000
-#: Keys or nodes up to which a filter is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Words of 64 bits in the bitmap that picks sets ahead of a join: 4 MB at every size of the corpus.
+FILTER_WORDS = 1 << 19
+#: Nodes a task remembers to have sent.
+SEEN = 200_000
 #: Shingles counted at a time in a task, and the least count that is passed on.
-FLUSH, LEAST = 2_000_000, 3
+FLUSH, LEAST = 1_000_000, 3
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
@@ -68,6 +70,7 @@ def frequent_shingles(docs: DataFrame, width: int, size: int = FREQUENT) -> np.n
                     held, total = [], 0
         if held:
             yield flushed()
+        released()
 
     counts = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = counts.where("n >= 8").orderBy(F.desc("n"), "key").limit(size).toPandas()
@@ -107,41 +110,45 @@ def described(docs: DataFrame, width: int, frequent: np.ndarray, num: int, den:
                  pa.array(prefixes, pa.list_(pa.int64()))],
                 names=["doc_id", "node", "n", "sketch", "prefix"],
             )
+        released()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(describe, f"doc_id {kind}, node long, n long, sketch binary, prefix array<long>")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast where its row count allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """Bits of the given nodes in a bitmap of fixed size; with many nodes it lets more of the others pass."""
+    at, bit = F.col("node").bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("at"), F.expr("shiftleft(1L, int(shiftright(node, 40) & 63))").alias("bit")
+    found = nodes.select(at, bit).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_WORDS, np.int64)
+    bits[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return bits
 
 
 def whole_sets(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
-    """``node, items`` of the given nodes, from the texts; a task sends a set once, however many copies it has."""
+    """``node, items`` of the given nodes and of others that their bitmap lets pass, from the texts.
+
+    A task sends a set once, however many copies it has.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         seen: set[int] = set()
         for batch in batches:
-            found, items = [], []
-            for own in shingle_sets(_texts(batch, 0), width):
-                if not len(own):
-                    continue
-                node = int(mixed(mixed(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own))).view(np.int64)[0])
-                named = wanted.value
-                if named is None or (node in named and node not in seen):
-                    if named is not None:
-                        seen.add(node)
-                    found.append(node)
-                    items.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
-
-    n = nodes.count()
-    wanted = docs.sparkSession.sparkContext.broadcast(
-        frozenset(r[0] for r in nodes.select("node").toLocalIterator()) if n <= BROADCAST_ROWS else None
-    )
+            for values, ends in shingle_tables(_texts(batch, 0), width):
+                starts = np.r_[0, ends[:-1]]
+                node = set_nodes(values, ends)
+                hits = np.flatnonzero((ends > starts) & ((bits[node & (len(bits) - 1)] >> ((node >> 40) & 63)) & 1 == 1))
+                fresh = [i for i in hits.tolist() if not (node[i] in seen or seen.add(node[i]))]
+                if len(seen) > SEEN:
+                    seen.clear()
+                items = pa.array([values[starts[i] : ends[i]].view(np.int64) for i in fresh], pa.list_(pa.int64()))
+                if fresh:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[fresh]), items], names=["node", "items"])
+        released()
+
     sets = docs.select("text").mapInArrow(emit, "node long, items array<long>")
-    sets = sets if n <= BROADCAST_ROWS else sets.join(nodes, "node", "left_semi")
     return sets.groupBy("node").agg(F.min("items").alias("items"))
 
 
@@ -158,7 +165,7 @@ def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     held = rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sides = held.groupBy("region").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.min(F.col("mask") % 2).alias("_home"))
     sides = sides.where("_low < _high and _home = 0").select("region")
-    return held.join(_few(materialize(sides, "apart")), "region", "left_semi")
+    return held.join(materialize(sides, "apart"), "region", "left_semi")
 
 
 def _heads(links: DataFrame) -> DataFrame:
@@ -215,8 +222,12 @@ def _pairs_within(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.nda
         at = stop
 
 
-def _leaf_pairs(rows: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b) candidates of all regions; a large region is cut in blocks, and blocks meet in pairs."""
+def _suspects(rows: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """``task, node, root``: the members of each task that may link with a member of another component there.
+
+    A large region is cut in blocks, and blocks meet in pairs, a task each. At most one row is made for a
+    member of a task, however many partners it may have.
+    """
     sizes = rows.groupBy("region").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("blocks"), F.min("node").alias("lead"))
     dealt = rows.join(sizes, "region").join(members, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -235,6 +246,7 @@ def _leaf_pairs(rows: DataFrame, members: DataFrame, num: int, den: int) -> Data
         sketch = frame["sketch"].tolist()
         cells = np.array([len(s) for s in sketch])
         seen = np.zeros((0, 2), np.int64)
+        kept = np.zeros(len(frame), bool)
         for i, j in _pairs_within(starts, np.r_[starts[1:], len(frame)]):
             fits = (root[i] != root[j]) & ((mask[i] & mask[j]) == 0) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
             i, j = i[fits], j[fits]
@@ -253,23 +265,91 @@ def _leaf_pairs(rows: DataFrame, members: DataFrame, num: int, den: int) -> Data
                     piece = slice(part, part + max(1, 8_000_000 // int(c)))
                     gap = np.abs(folded[where[: len(at)][piece]] - folded[where[len(at) :][piece]]).sum(axis=1, dtype=np.int64)
                     near[at[piece]] = gap <= spare[at[piece]]
-            seen = np.unique(np.r_[seen, np.c_[node[i[near]], node[j[near]]]], axis=0)
-        return pd.DataFrame(seen, columns=["a", "b"])
+            # A pair that an earlier task of this bucket has is left to that task.
+            i, j = i[near], j[near]
+            known = len(seen)
+            seen, first = np.unique(np.r_[seen, np.c_[node[i], node[j]]], axis=0, return_index=True)
+            first = first[first >= known] - known
+            kept[i[first]] = kept[j[first]] = True
+        return frame.loc[kept, ["task", "node", "root"]]
+
+    return dealt.groupBy("bucket").applyInPandas(compare, "task long, node long, root long")
 
-    return dealt.groupBy("bucket").applyInPandas(compare, "a long, b long").distinct()
+
+def _leaf_links(suspects: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) links that join the components of the members of each task, at most one for each merger.
+
+    The members of a task are compared on their whole sets, but for those in one component already; a run
+    of tasks in a partition shares what it has merged.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
+        def links(node: list[int], root: list[int], items: list[np.ndarray]) -> list[tuple[int, int]]:
+            found = []
+            n = np.array([len(x) for x in items])
+            starts = np.cumsum(n) - n
+            values, flat = np.unique(np.concatenate(items), return_inverse=True)
+            own = np.zeros(len(values), bool)
+            for i in range(len(node) - 1):
+                mine = top(root[i])
+                if all(top(r) == mine for r in root[i + 1 :]):
+                    continue
+                place = flat[starts[i] : starts[i] + n[i]]
+                own[place] = True
+                common = np.add.reduceat(own[flat[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
+                own[place] = False
+                for j in np.flatnonzero(den * common >= num * (n[i] + n[i + 1 :] - common)).tolist():
+                    mine, other = top(root[i]), top(root[i + 1 + j])
+                    if mine != other:
+                        above[max(mine, other)] = min(mine, other)
+                        found.append((node[i], node[i + 1 + j]))
+            return found
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        current, held = None, ([], [], [])
+        for batch in batches:
+            tasks, nodes, roots = (batch.column(c).to_pylist() for c in range(3))
+            offsets = batch.column(3).offsets.to_numpy()
+            values = batch.column(3).values.to_numpy()
+            for k, task in enumerate(tasks):
+                if task != current:
+                    if len(held[0]) > 1:
+                        yield batch_of(links(*held))
+                    current, held = task, ([], [], [])
+                    if len(above) > STEP:
+                        above.clear()
+                held[0].append(nodes[k])
+                held[1].append(roots[k])
+                held[2].append(values[offsets[k] : offsets[k + 1]].copy())
+        if len(held[0]) > 1:
+            yield batch_of(links(*held))
+        released()
+
+    full = suspects.join(sets, "node").select("task", "node", "root", "items")
+    return full.repartition("task").sortWithinPartitions("task", "node").mapInArrow(merge, "a long, b long")
 
 
 def linked_nodes(docs: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """``node, root`` of the nodes linked with another one, from the rows of :func:`described`."""
-    cells = rows.where("node is not null").select(F.explode("prefix").alias("region"), "node")
+    single = rows.where("node is not null").select("node", "prefix", "n", "sketch").dropDuplicates(["node"])
+    single = materialize(single, "nodes")
+    cells = single.select(F.explode("prefix").alias("region"), "node")
     shared = cells.groupBy("region").agg(F.min("node").alias("pivot"), F.max("node").alias("_far")).where("pivot < _far").drop("_far")
     shared = materialize(shared, "cells")
     # Cells grow with the shingles of the corpus, so this join is a shuffle at every size.
-    state = materialize(cells.join(shared, "region").select("region", "node", "pivot").distinct(), "members")
+    state = materialize(cells.join(shared, "region").select("region", "node", "pivot"), "members")
     state = state.withColumn("mask", F.lit(0))
-    touched = materialize(state.select("node").distinct(), "touched")
-    small = rows.select("node", "n", "sketch").join(_few(touched), "node", "left_semi")
-    members = materialize(small.groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
+    members = materialize(single.join(state.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch"), "sketches")
     radius = (den - num) / den + 1e-9
     is_link = F.col("common") * den >= F.col("joint") * num
 
@@ -302,24 +382,13 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, width: int, num: int, den: in
         if level == DEPTH - 1 or not large.count():
             leaves = left if leaves is None else leaves.unionByName(left)
             break
-        done = left.join(_few(large.select("region")), "region", "left_anti")
+        done = left.join(large.select("region"), "region", "left_anti")
         leaves = done if leaves is None else leaves.unionByName(done)
-        state = left.join(_few(large), "region").select("region", "node", "pivot", "mask")
-    roots = materialize(components(links).toDF("node", "root"), "roots")
-    candidates = materialize(_leaf_pairs(_apart(leaves, roots), members, num, den), "candidates")
-    # First one partner for each node: what this links needs no comparison of the other pairs.
-    ends = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(whole_sets(docs, width, materialize(ends, "ends")), "sets")
-    lower = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    upper = candidates.groupBy("a").agg(F.max("b").alias("b"))
-    first = materialize(_measured(lower.unionByName(upper).distinct(), sets), "first")
-    links = links.unionByName(first.where(is_link).select("a", "b"))
+        state = left.join(large, "region").select("region", "node", "pivot", "mask")
     roots = materialize(components(links).toDF("node", "root"), "roots")
-    rest = candidates
-    for end in ("a", "b"):
-        rest = rest.join(roots.toDF(end, f"_{end}"), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
-    rest = materialize(rest.where("_a <> _b").select("a", "b"), "rest")
-    found = _measured(rest, sets).where(is_link).select("a", "b")
+    suspects = materialize(_suspects(_apart(leaves, roots), members, num, den), "suspects")
+    sets = materialize(whole_sets(docs, width, suspects.select("node")), "sets")
+    found = _leaf_links(suspects, sets, num, den)
     return materialize(components(links.unionByName(found)).toDF("node", "root"), "roots")
 
 

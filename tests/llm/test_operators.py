@@ -325,8 +325,8 @@ def test_jaccard_join(docs, rows, empty, monkeypatch, width, num, den, leaf):
         assert jaccard_join(empty).count() == 0
 
 
-def test_jaccard_join_by_shuffles(docs, rows, monkeypatch):
-    monkeypatch.setattr("factloom.llm.jaccard_join.BROADCAST_ROWS", 0)
+def test_jaccard_join_with_a_full_bitmap_and_short_counts(docs, rows, monkeypatch):
+    monkeypatch.setattr("factloom.llm.jaccard_join.FILTER_WORDS", 1)
     monkeypatch.setattr("factloom.llm.jaccard_join.FLUSH", 500)
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join(docs, 3, 7, 10).collect())
     assert got == brute_components(rows, 3, 7, 10)
