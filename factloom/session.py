@@ -60,7 +60,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/factloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.written_to = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more, once what was made of them is written.
+
+    Only the frames that ``materialize`` returned count; others, such as frames made of them, are left.
+    """
+    for table in tables:
+        path = vars(table).get("written_to")
+        if path:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clean(spark: SparkSession) -> None:

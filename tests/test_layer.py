@@ -132,3 +132,13 @@ def test_embeddings(spark):
     got = rows.select(hash_embedding(F.col("t"), 40).alias("v")).first().v
     assert all(abs(x - y) < 1e-12 for x, y in zip(got, expected))
     assert encode_with(rows, "t", lambda texts: [[len(t), 1] for t in texts]).first().embedding == [5.0, 1.0]
+
+
+def test_a_discarded_table_is_gone_and_others_stay(spark):
+    import pathlib
+
+    from factloom.session import discard, materialize
+
+    first, second = materialize(spark.range(3), "first"), materialize(spark.range(4), "second")
+    discard(first, second.where("id > 1"))
+    assert not pathlib.Path(first.written_to).exists() and second.count() == 4
