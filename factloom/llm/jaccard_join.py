@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.llm.common import id_and_text, released
 from factloom.llm.shingles import mixed, set_nodes, shingle_sets, shingle_tables
 from factloom.operators.clusters import components
-from factloom.session import materialize
+from factloom.session import discard, materialize
 
 #: Shingles that come last in the order, the most frequent first found ones; a bound on what is broadcast.
 FREQUENT = 200_000
@@ -173,7 +173,9 @@ def _heads(links: DataFrame) -> DataFrame:
     near = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
     near = materialize(near, "heads")
     further = near.select(F.col("node").alias("root"), F.col("root").alias("_further"))
-    return materialize(near.join(further, "root", "left").select("node", F.coalesce("_further", "root").alias("root")), "roots")
+    roots = materialize(near.join(further, "root", "left").select("node", F.coalesce("_further", "root").alias("root")), "roots")
+    discard(near)
+    return roots
 
 
 def sketch_of(own: np.ndarray) -> bytes:
@@ -339,35 +341,43 @@ def _leaf_links(suspects: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     return full.repartition("task").sortWithinPartitions("task", "node").mapInArrow(merge, "a long, b long")
 
 
-def linked_nodes(docs: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``node, root`` of the nodes linked with another one, from the rows of :func:`described`."""
-    single = rows.where("node is not null").select("node", "prefix", "n", "sketch").dropDuplicates(["node"])
-    single = materialize(single, "nodes")
+def linked_nodes(docs: DataFrame, single: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``node, root`` of the nodes linked with another one, from a written table with one row of :func:`described` a node.
+
+    The table is deleted on the way, as are others once what is made of them is written.
+    """
     cells = single.select(F.explode("prefix").alias("region"), "node")
     shared = cells.groupBy("region").agg(F.min("node").alias("pivot"), F.max("node").alias("_far")).where("pivot < _far").drop("_far")
     shared = materialize(shared, "cells")
     # Cells grow with the shingles of the corpus, so this join is a shuffle at every size.
     state = materialize(cells.join(shared, "region").select("region", "node", "pivot"), "members")
+    discard(shared)
+    cut = state
     state = state.withColumn("mask", F.lit(0))
     members = materialize(single.join(state.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch"), "sketches")
+    discard(single)
     radius = (den - num) / den + 1e-9
     is_link = F.col("common") * den >= F.col("joint") * num
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-        return materialize(_measured(pairs, materialize(whole_sets(docs, width, ends), "sets")), "measured")
+        sets = materialize(whole_sets(docs, width, ends), "sets")
+        measured = materialize(_measured(pairs, sets), "measured")
+        discard(ends, sets)
+        return measured
 
     links, leaves, roots = None, None, None
     for level in range(DEPTH):
         pairs = state.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         bounds = materialize(_bounded(pairs, members, num, den), "bounds")
         measured = verified(bounds.where("maybe").select("a", "b"))
-        found = measured.where(is_link).select("a", "b")
+        found = materialize(measured.where(is_link).select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
         roots = _heads(links)
         exact = measured.select("a", "b", is_link.alias("ball"), (1 - F.col("common") / F.col("joint")).alias("exact"))
         judged = bounds.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("ball", F.lit(False)).alias("ball"), F.coalesce("exact", "low").alias("far"))
         judged = materialize(judged, "judged")
+        discard(bounds, measured)
         placed = state.join(judged, (state["node"] == judged["a"]) & (state["pivot"] == judged["b"]), "left")
         ball = F.coalesce("ball", F.lit(True))  # only the pivot has no row of its own
         # (which region, whether as a guest): outside the ball at home in "rest"; the ball is a guest of "edge".
@@ -377,6 +387,7 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, width: int, num: int, den: in
         placed = placed.withColumn("to", F.explode(parts))
         placed = placed.select(F.xxhash64("region", "to.part").alias("region"), "node", (F.col("mask") * 2 + F.col("to.guest")).alias("mask"))
         left = materialize(_apart(placed, roots), "left")
+        discard(judged, cut)
         sizes = left.groupBy("region").agg(F.count("*").alias("size"), F.min(F.when(F.col("mask") % 2 == 0, F.col("node"))).alias("pivot"))
         large = materialize(sizes.where(F.col("size") > LEAF), "large")
         if level == DEPTH - 1 or not large.count():
@@ -388,7 +399,9 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, width: int, num: int, den: in
     roots = materialize(components(links).toDF("node", "root"), "roots")
     suspects = materialize(_suspects(_apart(leaves, roots), members, num, den), "suspects")
     sets = materialize(whole_sets(docs, width, suspects.select("node")), "sets")
-    found = _leaf_links(suspects, sets, num, den)
+    discard(members)
+    found = materialize(_leaf_links(suspects, sets, num, den), "links")
+    discard(suspects, sets)
     return materialize(components(links.unionByName(found)).toDF("node", "root"), "roots")
 
 
@@ -404,8 +417,12 @@ def jaccard_join(
     Shingles and sets are compared by 64-bit hashes.
     """
     docs = id_and_text(docs, id_col, text_col)
-    rows = materialize(described(docs, width, frequent_shingles(docs, width), num, den), "described")
-    found = linked_nodes(docs, rows, width, num, den)
+    whole = materialize(described(docs, width, frequent_shingles(docs, width), num, den), "described")
+    rows = materialize(whole.select("doc_id", "node", "n"), "rows")
+    single = whole.where("node is not null").select("node", "prefix", "n", "sketch").dropDuplicates(["node"])
+    single = materialize(single, "nodes")
+    discard(whole)
+    found = linked_nodes(docs, single, width, num, den)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
