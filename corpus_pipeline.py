@@ -7,59 +7,74 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType
 
 from factloom.llm import toxicity
-from factloom.llm.common import table, word_count
+from factloom.llm.common import short_batches, table, word_count
 from factloom.llm.exact_dedup import exact_duplicates
 from factloom.llm.jaccard_join import jaccard_join
 from factloom.llm.mixing import copies_taken, mix
 from factloom.llm.packing import pack, pieces
 from factloom.session import materialize
 
-#: Documents whose ids are broadcast to pick their rows; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Metadata that marks the columns which a stage adds, whatever they had to be named.
+ROLE = "corpus_pipeline"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Documents with a ``row_key`` of their own for each row, written once and kept through the stages.
+def added(docs: DataFrame, role: str) -> str | None:
+    """Name of the column that an earlier stage added in this role."""
+    return next((f.name for f in docs.schema.fields if f.metadata.get(ROLE) == role), None)
+
+
+def free(docs: DataFrame, role: str) -> str:
+    """A name for a new column in this role, which no column of ``docs`` has in any case of letters."""
+    taken, name = {c.lower() for c in docs.columns}, role
+    while name in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Documents with a key of their own for each row, written once and kept through the stages, and its name.
 
     Keys sort by id, null ids last, so the row with the smallest key is one with the smallest id; rows of
-    equal or null ids are told apart by their place in the input.
+    equal or null ids are told apart by their place in the input. A column of the input that has the name of
+    the key stays as it is, and the key gets another name.
     """
-    if "row_key" in docs.columns:
-        return docs
+    short_batches(docs.sparkSession)
+    key = added(docs, "row_key")
+    if key is not None:
+        return docs, key
     own = F.col("doc_id")
     if isinstance(docs.schema["doc_id"].dataType, IntegralType):
         own = F.lpad(F.hex(own.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
     place = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
-    key = F.concat(F.when(F.col("doc_id").isNull(), "1").otherwise("0"), F.coalesce(own.cast("string"), F.lit("")), F.lit("-"), place)
-    return materialize(docs.withColumn("row_key", key), "keyed")
+    value = F.concat(F.when(F.col("doc_id").isNull(), "1").otherwise("0"), F.coalesce(own.cast("string"), F.lit("")), F.lit("-"), place)
+    key = free(docs, "row_key")
+    return materialize(docs.select("*", value.alias(key, metadata={ROLE: "row_key"})), "keyed"), key
 
 
-def _only(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose key is not among the ids of ``dropped``."""
-    dropped = materialize(dropped.select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return docs.join(dropped, docs["row_key"] == F.col("_dropped"), "left_anti")
+def _only(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is not among the ids of ``dropped``; Spark broadcasts these if their table is small."""
+    dropped = materialize(dropped.select("doc_id").distinct(), "dropped")
+    return docs.join(dropped, docs[key] == dropped["doc_id"], "left_anti")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon scores at 0.5 or more go; the labels of the corpus teach it."""
-    docs = keyed(docs)
-    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, toxicity.toxicity(docs, lexicon, "row_key").where("predicted = 1"))
+    docs, key = keyed(docs)
+    lexicon = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return _only(docs, key, toxicity.toxicity(docs, lexicon, key).where("predicted = 1"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays, once."""
-    docs = keyed(docs)
-    found = materialize(exact_duplicates(docs, "row_key"), "copies")
-    return _only(docs, found.where("doc_id <> keep_id"))
+    docs, key = keyed(docs)
+    return _only(docs, key, exact_duplicates(docs, key).where("doc_id <> keep_id"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles of five words at 0.8 the one with the smallest id stays."""
-    docs = keyed(docs)
-    found = materialize(jaccard_join(docs, width=5, num=8, den=10, id_col="row_key"), "near")
-    return _only(docs, found.where("doc_id <> component_id"))
+    docs, key = keyed(docs)
+    found = jaccard_join(docs, width=5, num=8, den=10, id_col=key)
+    return _only(docs, key, found.where("doc_id <> component_id"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,27 +83,34 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Each ``copy`` of a document has its own training ``position`` and else the columns of its document.
     Documents that the mix takes no word of, such as those without words, are absent.
     """
-    docs = keyed(docs)
-    mixed = mix(docs, "row_key", spread=(F.col("doc_id"), F.md5("text")))
-    taken = copies_taken(mixed.where("taken > 0")).select(F.col("doc_id").alias("_key"), "copy", "words", "position")
-    taken = materialize(taken, "taken")
-    taken = F.broadcast(taken) if taken.count() <= BROADCAST_IDS else taken
-    rows = docs.join(taken, docs["row_key"] == F.col("_key"))
-    whole = F.col("words") >= word_count(F.col("text"))
+    docs, key = keyed(docs)
+    mixed = mix(docs, key, spread=(F.col("doc_id"), F.md5("text")))
+    taken = materialize(copies_taken(mixed.where("taken > 0")), "taken")
+    whole = taken["words"] >= word_count(docs["text"])
     # Cut where a word ends, so that each part is a word with the white space before it.
-    parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    part = F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), "")
-    rows = rows.withColumn("_whole", whole).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
+    parts = F.split(docs["text"], r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    part = F.array_join(F.slice(parts, F.lit(1), taken["words"].cast("int")), "")
+    text = F.when(whole, docs["text"]).otherwise(part)
+    changed = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    rows = rows.select(*docs.columns, "copy", "position")
-    return rows.repartitionByRange("position", "row_key", "copy").sortWithinPartitions("position", "row_key", "copy")
+        n_chars = F.when(whole, docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = n_chars.alias("n_chars")
+    new = {role: free(docs, role) for role in ("copy", "position")}
+    rows = docs.join(taken, docs[key] == taken["doc_id"]).select(
+        *[changed.get(c, docs[c]) for c in docs.columns],
+        *[taken[role].alias(name, metadata={ROLE: role}) for role, name in new.items()],
+    )
+    order = (new["position"], key, new["copy"])
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their place in a training sequence; sequences follow the positions."""
-    more = ("row_key", *(c for c in ("copy", "position") if c in docs.columns))
-    cut = pieces(keyed(docs), public_tokenizers.path("byte_bpe_50k.json"), more=more)
+    docs, key = keyed(docs)
+    roles = [("row_key", key), *[(r, c) for r in ("copy", "position") if (c := added(docs, r))]]
+    more = tuple(role for role, _ in roles)
+    narrow = docs.select("doc_id", "text", *[F.col(c).alias(role) for role, c in roles])
+    cut = pieces(narrow, public_tokenizers.path("byte_bpe_50k.json"), more=more)
     return pack(cut, keys=(*more[:2], "piece"), time="position") if len(more) == 3 else pack(cut, keys=("row_key", "piece"))
 
 

@@ -91,3 +91,25 @@ def test_run_follows_the_curriculum(spark, tmp_path):
         assert [p[0] for p in parts] == [sum(q[1] for q in parts[:k]) for k in range(len(parts))] and sum(p[1] for p in parts) <= 1024
     starts = [min(p[2] for p in filled[k]) for k in sorted(filled)]
     assert starts == sorted(starts)
+
+
+def test_columns_named_like_those_of_the_stages_stay_apart(spark, tmp_path):
+    """Also that a user's ``row_key`` is no key, and that tables without rows give none."""
+    rng = random.Random(5)
+    clean = [prose(rng, 30) for _ in range(5)]
+    rows = [(i, t, None, "a", len(t), "same", -1, -2.0, "w", "d") for i, t in enumerate([*clean, clean[0]])]
+    schema = SCHEMA + ", row_key string, copy int, position double, words string, _dropped string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), "stage")
+    got = docs.collect()
+    assert {(r.doc_id, r.text) for r in got} == set(enumerate(clean)) and len(got) == 5
+    assert all((r.row_key, r.copy, r.position, r.words, r._dropped) == ("same", -1, -2.0, "w", "d") for r in got)
+    placed = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in placed) == [0, 1, 2, 3, 4] and {r.copy for r in placed} == {0}
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    stored(spark, empty, [])
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
