@@ -15,15 +15,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import id_and_text
+from factloom.llm.common import id_and_text, released
 from factloom.session import materialize
 
 #: Labelled rows learned from, at most about so many; a fixed hash picks them.
 TRAIN_ROWS = 40_000
 #: Largest lexicon, and what a word needs to enter it; word beginnings ("stem*") need more.
 MAX_WORDS, LEAST_DOCS, LEAST_WEIGHT = 20_000, 3, 2.0
+#: Words a task counts at a time; their counts are added up by Spark.
+HELD_WORDS = 100_000
 STEMS, STEM_DOCS, STEM_WEIGHT = (4, 5, 6), 5, 3.0
 #: Insults known without labels, with their weight, and phrases in which such words are harmless.
 PRIOR = ("idiot", "moron", "imbecile", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "bastard", "retard", "asshole")
@@ -199,9 +201,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = set(folded(text).split())
             for word in words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}:
                 held.setdefault(word, [0, 0])[1 if toxic else 0] += 1
-            if len(held) > 500_000:
+            if len(held) > HELD_WORDS:
                 yield rows()
     yield rows()
+    released()
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +214,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col
     table gives no rows.
     """
     docs = id_and_text(docs, id_col, text_col)
-    shared: object = SparkSession.getActiveSession().sparkContext.broadcast(lexicon)
+    shared: object = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,6 +222,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
+        released()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
