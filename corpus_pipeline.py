@@ -14,6 +14,8 @@ from factloom.llm.mixing import copies_taken, mix
 from factloom.llm.packing import pack, pieces
 from factloom.session import materialize
 
+#: Rows up to which a written table of keys is broadcast, some 10 MB; more are joined by a shuffle.
+BROADCAST_IDS = 100_000
 #: Metadata that marks the columns which a stage adds, whatever they had to be named.
 ROLE = "corpus_pipeline"
 
@@ -51,9 +53,13 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(docs.select("*", value.alias(key, metadata={ROLE: "row_key"})), "keyed"), key
 
 
+def _few(written: DataFrame) -> DataFrame:
+    return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
+
+
 def _only(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose key is not among the ids of ``dropped``; Spark broadcasts these if their table is small."""
-    dropped = materialize(dropped.select("doc_id").distinct(), "dropped")
+    """Rows of ``docs`` whose key is not among the ids of ``dropped``."""
+    dropped = _few(materialize(dropped.select("doc_id").distinct(), "dropped"))
     return docs.join(dropped, docs[key] == dropped["doc_id"], "left_anti")
 
 
@@ -85,7 +91,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     docs, key = keyed(docs)
     mixed = mix(docs, key, spread=(F.col("doc_id"), F.md5("text")))
-    taken = materialize(copies_taken(mixed.where("taken > 0")), "taken")
+    taken = _few(materialize(copies_taken(mixed.where("taken > 0")), "taken"))
     whole = taken["words"] >= word_count(docs["text"])
     # Cut where a word ends, so that each part is a word with the white space before it.
     parts = F.split(docs["text"], r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
