@@ -8,7 +8,7 @@ texts whose fingerprint was counted more than once are compared byte by byte.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,48 +34,89 @@ def normalised(text: bytes) -> bytes:
 
 
 class CountingQuotientFilter:
-    """Counts of 64-bit fingerprints: quotient (top bits) by run lengths, then sorted remainders.
+    """Counts of 64-bit fingerprints in slots: quotients give places, slots hold remainders.
 
-    ``quotients`` holds the used quotients in order, ``runs`` the length of the run of each (what
-    occupied and run-end bits say in the packed form), ``remainders`` and ``counts`` the entries of all
-    runs, ascending inside a run. The full fingerprint can be read back, so merging is lossless.
+    The top ``skip`` bits, shared by all entries, are kept once (``top``). The next ``bits`` are the quotient.
+    Entries lie in order, each in the slot of its quotient or as far behind it as earlier ones push it. Three
+    marks of a slot tell quotients from slots: its quotient has entries, its entry continues the run of the
+    entry before, its entry is not in its own slot. A slot without marks is empty. Whole fingerprints can be
+    read back in order, so merging is lossless.
     """
 
-    def __init__(self, quotients, runs, remainders, counts, bits: int):
-        self.quotients, self.runs, self.remainders, self.counts, self.bits = quotients, runs, remainders, counts, bits
+    OCCUPIED, CONTINUED, SHIFTED = (np.uint8(1 << i) for i in range(3))
+
+    def __init__(self, marks, remainders, tallies, bits: int, top: int = 0, skip: int = 0):
+        self.marks, self.remainders, self.tallies, self.bits, self.top, self.skip = marks, remainders, tallies, bits, top, skip
 
     @classmethod
-    def of(cls, prints: np.ndarray, counts: np.ndarray, bits: int) -> CountingQuotientFilter:
+    def of(cls, prints: np.ndarray, counts: np.ndarray, bits: int | None = None, top: int = 0, skip: int = 0) -> CountingQuotientFilter:
+        """Filter of fingerprints in any order; by default three of four slots are filled at most."""
         order = np.argsort(prints, kind="stable")
         prints, counts = prints[order], counts[order]
         first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]]) if len(prints) else np.zeros(0, np.int64)
-        prints, counts = prints[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
-        quotients, runs = np.unique(prints >> np.uint64(64 - bits), return_counts=True)
-        mask = np.uint64((1 << (64 - bits)) - 1)
-        return cls(quotients.astype(np.uint32), runs.astype(np.uint32), prints & mask, counts.astype(np.int64), bits)
+        return cls.laid_out(prints[first], np.add.reduceat(counts, first) if len(first) else counts[:0], bits, top, skip)
+
+    @classmethod
+    def laid_out(cls, prints, counts, bits: int | None = None, top: int = 0, skip: int = 0) -> CountingQuotientFilter:
+        """Filter of ascending, distinct fingerprints."""
+        bits = max(1, (4 * len(prints) // 3).bit_length()) if bits is None else bits
+        rest, order = prints << np.uint64(skip), np.arange(len(prints))
+        quotients = (rest >> np.uint64(64 - bits)).astype(np.int64)
+        slots = np.maximum.accumulate(quotients - order) + order if len(prints) else order
+        size = max(1 << bits, int(slots[-1]) + 1 if len(prints) else 0)
+        marks, remainders, tallies = np.zeros(size, np.uint8), np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        marks[quotients] |= cls.OCCUPIED
+        marks[slots[1:][quotients[1:] == quotients[:-1]]] |= cls.CONTINUED
+        marks[slots[slots != quotients]] |= cls.SHIFTED
+        remainders[slots] = rest & np.uint64((1 << (64 - bits)) - 1)
+        tallies[slots] = counts
+        return cls(marks, remainders, tallies, bits, top, skip)
+
+    def __len__(self) -> int:
+        return int(np.count_nonzero(self.marks))
 
     def prints(self) -> np.ndarray:
-        tops = np.repeat(self.quotients.astype(np.uint64), self.runs)
-        return (tops << np.uint64(64 - self.bits)) | self.remainders
+        """All fingerprints, ascending."""
+        used = np.flatnonzero(self.marks)
+        run = np.cumsum((self.marks[used] & self.CONTINUED) == 0) - 1
+        quotients = np.flatnonzero(self.marks & self.OCCUPIED).astype(np.uint64)[run]
+        rest = (quotients << np.uint64(64 - self.bits)) | self.remainders[used]
+        return rest if self.skip == 0 else (rest >> np.uint64(self.skip)) | np.uint64(self.top << (64 - self.skip))
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self.tallies[self.marks != 0]
+
+    def with_(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Merge of two filters along their sorted entries; equal entries add their counts."""
+        prints, counts, more, added = self.prints(), self.counts, other.prints(), other.counts
+        at = np.searchsorted(prints, more)
+        known = np.zeros(len(more), bool)
+        inside = at < len(prints)
+        known[inside] = prints[at[inside]] == more[inside]
+        counts[at[known]] += added[known]
+        new = ~known
+        return self.laid_out(np.insert(prints, at[new], more[new]), np.insert(counts, at[new], added[new]), None, self.top, self.skip)
 
     @classmethod
-    def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """Merge by sorted remainders; equal entries add their counts."""
-        prints = np.concatenate([f.prints() for f in filters])
-        return cls.of(prints, np.concatenate([f.counts for f in filters]), filters[0].bits)
-
-    def pieces(self, shift: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-        """Cut at quotient ranges of ``2 ** shift`` quotients."""
-        ranges = self.quotients >> np.uint32(shift)
-        starts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]) if len(ranges) else []
-        ends = np.r_[starts[1:], len(ranges)] if len(ranges) else []
-        entry = np.r_[0, np.cumsum(self.runs, dtype=np.int64)]
-        for a, b in zip(starts, ends, strict=True):
-            span = slice(entry[a], entry[b])
-            yield (
-                int(ranges[a]), self.quotients[a:b].tobytes(), self.runs[a:b].tobytes(),
-                self.remainders[span].tobytes(), self.counts[span].tobytes(),
-            )
+    def merged(cls, filters: Iterable[CountingQuotientFilter]) -> CountingQuotientFilter | None:
+        """Merge of all filters; only ones of like size meet, so that each entry moves a logarithmic number of times."""
+        held: list[CountingQuotientFilter] = []
+        for one in filters:
+            while held and len(held[-1]) < 2 * len(one):
+                one = held.pop().with_(one)
+            held.append(one)
+        while len(held) > 1:
+            held.append(held.pop().with_(held.pop()))
+        return held[0] if held else None
+
+    def pieces(self, range_bits: int) -> Iterator[CountingQuotientFilter]:
+        """Cut at ranges of fingerprints that share their top ``range_bits``."""
+        prints, counts = self.prints(), self.counts
+        ranges = prints >> np.uint64(64 - range_bits) if range_bits else np.zeros(len(prints), np.uint64)
+        starts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]) if len(ranges) else np.zeros(0, np.int64)
+        for a, b in zip(starts, np.r_[starts[1:], len(ranges)], strict=True):
+            yield self.laid_out(prints[a:b], counts[a:b], None, int(ranges[a]), range_bits)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -100,35 +141,29 @@ def digests(docs: DataFrame) -> DataFrame:
 def repeated_prints(prints: DataFrame, rows: int) -> DataFrame:
     """Fingerprints that occur more than once, with their count, through the filters."""
     range_bits = max(0, (max(1, rows) // RANGE_ROWS).bit_length())
-    bits = min(28, range_bits + 16)
-    shift = bits - range_bits
+    columns = ("range", "bits", "marks", "remainders", "tallies")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            part = CountingQuotientFilter.of(own, np.ones(len(own), np.int64), bits)
-            held = part if held is None else CountingQuotientFilter.merged([held, part])
-        if held is not None:
-            for piece in held.pieces(shift):
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(("range", "quotients", "runs", "remainders", "counts"), piece, strict=True))],
-                    schema=pa.schema([("range", pa.int64()), *[(c, pa.binary()) for c in ("quotients", "runs", "remainders", "counts")]]),
-                )
+        parts = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for batch in batches)
+        whole = CountingQuotientFilter.merged(CountingQuotientFilter.of(p, np.ones(len(p), np.int64)) for p in parts)
+        if whole is not None:
+            for f in whole.pieces(range_bits):
+                values = (f.top, f.bits, f.marks.tobytes(), f.remainders.tobytes(), f.tallies.tobytes())
+                types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=list(columns))
 
     def merge(pieces: pd.DataFrame) -> pd.DataFrame:
-        filters = [
+        one = CountingQuotientFilter.merged(
             CountingQuotientFilter(
-                np.frombuffer(r.quotients, np.uint32), np.frombuffer(r.runs, np.uint32),
-                np.frombuffer(r.remainders, np.uint64), np.frombuffer(r.counts, np.int64), bits,
+                np.frombuffer(r.marks, np.uint8), np.frombuffer(r.remainders, np.uint64), np.frombuffer(r.tallies, np.int64),
+                r.bits, r.range, range_bits,
             )
             for r in pieces.itertuples(index=False)
-        ]
-        one = CountingQuotientFilter.merged(filters)
-        often = one.counts > 1
-        return pd.DataFrame({"print": one.prints()[often].view(np.int64), "n": one.counts[often]})
+        )
+        counts = one.counts
+        return pd.DataFrame({"print": one.prints()[counts > 1].view(np.int64), "n": counts[counts > 1]})
 
-    schema = "range long, quotients binary, runs binary, remainders binary, counts binary"
+    schema = "range long, bits int, marks binary, remainders binary, tallies binary"
     return prints.select("print").mapInArrow(build, schema).groupBy("range").applyInPandas(merge, "print long, n long")
 
 
@@ -137,6 +172,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null text counts as empty; empty texts are equal to each other. The smallest id of equal texts
     stays, null ids last; of rows that repeat this id too, one stays. An empty table gives no rows.
+    A very long text is hashed and compared whole, like any other.
     """
     docs = id_and_text(docs, id_col, text_col)
     rows = materialize(digests(docs), "digests")

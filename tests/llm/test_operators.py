@@ -90,6 +90,42 @@ def test_quotient_filters_merge_without_loss():
     assert dict(zip(whole.prints().tolist(), whole.counts.tolist())) == collections.Counter(prints.tolist())
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_quotient_filters_hold_crowded_slots(seed):
+    rng = np.random.default_rng(seed)
+    prints = rng.integers(0, 2**64, 400, np.uint64)
+    prints[:150] = (prints[:150] >> np.uint64(50)) | np.uint64(2**64 - 2**14)  # one quotient at the end
+    prints[150:220] >>= np.uint64(40 + seed)
+    whole = CountingQuotientFilter.merged(CountingQuotientFilter.of(p, np.ones(len(p), np.int64)) for p in np.array_split(prints, 9))
+    expected = collections.Counter(prints.tolist())
+    assert whole.prints().tolist() == sorted(expected) and whole.counts.tolist() == [expected[p] for p in sorted(expected)]
+    for range_bits in (0, 1, 7):
+        read = [(p, n) for f in whole.pieces(range_bits) for p, n in zip(f.prints().tolist(), f.counts.tolist())]
+        assert read == sorted(expected.items())
+        assert all(f.prints().tolist() == f.with_(CountingQuotientFilter.of(prints[:0], np.zeros(0, np.int64))).prints().tolist() for f in whole.pieces(range_bits))
+    assert CountingQuotientFilter.merged([]) is None
+    # An entry sits in its quotient's slot or behind it, without an empty slot between.
+    used = np.flatnonzero(whole.marks)
+    home = (whole.prints() >> np.uint64(64 - whole.bits)).astype(np.int64)
+    assert (home <= used).all() and ((whole.marks[used] & whole.SHIFTED > 0) == (home < used)).all()
+
+
+def test_quotient_filters_of_many_batches_take_about_linear_time():
+    rng, moved = np.random.default_rng(1), []
+    laid_out = CountingQuotientFilter.laid_out.__func__
+
+    class Counted(CountingQuotientFilter):
+        @classmethod
+        def laid_out(cls, prints, *more):
+            moved.append(len(prints))
+            return laid_out(cls, prints, *more)
+
+    for batches in (50, 200):
+        moved.clear()
+        Counted.merged(Counted.of(rng.integers(0, 2**64, 100, np.uint64), np.ones(100, np.int64)) for _ in range(batches))
+        assert sum(moved) <= 100 * batches * (2 + batches.bit_length())
+
+
 def test_exact_duplicates(docs, rows, empty):
     got = exact_duplicates(docs).collect()
     assert len(got) == len(rows) and exact_duplicates(empty).count() == 0
