@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm.common import id_and_text
+from factloom.llm.jaccard_join import whole_sets
 from factloom.llm.shingles import set_nodes, shingle_tables
-from factloom.session import materialize
+from factloom.session import discard, materialize
 
 #: Tokens that come last in the order, at most; a bound on what is broadcast.
 FREQUENT = 200_000
-#: Tokens or nodes up to which a filter is broadcast; beyond, both sides are shuffled.
+#: Tokens up to which a filter is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Lines of one token that are compared in one piece; more are cut in blocks that meet in pairs.
 LEAF = 256
@@ -69,22 +70,18 @@ def frequent_tokens(docs: DataFrame, size: int = FREQUENT, width: int = WIDTH) -
     return top["token"].to_numpy(np.int64)[::-1].view(np.uint64).copy()
 
 
-def _bitmaps(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit words for each set: every token flips one of the 128 bits."""
+def _bitmaps(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit word for each set: every token flips one of its bits."""
     starts = np.r_[0, ends[:-1]]
     full = np.flatnonzero(ends > starts)
-    bit, second = np.uint64(1) << (values >> np.uint64(58)), (values >> np.uint64(57) & np.uint64(1)).astype(bool)
-    out = []
-    for own in (np.where(second, np.uint64(0), bit), np.where(second, bit, np.uint64(0))):
-        words = np.zeros(len(ends), np.uint64)
-        if len(full):
-            words[full] = np.bitwise_xor.reduceat(own, starts[full])
-        out.append(words.view(np.int64))
-    return out[0], out[1]
+    words = np.zeros(len(ends), np.uint64)
+    if len(full):
+        words[full] = np.bitwise_xor.reduceat(np.uint64(1) << (values >> np.uint64(58)), starts[full])
+    return words.view(np.int64)
 
 
 def described(docs: DataFrame, frequent: np.ndarray, num: int, den: int, width: int = WIDTH) -> DataFrame:
-    """``doc_id, line_no, node, n, low, high, prefix`` of each line; lines of equal token sets have one ``node``."""
+    """``doc_id, line_no, node, n, bits, prefix`` of each line; lines of equal token sets have one ``node``."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
 
@@ -92,14 +89,12 @@ def described(docs: DataFrame, frequent: np.ndarray, num: int, den: int, width:
         keys, ranks = shared.value
         for batch in batches:
             rows, numbers, lines = _lines(batch, 1)
-            nodes, sizes, lows, highs, prefixes, kept = [], [], [], [], [], []
+            nodes, sizes, bits, prefixes, kept = [], [], [], [], []
             for values, ends in shingle_tables(lines, width):
                 n = np.diff(ends, prepend=0)
                 nodes.append(set_nodes(values, ends))
                 sizes.append(n)
-                low, high = _bitmaps(values, ends)
-                lows.append(low)
-                highs.append(high)
+                bits.append(_bitmaps(values, ends))
                 owner = np.repeat(np.arange(len(ends)), n)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
@@ -117,12 +112,12 @@ def described(docs: DataFrame, frequent: np.ndarray, num: int, den: int, width:
             prefix = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(items))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), node,
-                 pa.array(n, pa.int32()), *[pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (lows, highs)], prefix],
-                names=["doc_id", "line_no", "node", "n", "low", "high", "prefix"],
+                 pa.array(n, pa.int32()), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)), prefix],
+                names=["doc_id", "line_no", "node", "n", "bits", "prefix"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"doc_id {kind}, line_no int, node long, n int, low long, high long, prefix array<long>")
+    return docs.mapInArrow(describe, f"doc_id {kind}, line_no int, node long, n int, bits long, prefix array<long>")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -131,32 +126,17 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int, width: int) -> DataFrame:
-    """The (later, earlier) pairs whose whole token sets are similar."""
+    """The (later, earlier) pairs whose whole token sets are similar, written."""
     nodes = materialize(pairs.select(F.explode(F.array("later", "earlier")).alias("node")).distinct(), "ends")
-    n = nodes.count()
-    named = frozenset(r[0] for r in nodes.toLocalIterator()) if n <= BROADCAST_ROWS else None
-    wanted = docs.sparkSession.sparkContext.broadcast(named)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            found, items = [], []
-            for values, ends in shingle_tables(_lines(batch, 0)[2], width):
-                starts = np.r_[0, ends[:-1]]
-                for i, node in enumerate(set_nodes(values, ends).tolist()):
-                    if ends[i] > starts[i] and node not in seen and (wanted.value is None or node in wanted.value):
-                        if wanted.value is not None:
-                            seen.add(node)
-                        found.append(node)
-                        items.append(values[starts[i] : ends[i]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
-
-    sets = docs.select("text").mapInArrow(emit, "node long, items array<long>")
-    sets = sets if named is not None else sets.join(nodes, "node", "left_semi")
-    sets = materialize(sets.groupBy("node").agg(F.min("items").alias("items")), "sets")
+    # Sets of a node are the same wherever they come from; a bitmap of fixed size picks lines ahead of the join.
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("text"))
+    sets = materialize(whole_sets(lines, width, nodes), "sets")
     both = pairs.join(sets.toDF("later", "l_items"), "later").join(sets.toDF("earlier", "e_items"), "earlier")
     common = F.size(F.array_intersect("l_items", "e_items"))
-    return both.where(common * den >= (F.size("l_items") + F.size("e_items") - common) * num).select("later", "earlier")
+    similar = both.where(common * den >= (F.size("l_items") + F.size("e_items") - common) * num).select("later", "earlier")
+    similar = materialize(similar, "similar")
+    discard(nodes, sets)
+    return similar
 
 
 def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -166,14 +146,14 @@ def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(task.alias("task"), "node", "n", "low", "high", "place", "open", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"))
+    dealt = dealt.select(task.alias("task"), "node", "n", "bits", "place", "open", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"))
     tasks = max(1, rows.count() // 50_000)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["task", "doc", "line"], kind="stable")
         task = frame["task"].to_numpy()
         starts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
-        node, n, low, high, place = (frame[c].to_numpy(np.int64) for c in ("node", "n", "low", "high", "place"))
+        node, n, bits, place = (frame[c].to_numpy(np.int64) for c in ("node", "n", "bits", "place"))
         waits = frame["open"].to_numpy(bool)
         out = []
         for a, b in zip(starts, np.r_[starts[1:], len(frame)], strict=True):
@@ -183,7 +163,7 @@ def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
                 room = np.minimum(n[i] - place[i], n[j] - place[j])  # no common token before the first shared one
                 # ... which this one may not be: tokens before both places may be common too.
                 room = room + np.minimum(place[i], place[j])
-                apart = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j])
+                apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
                 fits = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (room >= least) & (n[i] + n[j] - apart >= 2 * least)
                 at = np.flatnonzero(fits) + a
                 if len(at):
@@ -204,42 +184,47 @@ def dedup_lines(
     whether that one stays or not. A line of fewer than ``width`` words is one token; lines without words stay.
     Null texts have no lines, an empty text has one. Rows that repeat an id share their line numbers, and
     lines of equal id, number and tokens are one line. Null ids come last. An empty table gives no rows.
-    Tokens are compared by 64-bit hashes.
+    Tokens are compared by 64-bit hashes. A very long text is cut into its lines, a very long line is one set.
     """
     docs = id_and_text(docs, id_col, text_col)
-    lines = materialize(described(docs, frequent_tokens(docs, width=width), num, den, width), "lines")
-    worded = lines.where("node is not null")
+    wide = materialize(described(docs, frequent_tokens(docs, width=width), num, den, width), "described")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
     # Lines of equal token sets are one node from here on, so that copies of a line cost nothing further.
-    firsts = materialize(worded.groupBy("node").agg(F.min(order).alias("first"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("low", "high", "prefix")]), "firsts")
-    cells = firsts.select("node", "n", F.posexplode("prefix").alias("place", "token"))
-    shared = cells.groupBy("token").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where("_low < _high").select("token")
-    # Shared tokens grow with the corpus, so this join is a shuffle at every size.
-    members = cells.join(shared, "token", "left_semi")
-    members = materialize(members.join(firsts.select("node", "first", "low", "high"), "node"), "members")
-    heads = members.groupBy("token").agg(
-        F.min_by(F.struct("node", "n", "low", "high", "place"), F.struct("first", "node")).alias("head"), F.count("*").alias("size")
-    )
-    members = members.join(heads, "token")
+    firsts = wide.where("node is not null").groupBy("node").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
+    firsts = materialize(firsts, "firsts")
+    lines = materialize(wide.select("doc_id", "line_no", "node", "n"), "lines")
+    discard(wide)
+    cells = firsts.select("node", "first", "n", "bits", F.posexplode("prefix").alias("place", "token"))
+    # Tokens of one line only end here. Shared tokens grow with the corpus, so this join is a shuffle at every size.
+    heads = cells.groupBy("token").agg(F.min_by(F.struct("node", "n", "bits", "place"), F.struct("first", "node")).alias("head"), F.count("*").alias("size"))
+    members = cells.join(heads.where("size > 1"), "token")
     # Only pairs that pass the length, the positional and the bitmap filter are verified. One order of tokens
     # holds for both lines, so common ones are before both places or from both places on. Each bit in which
     # two bitmaps differ stands for a token that only one of the lines has.
     sizes = F.least("n", "head.n") * den >= F.greatest("n", "head.n") * num
     room = F.least(F.col("n") - F.col("place"), F.col("head.n") - F.col("head.place")) + F.least("place", "head.place")
     total = F.col("n") + F.col("head.n")
-    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("head.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("head.high")))
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("head.bits")))
     fits = sizes & (room * (num + den) >= total * num) & ((total - apart) * (num + den) >= total * (2 * num))
-    members = materialize(members.withColumn("fits", fits), "headed")
-    pairs = members.where((F.col("node") != F.col("head.node")) & F.col("fits")).select(F.col("node").alias("later"), F.col("head.node").alias("earlier"))
-    removed = materialize(_verified(docs, materialize(pairs.distinct(), "pairs"), num, den, width).select(F.col("later").alias("node")).distinct(), "removed")
+    members = members.withColumn("fits", fits).withColumn("head", F.col("head.node"))
+    members = materialize(members.where("size > 2 or (fits and node != head)"), "members")
+    pairs = members.where("fits and node != head").select(F.col("node").alias("later"), F.col("head").alias("earlier"))
+    pairs = materialize(pairs.distinct(), "pairs")
+    similar = _verified(docs, pairs, num, den, width)
+    removed = materialize(similar.select(F.col("later").alias("node")).distinct(), "removed")
     # Lines still open meet the other earlier lines of their tokens; two lines of one token have met already.
     marked = members.where("size > 2").join(removed.withColumn("_gone", F.lit(True)), "node", "left")
-    marked = materialize(marked.withColumn("open", F.col("_gone").isNull() & (F.col("node") != F.col("head.node"))).drop("_gone", "head", "fits"), "marked")
-    alive = marked.where("open").select("token").distinct()
-    rest = _open_pairs(marked.join(_few(materialize(alive, "alive")), "token", "left_semi"), num, den)
-    more = _verified(docs, materialize(rest, "rest"), num, den, width).select(F.col("later").alias("node"))
+    marked = marked.withColumn("open", F.col("_gone").isNull() & (F.col("node") != F.col("head"))).drop("_gone", "head", "fits", "size")
+    marked = materialize(marked, "marked")
+    discard(members, pairs, similar)
+    alive = materialize(marked.where("open").select("token").distinct(), "alive")
+    rest = materialize(_open_pairs(marked.join(_few(alive), "token", "left_semi"), num, den), "rest")
+    discard(marked, alive)
+    more = _verified(docs, rest, num, den, width).select(F.col("later").alias("node"))
     gone = removed.unionByName(more).distinct().withColumn("_gone", F.lit(True))
-    kept_first = firsts.select("node", "first").join(gone, "node", "left").select(F.col("node").alias("_node"), F.col("first").alias("_first"), F.col("_gone").isNull().alias("_stays"))
-    judged = lines.join(kept_first, lines["node"] == F.col("_node"), "left")
+    judged = firsts.select("node", "first").join(gone, "node", "left")
+    judged = materialize(judged.select(F.col("node").alias("_node"), F.col("first").alias("_first"), F.col("_gone").isNull().alias("_stays")), "judged")
+    discard(firsts, rest)
+    judged = lines.join(judged, lines["node"] == F.col("_node"), "left")
     stays = F.col("_stays") & (F.col("_first") == order)
     return judged.select("doc_id", "line_no", F.col("n").alias("n_tokens"), F.when(F.col("node").isNull(), True).otherwise(F.coalesce(stays, F.lit(False))).alias("kept"))
