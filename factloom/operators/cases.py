@@ -11,20 +11,19 @@ from factloom.session import materialize
 SLOTS = ["corroborate", "contradict", "reconcilable"]
 
 
-def build_cases(facts: DataFrame, edges: DataFrame) -> DataFrame:
+def build_cases(facts: DataFrame, edges: DataFrame, complete: bool = False) -> DataFrame:
     """Rows ``slot, edge_id, fact_a_id, fact_b_id, relation, confidence`` (up to four).
 
     Per slot the most confident edge with both facts present, preferring edges that share no fact
     with an earlier slot, else the best one; ties by edge id. ``failure`` is the least confident
-    fact, preferring unused ones. Each slot is one top-1 sort; only its two ids come to the driver.
+    fact, preferring unused ones. ``complete`` tells that both facts of every edge are known. Each slot is one top-1 sort; only its two ids come to the driver.
     """
     known = facts.select("id")
-    complete = edges
-    for side in ("fact_a_id", "fact_b_id"):
-        complete = complete.join(known.withColumnRenamed("id", side), side, "left_semi")
+    for side in () if complete else ("fact_a_id", "fact_b_id"):
+        edges = edges.join(known.withColumnRenamed("id", side), side, "left_semi")
     # Written once: every slot reads the complete edges.
     columns = ["id", "fact_a_id", "fact_b_id", "relation", "confidence"]
-    complete = materialize(complete.where(F.col("relation").isin(SLOTS)).select(*columns), "complete-edges")
+    complete = materialize(edges.where(F.col("relation").isin(SLOTS)).select(*columns), "complete-edges")
     used: list = []
     picked = []
     for slot in SLOTS:

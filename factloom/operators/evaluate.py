@@ -10,6 +10,8 @@ from factloom.session import materialize
 EITHER = "reconcilable_or_corroborate"
 #: Characters of a gram; shorter needles are looked up by their whole text.
 GRAM = 3
+#: Needles that each text is searched for directly, and rows of a written table that are broadcast.
+FEW_NEEDLES, BROADCAST_ROWS = 256, 200_000
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -42,10 +44,13 @@ def _grams(text: Column, size: int) -> Column:
 def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """``id, needle`` for every text (``id, text``) that contains a needle (``needle``, not empty).
 
-    An inverted index of the texts' grams, of those only that occur in a needle: each needle joins by its
-    rarest gram, and what meets is compared. Nothing passes the driver, and no needle meets every text.
+    Up to ``FEW_NEEDLES`` needles are looked for in each text as it is read, and nothing but hits is written.
+    More go through the texts' grams: each needle's rarest gram is found by counting, and an inverted index of
+    those grams alone is joined and compared. Nothing passes the driver.
     """
-    needles = needles.where("needle <> ''").distinct()
+    needles = materialize(needles.where("needle <> ''").distinct(), "needles")
+    if needles.count() <= FEW_NEEDLES:
+        return texts.join(F.broadcast(needles), F.contains("text", "needle")).select("id", "needle")
     parts = [_grams(F.col("needle"), size) for size in range(GRAM, 0, -1)]
     own = F.coalesce(*[F.when(F.size(p) > 0, p) for p in parts])
     asked = materialize(needles.select("needle", F.explode(own).alias("gram")), "needles")
@@ -53,13 +58,19 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     # Needles of three characters and more ask for grams of one size only: at most three numbers come back.
     sizes = sorted(r["n"] for r in wanted.select(F.length("gram").alias("n")).distinct().collect()) or [GRAM]
     every = F.concat(*[_grams(F.col("text"), size) for size in sizes])
-    index = materialize(texts.select("id", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi"), "index")
-    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    counts = texts.select(F.explode(every).alias("gram")).join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     met = asked.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    rarest = met.where("r.n > 0").select("needle", "r.gram")
+    rarest = materialize(met.where("r.n > 0").select("needle", "r.gram"), "rarest")
+    index = texts.select("id", F.explode(every).alias("gram")).join(rarest.select("gram").distinct(), "gram", "left_semi")
     return rarest.join(index, "gram").join(texts, "id").where(F.contains("text", "needle")).select("id", "needle")
 
 
+def _broadcast_if_small(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, written and counted, so that a few of them do not make the other side of a join move."""
+    rows = materialize(rows, name)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _gold_hits(facts: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(claims, gold items in lower case, claims that contain a text of a gold item)."""
     claims = facts.select("id", F.lower("claim_text").alias("text"))
@@ -98,11 +109,15 @@ def _matches(edges: DataFrame, claims: DataFrame, items: DataFrame, hits: DataFr
     pairs = edges.where(F.col("fact_a_id") != F.col("fact_b_id")).select(F.col("fact_a_id").alias("u"), F.col("fact_b_id").alias("v"), "relation")
     pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "relation"))
     fits = (F.col("relation") == F.col("wanted")) | ((F.col("wanted") == EITHER) & F.col("relation").isin("reconcilable", "corroborate"))
-    led = hits.withColumnRenamed("id", "u").join(sided, "needle").join(pairs, "u").where(fits)
-    led = led.join(claims.withColumnRenamed("id", "v"), "v").where(F.contains("text", "other")).select("item")
+    leading = _broadcast_if_small(hits.withColumnRenamed("id", "u").join(F.broadcast(sided), "needle"), "leading")
+    led = leading.join(pairs, "u").where(fits).select("item", "v", "other").distinct()
+    led = _broadcast_if_small(led, "led").join(claims.withColumnRenamed("id", "v"), "v").where(F.contains("text", "other")).select("item")
     # Two empty texts: any edge between known claims.
+    both_empty = sided.where("needle = '' and other = ''")
+    if both_empty.isEmpty():
+        return led.distinct()
     known = pairs.join(claims.select(F.col("id").alias("u")), "u", "left_semi").join(claims.select(F.col("id").alias("v")), "v", "left_semi")
-    free = sided.where("needle = '' and other = ''").join(known.select("relation").distinct(), fits).select("item")
+    free = both_empty.join(known.select("relation").distinct(), fits).select("item")
     return led.unionByName(free).distinct()
 
 
