@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType
@@ -12,12 +14,14 @@ from factloom.llm.exact_dedup import exact_duplicates
 from factloom.llm.jaccard_join import jaccard_join
 from factloom.llm.mixing import copies_taken, mix
 from factloom.llm.packing import pack, pieces
-from factloom.session import materialize
+from factloom.session import discard, materialize
 
 #: Rows up to which a written table of keys is broadcast, some 10 MB; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
 #: Metadata that marks the columns which a stage adds, whatever they had to be named.
 ROLE = "corpus_pipeline"
+#: Metadata of the key that names the table of keyed documents, and the tables of this session by that name.
+TABLE, _KEYED = "corpus_pipeline_table", {}
 
 
 def added(docs: DataFrame, role: str) -> str | None:
@@ -38,19 +42,31 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
     Keys sort by id, null ids last, so the row with the smallest key is one with the smallest id; rows of
     equal or null ids are told apart by their place in the input. A column of the input that has the name of
-    the key stays as it is, and the key gets another name.
+    the key stays as it is, and the key gets another name. The copy of the documents that is written here is
+    deleted once a stage gets a stored result, which no longer reads it.
     """
     short_batches(docs.sparkSession)
     key = added(docs, "row_key")
     if key is not None:
+        _release(docs, docs.schema[key].metadata.get(TABLE))
         return docs, key
     own = F.col("doc_id")
     if isinstance(docs.schema["doc_id"].dataType, IntegralType):
         own = F.lpad(F.hex(own.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
     place = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
     value = F.concat(F.when(F.col("doc_id").isNull(), "1").otherwise("0"), F.coalesce(own.cast("string"), F.lit("")), F.lit("-"), place)
-    key = free(docs, "row_key")
-    return materialize(docs.select("*", value.alias(key, metadata={ROLE: "row_key"})), "keyed"), key
+    key, name = free(docs, "row_key"), uuid.uuid4().hex
+    _KEYED[name] = materialize(docs.select("*", value.alias(key, metadata={ROLE: "row_key", TABLE: name})), "keyed")
+    return _KEYED[name], key
+
+
+def _release(docs: DataFrame, name: str | None) -> None:
+    """Delete the keyed documents that ``docs`` came from, if ``docs`` reads files and none of them."""
+    if name not in _KEYED:
+        return
+    own, files = _KEYED[name].written_to.rsplit("/", 1)[1], docs.inputFiles()
+    if files and not any(own in file for file in files):
+        discard(_KEYED.pop(name))
 
 
 def _few(written: DataFrame) -> DataFrame:
