@@ -73,3 +73,12 @@ def test_few_needles_and_many_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "FEW_NEEDLES", 0)
     assert few == sorted(map(tuple, containing(texts, needles).collect()))
     assert len(few) == sum(n in f"claim {i:03d} of {i % 7}" for i in range(90) for n in ("01", "of 3", "m 08", "7"))
+
+
+def test_ids_are_packed_for_the_shuffle_and_come_back_as_they_were(spark):
+    digits = "0123456789abcdef" * 2
+    ids = [f"fact_{digits}", f"_{digits}", digits, f"fact_{digits.upper()}", "fact_1", "", "\u00fc\0\1", f"{'x' * 16}\1", None]
+    rows = spark.createDataFrame([(x,) for x in ids], "id string").select("id", blocks._packed(F.col("id")).alias("p"))
+    rows = rows.select("id", F.length("p").alias("n"), blocks._unpacked(F.col("p")).alias("back")).collect()
+    assert [r.back for r in rows] == ids
+    assert rows[0].n == 22
