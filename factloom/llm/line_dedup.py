@@ -10,11 +10,12 @@ lines it removes need no other partner, so a group of near copies costs one comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from factloom.llm.common import id_and_text
 from factloom.llm.jaccard_join import whole_sets
@@ -30,6 +31,8 @@ LEAF = 256
 #: Tokens counted at a time in a task, and the least count that is passed on.
 FLUSH, LEAST = 2_000_000, 3
 WIDTH = 5
+#: Shares of the tokens that are shuffled one after another.
+PARTS = 4
 
 
 def _lines(batch: pa.RecordBatch, column: int) -> tuple[list[int], list[int], list[bytes]]:
@@ -175,6 +178,29 @@ def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.groupBy(bucket).applyInPandas(compare, "later long, earlier long").distinct()
 
 
+def _members(firsts: DataFrame, part: int, num: int, den: int) -> DataFrame:
+    """Lines of the shared tokens of one of ``PARTS`` shares, with the earliest line of their token as ``head``.
+
+    Lines and heads come from one shuffle. Tokens of one line only end here. ``fits`` marks pairs that pass the
+    length, the positional and the bitmap filter, which alone are verified. One order of tokens holds for both
+    lines, so common ones are before both places or from both places on. Each bit in which two bitmaps differ
+    stands for a token that only one of the lines has.
+    """
+    cells = firsts.select("node", "first", "n", "bits", F.posexplode("prefix").alias("place", "token"))
+    cells = cells.where(F.pmod("token", F.lit(PARTS)) == part)
+    token = Window.partitionBy("token")
+    turn = token.orderBy("first", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = F.first(F.struct("node", "n", "bits", "place")).over(turn)
+    members = cells.select("*", head.alias("head"), F.count("*").over(token).alias("size")).where("size > 1")
+    sizes = F.least("n", "head.n") * den >= F.greatest("n", "head.n") * num
+    room = F.least(F.col("n") - F.col("place"), F.col("head.n") - F.col("head.place")) + F.least("place", "head.place")
+    total = F.col("n") + F.col("head.n")
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("head.bits")))
+    fits = sizes & (room * (num + den) >= total * num) & ((total - apart) * (num + den) >= total * (2 * num))
+    members = members.withColumn("fits", fits).withColumn("head", F.col("head.node"))
+    return members.where("size > 2 or (fits and node != head)")
+
+
 def dedup_lines(
     docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH
 ) -> DataFrame:
@@ -194,20 +220,10 @@ def dedup_lines(
     firsts = materialize(firsts, "firsts")
     lines = materialize(wide.select("doc_id", "line_no", "node", "n"), "lines")
     discard(wide)
-    cells = firsts.select("node", "first", "n", "bits", F.posexplode("prefix").alias("place", "token"))
-    # Tokens of one line only end here. Shared tokens grow with the corpus, so this join is a shuffle at every size.
-    heads = cells.groupBy("token").agg(F.min_by(F.struct("node", "n", "bits", "place"), F.struct("first", "node")).alias("head"), F.count("*").alias("size"))
-    members = cells.join(heads.where("size > 1"), "token")
-    # Only pairs that pass the length, the positional and the bitmap filter are verified. One order of tokens
-    # holds for both lines, so common ones are before both places or from both places on. Each bit in which
-    # two bitmaps differ stands for a token that only one of the lines has.
-    sizes = F.least("n", "head.n") * den >= F.greatest("n", "head.n") * num
-    room = F.least(F.col("n") - F.col("place"), F.col("head.n") - F.col("head.place")) + F.least("place", "head.place")
-    total = F.col("n") + F.col("head.n")
-    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("head.bits")))
-    fits = sizes & (room * (num + den) >= total * num) & ((total - apart) * (num + den) >= total * (2 * num))
-    members = members.withColumn("fits", fits).withColumn("head", F.col("head.node"))
-    members = materialize(members.where("size > 2 or (fits and node != head)"), "members")
+    # Shared tokens grow with the corpus, so their lines meet in a shuffle at every size: a share of the tokens after another,
+    # as what a share was shuffled for leaves the disk before the next.
+    members = [materialize(_members(firsts, part, num, den), "members") for part in range(PARTS)]
+    written, members = members, reduce(DataFrame.unionByName, members)
     pairs = members.where("fits and node != head").select(F.col("node").alias("later"), F.col("head").alias("earlier"))
     pairs = materialize(pairs.distinct(), "pairs")
     similar = _verified(docs, pairs, num, den, width)
@@ -216,7 +232,7 @@ def dedup_lines(
     marked = members.where("size > 2").join(removed.withColumn("_gone", F.lit(True)), "node", "left")
     marked = marked.withColumn("open", F.col("_gone").isNull() & (F.col("node") != F.col("head"))).drop("_gone", "head", "fits", "size")
     marked = materialize(marked, "marked")
-    discard(members, pairs, similar)
+    discard(*written, pairs, similar)
     alive = materialize(marked.where("open").select("token").distinct(), "alive")
     rest = materialize(_open_pairs(marked.join(_few(alive), "token", "left_semi"), num, den), "rest")
     discard(marked, alive)
