@@ -116,7 +116,7 @@ def described(docs: DataFrame, width: int, frequent: np.ndarray, num: int, den:
     return docs.mapInArrow(describe, f"doc_id {kind}, node long, n long, sketch binary, prefix array<long>")
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
+def bitmap_of(nodes: DataFrame) -> np.ndarray:
     """Bits of the given nodes in a bitmap of fixed size; with many nodes it lets more of the others pass."""
     at, bit = F.col("node").bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("at"), F.expr("shiftleft(1L, int(shiftright(node, 40) & 63))").alias("bit")
     found = nodes.select(at, bit).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
@@ -125,12 +125,17 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return bits
 
 
+def passes(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has the bits of the nodes."""
+    return (bits[nodes & (len(bits) - 1)] >> ((nodes >> 40) & 63)) & 1 == 1
+
+
 def whole_sets(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
     """``node, items`` of the given nodes and of others that their bitmap lets pass, from the texts.
 
     A task sends a set once, however many copies it has.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(nodes))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -139,7 +144,7 @@ def whole_sets(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
             for values, ends in shingle_tables(_texts(batch, 0), width):
                 starts = np.r_[0, ends[:-1]]
                 node = set_nodes(values, ends)
-                hits = np.flatnonzero((ends > starts) & ((bits[node & (len(bits) - 1)] >> ((node >> 40) & 63)) & 1 == 1))
+                hits = np.flatnonzero((ends > starts) & passes(bits, node))
                 fresh = [i for i in hits.tolist() if not (node[i] in seen or seen.add(node[i]))]
                 if len(seen) > SEEN:
                     seen.clear()

@@ -5,6 +5,7 @@ two similar lines share a token in their prefixes. Lines that do are compared if
 filter) and the places of the shared token (positional filter) allow enough common tokens; whole sets are
 verified, and of two similar lines the later one is removed. The earliest line of a token comes first:
 lines it removes need no other partner, so a group of near copies costs one comparison for each line.
+Sketches of about four bits a token pass nearly none but similar pairs, so few whole sets are made and moved.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factloom.llm.common import id_and_text
-from factloom.llm.jaccard_join import whole_sets
+from factloom.llm.common import id_and_text, released
+from factloom.llm.jaccard_join import SEEN, STEP, bitmap_of, passes
 from factloom.llm.shingles import set_nodes, shingle_tables
 from factloom.session import discard, materialize
 
@@ -33,6 +34,10 @@ FLUSH, LEAST = 2_000_000, 3
 WIDTH = 5
 #: Shares of the tokens that are shuffled one after another.
 PARTS = 4
+#: Pairs whose whole sets are shuffled at a time, up to so many shares, as each reads the sets once.
+SHARE_PAIRS, SHARES = 500_000, 16
+#: A line's number times this, with the hash of its document, is the key of the line.
+_STRIDE = 0x9E3779B1
 
 
 def _lines(batch: pa.RecordBatch, column: int) -> tuple[list[int], list[int], list[bytes]]:
@@ -83,8 +88,38 @@ def _bitmaps(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return words.view(np.int64)
 
 
+def _sketches(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A bitmap for each set, at least 64 bits and 4 to 8 bits a token: every token flips one of its bits.
+
+    Lengths are powers of two, and the two halves of a bitmap, combined by exclusive or, are one of half the length.
+    """
+    n = np.diff(ends, prepend=0)
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64))
+    until = np.cumsum(width)
+    at = (values >> np.uint64(20)).astype(np.int64) & (np.repeat(width, n) - 1)
+    odd = np.bincount(np.repeat(until - width, n) + at, minlength=until[-1] if len(until) else 0) & 1
+    offsets = np.r_[0, until // 8].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(odd.astype(np.uint8), bitorder="little"))])
+
+
+def _apart(one: pa.Array, other: pa.Array) -> np.ndarray:
+    """Bits in which the sketches of each pair differ, the longer one folded to the length of the shorter."""
+    sides = [x.to_pylist() for x in (one, other)]
+    sizes = [np.array([len(x) for x in side], np.int64) for side in sides]
+    out = np.zeros(len(one), np.int64)
+    for a, b in np.unique(np.c_[sizes[0], sizes[1]], axis=0) if len(one) else ():
+        at = np.flatnonzero((sizes[0] == a) & (sizes[1] == b))
+        width = min(a, b) // 8
+        folded = []
+        for side in sides:
+            words = np.frombuffer(b"".join([side[i] for i in at]), np.uint64).reshape(len(at), -1, width)
+            folded.append(np.bitwise_xor.reduce(words, axis=1))
+        out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1)
+    return out
+
+
 def described(docs: DataFrame, frequent: np.ndarray, num: int, den: int, width: int = WIDTH) -> DataFrame:
-    """``doc_id, line_no, node, n, bits, prefix`` of each line; lines of equal token sets have one ``node``."""
+    """``doc_id, line_no, node, n, bits, sketch, prefix`` of each line; lines of equal token sets have one ``node``."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
 
@@ -92,12 +127,13 @@ def described(docs: DataFrame, frequent: np.ndarray, num: int, den: int, width:
         keys, ranks = shared.value
         for batch in batches:
             rows, numbers, lines = _lines(batch, 1)
-            nodes, sizes, bits, prefixes, kept = [], [], [], [], []
+            nodes, sizes, bits, sketches, prefixes, kept = [], [], [], [], [], []
             for values, ends in shingle_tables(lines, width):
                 n = np.diff(ends, prepend=0)
                 nodes.append(set_nodes(values, ends))
                 sizes.append(n)
                 bits.append(_bitmaps(values, ends))
+                sketches.append(_sketches(values, ends))
                 owner = np.repeat(np.arange(len(ends)), n)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
@@ -115,12 +151,13 @@ def described(docs: DataFrame, frequent: np.ndarray, num: int, den: int, width:
             prefix = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(items))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), node,
-                 pa.array(n, pa.int32()), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)), prefix],
-                names=["doc_id", "line_no", "node", "n", "bits", "prefix"],
+                 pa.array(n, pa.int32()), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)),
+                 pa.concat_arrays(sketches) if sketches else pa.array([], pa.binary()), prefix],
+                names=["doc_id", "line_no", "node", "n", "bits", "sketch", "prefix"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"doc_id {kind}, line_no int, node long, n int, bits long, prefix array<long>")
+    return docs.mapInArrow(describe, f"doc_id {kind}, line_no int, node long, n int, bits long, sketch binary, prefix array<long>")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -128,18 +165,73 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, num: int, den: int, width: int) -> DataFrame:
+def _near(pairs: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame:
+    """The (later, earlier) pairs whose sketches allow that they are similar.
+
+    Each bit in which two sketches differ stands for a token that only one of the lines has.
+    """
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("l_n").to_numpy().astype(np.int64) + batch.column("e_n").to_numpy()
+            apart = _apart(batch.column("l_sketch"), batch.column("e_sketch"))
+            fits = (total - apart) * (num + den) >= 2 * num * total
+            yield batch.select(["later", "earlier"]).filter(pa.array(fits))
+
+    held = firsts.select("node", "n", "sketch")
+    both = pairs.join(held.toDF("later", "l_n", "l_sketch"), "later").join(held.toDF("earlier", "e_n", "e_sketch"), "earlier")
+    return both.mapInArrow(sieve, "later long, earlier long")
+
+
+def _line_key(doc_id: str, line_no: str) -> Column:
+    return F.xxhash64(doc_id).bitwiseXOR(F.col(line_no).cast("long") * F.lit(_STRIDE))
+
+
+def _whole_sets(docs: DataFrame, width: int, firsts: DataFrame) -> DataFrame:
+    """``node, items`` of the nodes in ``firsts`` and of few others, from their first lines.
+
+    A bitmap of fixed size, of the keys of these lines, picks the lines that are cut into tokens.
+    """
+    keys = firsts.select(_line_key("first.doc_id", "first.line_no").alias("node"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(keys))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        seen: set[int] = set()
+        for batch in batches:
+            rows, numbers, lines = _lines(batch, 1)
+            key = batch.column(0).to_numpy()[np.array(rows, np.int64)] ^ (np.array(numbers, np.int64) * _STRIDE)
+            picked = [lines[i] for i in np.flatnonzero(passes(bits, key)).tolist()]
+            for values, ends in shingle_tables(picked, width):
+                starts = np.r_[0, ends[:-1]]
+                node = set_nodes(values, ends)
+                fresh = [i for i in np.flatnonzero(ends > starts).tolist() if not (node[i] in seen or seen.add(node[i]))]
+                if len(seen) > SEEN:
+                    seen.clear()
+                if fresh:
+                    items = pa.array([values[starts[i] : ends[i]].view(np.int64) for i in fresh], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[fresh]), items], names=["node", "items"])
+        released()
+
+    sets = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(emit, "node long, items array<long>")
+    return sets.groupBy("node").agg(F.min("items").alias("items"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, num: int, den: int, width: int) -> DataFrame:
     """The (later, earlier) pairs whose whole token sets are similar, written."""
-    nodes = materialize(pairs.select(F.explode(F.array("later", "earlier")).alias("node")).distinct(), "ends")
-    # Sets of a node are the same wherever they come from; a bitmap of fixed size picks lines ahead of the join.
-    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("text"))
-    sets = materialize(whole_sets(lines, width, nodes), "sets")
-    both = pairs.join(sets.toDF("later", "l_items"), "later").join(sets.toDF("earlier", "e_items"), "earlier")
+    near = materialize(_near(pairs, firsts, num, den), "near")
+    ends = near.select(F.explode(F.array("later", "earlier")).alias("node")).distinct()
+    sets = materialize(_whole_sets(docs, width, firsts.join(ends, "node", "left_semi")), "sets")
     common = F.size(F.array_intersect("l_items", "e_items"))
-    similar = both.where(common * den >= (F.size("l_items") + F.size("e_items") - common) * num).select("later", "earlier")
-    similar = materialize(similar, "similar")
-    discard(nodes, sets)
-    return similar
+    is_similar = common * den >= (F.size("l_items") + F.size("e_items") - common) * num
+    shares = min(SHARES, max(1, -(-near.count() // SHARE_PAIRS)))
+    similar = []
+    for n in range(shares):
+        share = near.where(F.pmod(F.xxhash64("later"), F.lit(shares)) == n)
+        both = share.join(sets.toDF("later", "l_items"), "later").join(sets.toDF("earlier", "e_items"), "earlier")
+        similar.append(materialize(both.where(is_similar).select("later", "earlier"), "similar"))
+    discard(near, sets)
+    return reduce(DataFrame.unionByName, similar)
 
 
 def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -149,28 +241,36 @@ def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(task.alias("task"), "node", "n", "bits", "place", "open", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"))
+    dealt = dealt.select(task.alias("task"), "node", "n", "bits", "place", "open", "block", "other", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"))
     tasks = max(1, rows.count() // 50_000)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["task", "doc", "line"], kind="stable")
         task = frame["task"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
-        node, n, bits, place = (frame[c].to_numpy(np.int64) for c in ("node", "n", "bits", "place"))
-        waits = frame["open"].to_numpy(bool)
-        out = []
-        for a, b in zip(starts, np.r_[starts[1:], len(frame)], strict=True):
-            for i in np.flatnonzero(waits[a:b]) + a:
-                j = slice(a, i)
-                least = -(-num * (n[i] + n[j]) // (num + den))
-                room = np.minimum(n[i] - place[i], n[j] - place[j])  # no common token before the first shared one
-                # ... which this one may not be: tokens before both places may be common too.
-                room = room + np.minimum(place[i], place[j])
-                apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
-                fits = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (room >= least) & (n[i] + n[j] - apart >= 2 * least)
-                at = np.flatnonzero(fits) + a
-                if len(at):
-                    out.append(np.c_[np.full(len(at), node[i]), node[at]])
+        new = np.r_[True, task[1:] != task[:-1]]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(frame)), 0))
+        node, n, bits, place, block, other = (frame[c].to_numpy(np.int64) for c in ("node", "n", "bits", "place", "block", "other"))
+        later = np.flatnonzero(frame["open"].to_numpy(bool))
+        until = np.cumsum(later - first[later])
+        out, at = [], 0
+        # Open lines against all before them in their task, about STEP pairs at a time.
+        while at < len(later):
+            stop = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + STEP)))
+            rows = later[at:stop]
+            own = rows - first[rows]
+            i = np.repeat(rows, own)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first[rows], own)
+            at = stop
+            # Two lines of one block meet in the task of that block alone.
+            met = (block[i] != block[j]) | (block[i] == other[i])
+            i, j = i[met], j[met]
+            total = n[i] + n[j]
+            least = -(-num * total // (num + den))
+            # Common tokens lie before both places or from both places on.
+            room = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j])
+            apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
+            fits = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (room >= least) & (total - apart >= 2 * least)
+            out.append(np.c_[node[i[fits]], node[j[fits]]])
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame(pairs, columns=["later", "earlier"])
 
@@ -216,7 +316,7 @@ def dedup_lines(
     wide = materialize(described(docs, frequent_tokens(docs, width=width), num, den, width), "described")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line_no")
     # Lines of equal token sets are one node from here on, so that copies of a line cost nothing further.
-    firsts = wide.where("node is not null").groupBy("node").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
+    firsts = wide.where("node is not null").groupBy("node").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("n", "bits", "sketch", "prefix")])
     firsts = materialize(firsts, "firsts")
     lines = materialize(wide.select("doc_id", "line_no", "node", "n"), "lines")
     discard(wide)
@@ -226,7 +326,7 @@ def dedup_lines(
     written, members = members, reduce(DataFrame.unionByName, members)
     pairs = members.where("fits and node != head").select(F.col("node").alias("later"), F.col("head").alias("earlier"))
     pairs = materialize(pairs.distinct(), "pairs")
-    similar = _verified(docs, pairs, num, den, width)
+    similar = _verified(docs, pairs, firsts, num, den, width)
     removed = materialize(similar.select(F.col("later").alias("node")).distinct(), "removed")
     # Lines still open meet the other earlier lines of their tokens; two lines of one token have met already.
     marked = members.where("size > 2").join(removed.withColumn("_gone", F.lit(True)), "node", "left")
@@ -236,7 +336,7 @@ def dedup_lines(
     alive = materialize(marked.where("open").select("token").distinct(), "alive")
     rest = materialize(_open_pairs(marked.join(_few(alive), "token", "left_semi"), num, den), "rest")
     discard(marked, alive)
-    more = _verified(docs, rest, num, den, width).select(F.col("later").alias("node"))
+    more = _verified(docs, rest, firsts, num, den, width).select(F.col("later").alias("node"))
     gone = removed.unionByName(more).distinct().withColumn("_gone", F.lit(True))
     judged = firsts.select("node", "first").join(gone, "node", "left")
     judged = materialize(judged.select(F.col("node").alias("_node"), F.col("first").alias("_first"), F.col("_gone").isNull().alias("_stays")), "judged")
