@@ -328,14 +328,19 @@ def dedup_lines(
     pairs = materialize(pairs.distinct(), "pairs")
     similar = _verified(docs, pairs, firsts, num, den, width)
     removed = materialize(similar.select(F.col("later").alias("node")).distinct(), "removed")
+    discard(pairs, similar)
     # Lines still open meet the other earlier lines of their tokens; two lines of one token have met already.
-    marked = members.where("size > 2").join(removed.withColumn("_gone", F.lit(True)), "node", "left")
-    marked = marked.withColumn("open", F.col("_gone").isNull() & (F.col("node") != F.col("head"))).drop("_gone", "head", "fits", "size")
-    marked = materialize(marked, "marked")
-    discard(*written, pairs, similar)
-    alive = materialize(marked.where("open").select("token").distinct(), "alive")
-    rest = materialize(_open_pairs(marked.join(_few(alive), "token", "left_semi"), num, den), "rest")
-    discard(marked, alive)
+    gone, rest = _few(removed).withColumn("_gone", F.lit(True)), []
+    for part in written:
+        marked = part.where("size > 2").join(gone, "node", "left")
+        marked = marked.withColumn("open", F.col("_gone").isNull() & (F.col("node") != F.col("head"))).drop("_gone", "head", "fits", "size")
+        marked = materialize(marked, "marked")
+        discard(part)
+        alive = materialize(marked.where("open").select("token").distinct(), "alive")
+        rest.append(materialize(_open_pairs(marked.join(_few(alive), "token", "left_semi"), num, den), "rest"))
+        discard(marked, alive)
+    apart, rest = rest, materialize(reduce(DataFrame.unionByName, rest).distinct(), "rest")
+    discard(*apart)
     more = _verified(docs, rest, firsts, num, den, width).select(F.col("later").alias("node"))
     gone = removed.unionByName(more).distinct().withColumn("_gone", F.lit(True))
     judged = firsts.select("node", "first").join(gone, "node", "left")
