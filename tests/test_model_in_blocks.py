@@ -39,3 +39,13 @@ def test_equal_requests_of_a_run_are_asked_once(spark):
     out = pd.concat(list(run(iter(frames))))
     assert list(out["response"]) == list("XXXXYX")
     assert sorted(asked) == ["x", "x", "x", "y"]
+
+
+def test_a_verdict_is_read_once(spark):
+    from factloom.operators.relate import adjudicated
+
+    rows = [("a", "b", 'so {"relation": "corroborate", "confidence": 0.5} it is'), ("a", "c", "{no object"), ("a", "d", '{"relation": "other"}')]
+    edges = adjudicated(spark.createDataFrame(rows, "fact_a_id string, fact_b_id string, response string"))
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
+    assert [(r.fact_b_id, r.relation, r.confidence) for r in edges.collect()] == [("b", "corroborate", 0.5)]
